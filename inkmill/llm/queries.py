@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmill.llm import cascade, sharding, simhash
+from inkmill.llm import cascade, decontam, sharding, simhash
 from inkmill.session import table
 
 
@@ -13,9 +13,11 @@ def over_documents(op):
 QUERIES = {
     "op4_sharding": over_documents(sharding.op4),
     "op6_simhash_near_dedup": over_documents(simhash.op6),
+    "op7_benchmark_decontamination": lambda spark, sf_dir: decontam.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_quality_rules": over_documents(cascade.op10),
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_benchmark_decontamination": lambda spark, sf_dir: decontam.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_quality_rules": cascade.OP10_SQL,
 }
