@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmill.llm import cascade, decontam, packing, sharding, simhash, tokens
+from inkmill.llm import cascade, decontam, packing, quality_gbdt, sharding, simhash, tokens
 from inkmill.session import table
 
 
@@ -16,6 +16,7 @@ QUERIES = {
     "op4_sharding": over_documents(sharding.op4),
     "op6_simhash_near_dedup": over_documents(simhash.op6),
     "op7_benchmark_decontamination": lambda spark, sf_dir: decontam.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op8_quality_classifier": lambda spark, sf_dir: quality_gbdt.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_quality_rules": over_documents(cascade.op10),
 }
 
