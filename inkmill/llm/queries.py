@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmill.llm import cascade, decontam, packing, quality_gbdt, sharding, simhash, tokens
+from inkmill.llm import cascade, decontam, packing, pii, quality_gbdt, sharding, simhash, tokens
 from inkmill.session import table
 
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op2_token_binary": over_documents(tokens.op2),
     "op3_packing": over_documents(packing.op3),
     "op4_sharding": over_documents(sharding.op4),
+    "op5_pii_pseudonyms": over_documents(pii.op5),
     "op6_simhash_near_dedup": over_documents(simhash.op6),
     "op7_benchmark_decontamination": lambda spark, sf_dir: decontam.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op8_quality_classifier": lambda spark, sf_dir: quality_gbdt.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
