@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmill.llm import cascade, decontam, packing, pii, quality_gbdt, sharding, simhash, tokens
+from inkmill.llm import cascade, decontam, line_dedup, packing, pii, quality_gbdt, sharding, simhash, tokens
 from inkmill.session import table
 
 
@@ -11,6 +11,7 @@ def over_documents(op):
 
 
 QUERIES = {
+    "op1_line_dedup": over_documents(line_dedup.op1),
     "op2_token_binary": over_documents(tokens.op2),
     "op3_packing": over_documents(packing.op3),
     "op4_sharding": over_documents(sharding.op4),
