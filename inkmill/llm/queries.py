@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmill.llm import cascade, decontam, line_dedup, packing, pii, quality_gbdt, sharding, simhash, tokens
+from inkmill.llm import cascade, decontam, license_scan, line_dedup, packing, pii, quality_gbdt, sharding, simhash, tokens
 from inkmill.session import table
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op6_simhash_near_dedup": over_documents(simhash.op6),
     "op7_benchmark_decontamination": lambda spark, sf_dir: decontam.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op8_quality_classifier": lambda spark, sf_dir: quality_gbdt.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op9_license_scan": over_documents(license_scan.op9),
     "op10_quality_rules": over_documents(cascade.op10),
 }
 
