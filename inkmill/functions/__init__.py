@@ -1 +1 @@
-"""functions"""
+"""Column functions: text, layout, edits, metadata and conversation scalars."""

@@ -1 +1 @@
-"""operators"""
+"""Operators on DataFrames."""
