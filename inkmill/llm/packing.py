@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.llm.common import materialize
-from inkmill.llm.tokens import Encoder, vocabulary_path
+from inkmill.llm.tokens import encoder_of, vocabulary_path
 
 CAPACITY = 1024
 FAN_IN = 16
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        worker, encoder = TaskContext.get().partitionId(), Encoder(tokenizer)
+        worker, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer)
         bins = Bins(worker << PLACE_BITS)
         waiting: dict[int, list] = {}  # pieces of open bins: their rows wait for a place
 

@@ -1,9 +1,10 @@
 """Token ids of whole texts with the tokenizers library, and a bit-packed file format for them.
 
 Encoder gives the ids that the library gives for the whole text. A byte-level tokenizer encodes each
-pre-token by itself, so the encoder keeps the ids of pre-tokens that it has seen in a bounded memory
-and asks the library for new ones only. It does so for texts of characters whose classes are beyond
-doubt (Latin blocks); every other text goes to the library as it is.
+pre-token by itself, so the encoder keeps the ids of pre-tokens that it has seen in a bounded memory,
+which a worker process keeps from task to task, and asks the library's model for new ones only. It does
+so for texts of characters whose classes are beyond doubt (Latin blocks); every other text goes to the
+library as it is.
 
 The file format. A table of blocks in Parquet, in ascending order of documents; a block holds whole
 documents. Each id takes the fewest bits that the vocabulary needs; an id's place in its block is its
@@ -18,8 +19,10 @@ file; other columns are ignored; a long text makes a long block, never two.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,10 @@ from inkmill.llm.common import partitions, shared_dir
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK_TOKENS = 1 << 16
 MEMORY = 600_000  #: pre-tokens that an encoder remembers
-PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ]")
+#: Characters whose classes differ between Python's expressions and the tokenizer's pattern, or may.
+DOUBTFUL = re.compile("[\x1c-\x1f\x85²³¹¼½¾]|[^\x00-ɏ]")
+#: The published pattern of byte-level tokenizers, for texts without doubtful characters.
+PRE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -41,14 +47,20 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level tokenizers write bytes: printable ones as they are, others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Encodes many texts to ids as bytes of `dtype`."""
+    """Encodes many texts to arrays of ids."""
 
     def __init__(self, path: str, memory: int = MEMORY):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,40 +68,45 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         first = made["pre_tokenizer"] or {}
-        split = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not made["normalizer"]
-        # The published pattern of byte-level tokenizers (fixed value).
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+") if split else None
+        self.by_word = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not made["normalizer"]
         self.size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code, self.letters = "H" if self.size <= 1 << 16 else "I", byte_letters()
         self.memory, self.known = memory, {}
 
-    def _ask(self, texts: list[str]) -> Iterator[bytes]:
-        for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(x.ids, dtype=self.dtype).tobytes()
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        texts = [t or "" for t in texts]
-        if not self.pattern:
-            return [np.frombuffer(x, dtype=self.dtype) for x in self._ask(texts)]
-        out: list[np.ndarray] = []
+        out: list[bytes] = []
         for i in range(0, len(texts), 256):
-            out += self._slice(texts[i : i + 256])
-        return out
+            part = [t or "" for t in texts[i : i + 256]]
+            out += self._slice(part) if self.by_word else self._whole(part)
+        return [np.frombuffer(x, dtype=self.code) for x in out]
 
-    def _slice(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [i for i, t in enumerate(texts) if PLAIN.search(t)]
-        parts = [self.pattern.findall(t) for t in texts]
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        odd = [i for i, t in enumerate(texts) if DOUBTFUL.search(t)]
+        parts = [PRE_TOKEN.findall(t) for t in texts]
         for i in odd:
             parts[i] = []
         words = set().union(*parts)
-        new = list(words.difference(self.known))
+        new = words.difference(self.known)
         if len(self.known) + len(new) > self.memory:
-            self.known, new = {}, list(words)
-        self.known.update(zip(new, self._ask(new)))
+            self.known, new = {}, words
+        for word in new:
+            self.known[word] = self._word(word)
         ids = [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        for i, x in zip(odd, self._ask([texts[i] for i in odd])):
+        for i, x in zip(odd, self._whole([texts[i] for i in odd])):
             ids[i] = x
-        return [np.frombuffer(x, dtype=self.dtype) for x in ids]
+        return ids
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The worker process's encoder."""
+    return Encoder(path)
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -118,7 +135,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_tok
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), Encoder(tokenizer)
+        part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer)
         bits = max(1, (max(encoder.size - 1, end_id)).bit_length())
         start, held, ids, size = 0, [], [], 0
 
