@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmill.plans import conversation, edits, metadata, ocr, relational, retrieval, text  # noqa: F401
+from inkmill.plans import conversation, edits, metadata, ocr, relational, retrieval, streams, text  # noqa: F401
 from inkmill.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

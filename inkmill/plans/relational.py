@@ -29,9 +29,9 @@ def overlap(spark, tables):
     return tables("documents").filter(R.contains_either("SRC1", F.col("source")) | F.arrays_overlap(words, F.array(F.lit("tion"), F.lit("the")))).select("doc_id")
 
 
-@query("rel_json_predicate", "SELECT event_id, json_extract_string(props, '$.ref') AS ref FROM events WHERE json_extract_string(props, '$.ref') IS NOT NULL OR value IS NULL")
+@query("rel_json_predicate", "SELECT event_id, json_extract_string(props, '$.k') AS ref FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL OR value IS NULL")
 def json(spark, tables):
-    ref = F.get_json_object("props", "$.ref")
+    ref = F.get_json_object("props", "$.k")
     return tables("events").filter(ref.isNotNull() | F.col("value").isNull()).select("event_id", ref.alias("ref"))
 
 
