@@ -34,7 +34,7 @@ from inkmill.llm.common import partitions, shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK_TOKENS = 1 << 16
-MEMORY = 600_000  #: pre-tokens that an encoder remembers
+MEMORY = 1_000_000  #: pre-tokens that an encoder remembers
 #: Characters whose classes differ between Python's expressions and the tokenizer's pattern, or may.
 DOUBTFUL = re.compile("[\x1c-\x1f\x85²³¹¼½¾]|[^\x00-ɏ]")
 #: The published pattern of byte-level tokenizers, for texts without doubtful characters.
@@ -54,6 +54,17 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Known(dict):
+    """Ids of words; asks for those that it does not hold."""
+
+    def __init__(self, ask):
+        self.ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.ask(word)
+        return found
+
+
 class Encoder:
     """Encodes many texts to arrays of ids."""
 
@@ -71,7 +82,7 @@ class Encoder:
         self.by_word = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not made["normalizer"]
         self.size = self.tokenizer.get_vocab_size()
         self.code, self.letters = "H" if self.size <= 1 << 16 else "I", byte_letters()
-        self.memory, self.known = memory, {}
+        self.memory, self.known = memory, Known(self._word)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,17 +99,14 @@ class Encoder:
 
     def _slice(self, texts: list[str]) -> list[bytes]:
         odd = [i for i, t in enumerate(texts) if DOUBTFUL.search(t)]
-        parts = [PRE_TOKEN.findall(t) for t in texts]
+        whole = [texts[i] for i in odd]
         for i in odd:
-            parts[i] = []
-        words = set().union(*parts)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > self.memory:
-            self.known, new = {}, words
-        for word in new:
-            self.known[word] = self._word(word)
-        ids = [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        for i, x in zip(odd, self._whole([texts[i] for i in odd])):
+            texts[i] = ""
+        if len(self.known) > self.memory:
+            self.known.clear()
+        ask = self.known.__getitem__
+        ids = [b"".join(map(ask, PRE_TOKEN.findall(t))) for t in texts]
+        for i, x in zip(odd, self._whole(whole)):
             ids[i] = x
         return ids
 
