@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkmill.functions.core import let
+
+__all__ = ["connected", "discard", "let", "materialize", "partitions", "shared_dir", "sorted_runs"]
+
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
@@ -38,11 +42,6 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once a row even where body uses it inside lambdas."""
-    return F.transform(F.array(value), body)[0]
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

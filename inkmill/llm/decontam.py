@@ -238,8 +238,8 @@ def report(found: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without those that hold a window of an item. Documents are told apart by doc_id and text."""
-    hit = matches(docs, benchmark, window).filter(F.size("spans") > 0).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash"))
+    hit = matches(docs, benchmark, window).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__ink_id"), F.col("text_hash").alias("__ink_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__ink_id")) & (F.xxhash64("text") == F.col("__ink_hash"))
     return docs.join(hit, same, "left_anti").select(docs.columns)
 
 

@@ -91,7 +91,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: int
     size, n = 2 ** (depth + 1) - 1, len(y)
     feature, cut, value = np.full((trees, size), -1), np.zeros((trees, size)), np.zeros((trees, size))
     share = float(y.mean()) if n else 0.5
-    if not 0 < share < 1:
+    if not n or not 0 < share < 1:
         base = 0.0 if not n else (20.0 if share else -20.0)
         return Forest(feature, cut, value, base, depth)
     base = float(np.log(share / (1 - share)))

@@ -1,0 +1,344 @@
+"""Operators against plain versions of what they compute."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from inkmill.llm import cascade, common, decontam, license_scan, line_dedup, packing, pii, quality_gbdt, sharding, simhash, tokens
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+@pytest.fixture(scope="module")
+def ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    return {i: t.encode(x, add_special_tokens=False).ids for i, x in texts.items()}
+
+
+def edits(a, b):
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
+        before = now
+    return before[-1]
+
+
+def components(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    return [find(i) for i in range(n)]
+
+
+def test_connected(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
+    found = {r.node: r.root for r in common.connected(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    roots = components(500, pairs)
+    groups = {}
+    for i, r in enumerate(roots):
+        groups.setdefault(r, []).append(i)
+    want = {i: min(g) for g in groups.values() if len(g) > 1 for i in g}
+    assert found == want
+
+
+def test_op1_lines(spark):
+    import regex
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(80)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 12, 40, 130]))] for _ in range(40)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            w = list(rng.choice(base))
+            if rng.random() < 0.5:
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            lines.append(rng.choice(["", "- ", "* "]) + " ".join(w).capitalize() + rng.choice(["", ".", "!"]))
+        rows.append((i, "\n".join([*lines, "", "..."])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    norm = lambda x: regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", x.lower()).strip(" ")
+    lines = [(i, norm(x)) for i, t in rows for x in t.split("\n")]
+    names = sorted({x for _, x in lines if x})
+    words = sorted({w for x in names for w in x.split(" ")})
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    sh = []
+    for x in names:
+        w = x.split(" ")
+        sh.append(sum(1 << b for b in range(64) if 2 * sum(hashes[y] >> b & 1 for y in w) > len(w)))
+    near = [(a, b) for a in range(len(names)) for b in range(a) if (sh[a] ^ sh[b]).bit_count() <= line_dedup.RADIUS and edits(names[a], names[b]) <= int(max(len(names[a]), len(names[b])) * 0.2 + 1e-9)]
+    root = components(len(names), near)
+    number, seen, want = {x: i for i, x in enumerate(names)}, set(), {}
+    for i, t in rows:
+        kept = []
+        for x in t.split("\n"):
+            k = root[number[norm(x)]] if norm(x) else None
+            if k is None or k not in seen:
+                kept.append(x)
+                seen.add(k)
+        want[i] = "\n".join(kept)
+    got = {r.doc_id: r.text for r in line_dedup.op1(docs).collect()}
+    assert near and got == want
+
+
+def test_op1_edit_bound(spark):
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(300):
+        a = [rng.choice(["ab", "abc", "b", "ca", "dd"]) for _ in range(rng.randrange(1, 9))]
+        b = list(a)
+        for _ in range(rng.randrange(0, 4)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(0, 2)] = [rng.choice(["ab", "zz", "c"])] * rng.randrange(0, 2)
+        pairs.append((a, b or ["q"], rng.randrange(0, 6)))
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>, k int")
+    for r in df.withColumn("near", line_dedup.within(F.col("a"), F.col("b"), F.col("k"))).collect():
+        assert r.near == (edits(" ".join(r.a), " ".join(r.b)) <= r.k), r
+
+
+def test_op2_round_trip(spark, docs, texts, ids):
+    start = 0
+    for r in tokens.op2(docs).orderBy("doc_id").collect():
+        want = np.array([*ids[r.doc_id], 2], dtype="<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(want.tobytes()))
+        start += len(want)
+    path = common.shared_dir(spark)
+    tokens.write(docs, path, tokens.vocabulary_path(), block_tokens=500)
+    whole = [x for i in sorted(ids) for x in [*ids[i], 2]]
+    for at, n in ((0, 5), (499, 700), (len(whole) - 3, 3)):
+        assert tokens.read_range(spark, path, at, n).tolist() == whole[at : at + n]
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 32])
+def test_op2_packing_bits(bits):
+    ids = np.random.default_rng(bits).integers(0, 2**bits, 777).astype("<u4")
+    data = tokens.pack(ids, bits)
+    assert len(data) == -(-777 * bits // 8)
+    assert (tokens.unpack(data, bits, 777) == ids).all() and (tokens.unpack(data, bits, 33, 100) == ids[100:133]).all()
+
+
+def test_op2_encoder_is_the_library():
+    from tokenizers import Tokenizer
+
+    rng, t = random.Random(3), Tokenizer.from_file(tokens.vocabulary_path())
+    t.encode_special_tokens = True
+    letters = list("abc'sdtrevmll XYZ019 \n\t  \r!?._-éñßüèÀ\xa0²½ªº\x1c\x85ʼn日本👍क्षि٣​ ")
+    many = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(3000)] + ["<|endoftext|>", ""]
+    assert [x.tolist() for x in tokens.Encoder(tokens.vocabulary_path(), memory=200).encode(many)] == [e.ids for e in t.encode_batch(many, add_special_tokens=False)]
+
+
+def test_op3_pieces(spark, docs, ids):
+    rows = packing.pack(docs, tokens.vocabulary_path(), with_ids=True).collect()
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    for i, x in ids.items():
+        pieces = sorted(by_doc[i], key=lambda r: r.start)
+        assert np.frombuffer(b"".join(p.ids for p in pieces), dtype="<u4").tolist() == [*x, 0]
+        assert all(zlib.crc32(p.ids) == p.ids_crc32 and p.doc_tokens == len(x) + 1 for p in pieces)
+    for pieces in by_sequence.values():
+        at = 0
+        for p in sorted(pieces, key=lambda r: r.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= packing.CAPACITY
+    tokens_ = sum(len(x) + 1 for x in ids.values())
+    assert len(by_sequence) * packing.CAPACITY - tokens_ < 0.02 * tokens_ + packing.CAPACITY
+
+
+def test_op3_cut():
+    for n in range(1, 5000):
+        pieces = packing.cut(n)
+        assert sum(x for _, x in pieces) == n
+        assert all(k * x <= packing.CAPACITY for k, x in pieces)
+
+
+def test_op4_shards(docs, texts):
+    rows = sharding.op4(docs).collect()
+    shards = {}
+    for r in rows:
+        data = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(data) + 8, zlib.crc32(data), "rows")
+        shards.setdefault(r.shard, []).append(r.slot)
+    assert set(shards) == set(range(24))
+    assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in shards.values())
+
+
+def test_op4_moves_little(docs):
+    a = {r.doc_id: r.shard for r in sharding.op4(docs, 24).collect()}
+    b = {r.doc_id: r.shard for r in sharding.op4(docs, 25).collect()}
+    assert sum(a[i] != b[i] for i in a) < 0.75 * len(a)
+
+
+def test_op5_pseudonyms(spark):
+    rows = [(1, "card 4111 1111 1111 1111, 4111111111111112; ip 10.0.0.1 300.1.1.1"), (2, "card 4111 1111 1111 1111 on 2024-02-29 or 2023-02-29; +1 (988) 555-2485"), (3, "DE89 3704 0044 0532 0130 00 ssn 123-45-6789 000-12-3456 a.b@example.com")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.op5(docs).collect()}
+    cards = [re.search(r"card (\d{4} \d{4} \d{4} \d{4})", out[i])[1] for i in (1, 2)]
+    assert cards[0] == cards[1] != "4111 1111 1111 1111"
+    digits = [int(c) for c in cards[0] if c != " "][::-1]
+    assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    assert "4111111111111112" in out[1] and "300.1.1.1" in out[1] and "10.0.0.1" not in out[1]
+    assert "2023-02-29" in out[2] and "2024-02-29" not in out[2] and re.search(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}$", out[2])
+    assert "000-12-3456" in out[3] and "123-45-6789" not in out[3] and "a.b@example" not in out[3]
+    iban = re.match(r"(DE\d\d(?: \w{4}){4} \w\w)", out[3])[1].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    back = pii.pseudonymize(pii.pseudonymize(docs, "k"), "k", inverse=True)
+    assert {r.doc_id: r.text for r in back.collect()} == dict(rows)
+
+
+def test_op5_date_permutation(spark):
+    days = spark.range(20000).select(F.date_from_unix_date(F.col("id").cast("int")).cast("string").alias("text"), F.col("id").alias("doc_id"))
+    got = [r.text for r in pii.op5(days).collect()]
+    assert len(set(got)) == 20000
+
+
+def test_op6_components(docs, texts):
+    import xxhash
+
+    def plain(t):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())
+        if not w:
+            return 0
+        shingles = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
+        h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    names = sorted(texts)
+    fps = [plain(texts[i]) for i in names]
+    root = components(len(names), [(a, b) for a in range(len(names)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4])
+    least = {}
+    for i, r in zip(names, root):
+        least[r] = min(i, least.get(r, i))
+    want = {i: (f"{f:016x}", least[r]) for i, f, r in zip(names, fps, root)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op6(docs).collect()} == want
+
+
+@pytest.mark.parametrize("tile", [4096, 16])
+def test_op6_tiles_lose_no_link(spark, tile):
+    rng = np.random.default_rng(1)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (30, 60, 3), dtype=np.uint64), axis=2)
+    values = np.unique(rng.integers(0, 2**63, (30, 1), dtype=np.uint64) ^ flips)
+    df = spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fp long")
+    found = {r.node: r.root for r in common.connected(simhash.links(df, 4, tile)).collect()}
+    near = np.bitwise_count(values[:, None] ^ values[None]) <= 4
+    root = components(len(values), np.argwhere(np.tril(near, -1)).tolist())
+    pairs = {(r, found.get(int(v), int(v))) for r, v in zip(root, values.view(np.int64))}
+    assert len(pairs) == len(set(root)) == len({f for _, f in pairs})
+
+
+@pytest.mark.parametrize("block_words", [10_000, 100])
+def test_op7_windows(spark, docs, texts, block_words):
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    extra = spark.createDataFrame([(900, "of the"), (901, "Of THE!"), (902, "")], "item_id long, text string")
+    benchmark = benchmark.select("item_id", "text").union(extra)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    windows = {}
+    for r in benchmark.collect():
+        w = words(r.text)
+        k = min(10, len(w))
+        for j in range(len(w) - k + 1 if w else 0):
+            windows.setdefault(tuple(w[j : j + k]), set()).add(str(r.item_id))
+    want = {}
+    for i, t in texts.items():
+        w, hit, items = words(t), set(), set()
+        for k in {len(x) for x in windows}:
+            for p in range(len(w) - k + 1):
+                if found := windows.get(tuple(w[p : p + k])):
+                    hit |= set(range(p, p + k))
+                    items |= found
+        want[i] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))
+    out = decontam.report(decontam.matches(docs, benchmark, block_words=block_words))
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()} == want
+
+
+def test_op8_held_out_accuracy(spark):
+    big = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    held = quality_gbdt.op8(docs, labels).filter("held_out").join(labels, "doc_id").collect()
+    assert np.mean([r.predicted == r.quality for r in held]) > 0.97
+
+
+def test_op8_fit_learns():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2000, len(quality_gbdt.FEATURES)))
+    y = ((x[:, 0] > 0) ^ (x[:, 3] > 0.5)).astype(float)
+    forest = quality_gbdt.fit(x[:1500], y[:1500])
+    assert np.mean((forest.score(x[1500:]) > 0.5) == y[1500:]) > 0.93
+
+
+def test_op9_equals_the_model(spark):
+    model = license_scan.trained()
+    lines = ["Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "You need a licence to drive.", "no notice here", "SPDX-License-Identifier: Apache-2.0", "permission granted by the keeper of the public domain"]
+    got = {r.text: r.licences for r in license_scan.scan(spark.createDataFrame([(t,) for t in lines], "text string")).collect()}
+    for line in lines:
+        if not re.search("|".join(license_scan.ANCHORS), line.lower()):
+            assert got[line] == []
+            continue
+        p = model.probabilities(line)
+        assert abs(got[line][0].probability - p.max()) < 2e-6
+    assert [got[x][0].family for x in lines[:3]] == ["CC-BY-NC", "MIT", "unknown"] and got[lines[4]][0].family == "Apache"
+
+
+def test_op9_held_out_accuracy():
+    model = license_scan.trained()
+    x, y = license_scan.examples(99, 20)
+    guess = [int(np.argmax(sum((np.array(model.weights[g]) for g in row if g in model.weights), np.array(model.bias)))) for row in x]
+    assert np.mean(np.array(guess) == np.array(y)) > 0.94
+
+
+def test_op10_repeated_words(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 30)))) for i in range(200)]
+    got = {r.doc_id: r.n_repeat_words for r in cascade.op10(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        w = t.split()
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        assert got[i] == len({k + d for k, g in enumerate(grams) if grams.count(g) > 1 for d in range(3)})
+
+
+def test_op10_order_changes_no_verdict(docs):
+    chain = cascade.ordered(docs)
+    assert {r.name for r in chain} == {r.name for r in cascade.RULES}
+    verdict = lambda rules: {r.doc_id for r in docs.filter(cascade.on_text(F.col("text"), lambda m: cascade.first_rejection(rules, m)).isNull()).collect()}
+    assert verdict(chain) == verdict(cascade.RULES[::-1])
+
+
+def test_pipeline_whole(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.materialize(stage(spark, docs, SF))
+        sizes.append(docs.count())
+    assert sizes[0] >= sizes[2] >= sizes[3] > 0
+    assert docs.agg(F.countDistinct("doc_id")).first()[0] == sizes[3]
