@@ -136,7 +136,8 @@ def cover_density(positions: list[Column]) -> Column:
     and the earliest of their last places is later than that of the cover before.
     """
     n = len(positions)
-    places = F.array_sort(F.flatten(F.array(*[F.transform(p, lambda x, t=t: F.struct(x.alias("p"), F.lit(t).alias("t"))) for t, p in enumerate(positions)])))
+    tagged = lambda p, t: F.transform(p, lambda x: F.struct(x.alias("p"), F.lit(t).alias("t")))
+    places = F.array_sort(F.flatten(F.array(*[tagged(p, t) for t, p in enumerate(positions)])))
     start = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("before"), F.lit(0.0).alias("total"))
 
     def step(s: Column, x: Column) -> Column:

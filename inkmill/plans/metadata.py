@@ -16,7 +16,7 @@ def chunked(spark, tables):
 
 
 @query("chunk_headings", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT doc_id, regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM l)
-SELECT doc_id, count(*) FILTER (length(t) BETWEEN 1 AND 80 AND (regexp_matches(t, '^\d+(\.\d+)*[.)\s]') OR (length(t) > 3 AND upper(t) = t AND regexp_matches(t, '\p{L}') AND NOT regexp_matches(t, '\p{Ll}')) OR (length(t) < 60 AND NOT regexp_matches(t, '[.،۔:;]$')))) AS headings FROM t GROUP BY doc_id""")
+SELECT doc_id, count(*) FILTER (length(t) BETWEEN 1 AND 80 AND (regexp_matches(t, '^\d+(\.\d+)*[.)\s]') OR (length(t) > 3 AND regexp_matches(t, '\p{Lu}') AND NOT regexp_matches(t, '[\p{Ll}\p{Lt}]')) OR (length(t) < 60 AND NOT regexp_matches(t, '[.،۔:;]$')))) AS headings FROM t GROUP BY doc_id""")
 def headings(spark, tables):
     lines = tables("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.groupBy("doc_id").agg(F.count_if(C.is_heading(F.col("line"))).alias("headings"))
