@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from inkmill.functions.core import let
+
 # The character sets by which Arabic text is normalised and judged.
 MARKS = "[\u064b-\u065f\u0670\u06d6-\u06ed\u0640]"
 FOLD_FROM = "\u0623\u0625\u0622\u0671\u0649\u0629\u0624\u0626" + "".join(chr(0x0660 + i) for i in range(10)) + "".join(chr(0x06F0 + i) for i in range(10))
@@ -83,17 +85,19 @@ def word_count(t: Column) -> Column:
 def gibberish_score(t: Column) -> Column:
     """From 0 to 1, higher is worse: broken, control and single characters, word lengths, presentation forms. Blank is 1."""
     n = F.length(t)
-    w = words(t)
-    total = F.size(w)
-    replaced = count_of(t, "[\ufffd\ufffe]") / n
-    control = count_of(t, r"[\x00-\x08\x0b\x0e-\x1f]") / n
-    single = F.size(F.filter(w, lambda x: F.length(x) == 1)) / total
-    mean = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)) / total
-    length = F.when(mean.between(2, 14), 0.0).otherwise(F.least(F.lit(1.0), F.abs(mean - 8) / 12))
     arabic = count_of(t, f"[{ARABIC}]")
     forms = F.when(arabic == 0, 0.0).otherwise(count_of(t, f"[{PRESENTATION}]") / arabic)
-    score = 2.0 * replaced + 2.0 * control + 0.6 * single + 0.5 * length + 0.8 * forms
-    return F.when(t.isNull() | (total == 0), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    broken = 2.0 * count_of(t, "[\ufffd\ufffe]") / n + 2.0 * count_of(t, r"[\x00-\x08\x0b\x0e-\x1f]") / n
+
+    def score(w: Column) -> Column:
+        total = F.size(w)
+        single = F.size(F.filter(w, lambda x: F.length(x) == 1)) / total
+        mean = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)) / total
+        length = F.when(mean.between(2, 14), 0.0).otherwise(F.least(F.lit(1.0), F.abs(mean - 8) / 12))
+        whole = broken + 0.6 * single + 0.5 * length + 0.8 * forms
+        return F.when(total == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), whole)))
+
+    return F.when(t.isNull(), 1.0).otherwise(let(words(t), score))
 
 
 def heuristic_tokens(t: Column) -> Column:

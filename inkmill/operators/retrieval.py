@@ -184,14 +184,19 @@ def fuse(vec: DataFrame, fts: DataFrame) -> DataFrame:
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the words, each with two blanks before and one after."""
-    padded = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0))
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Shared by all trigrams."""
-    either = F.size(F.array_union(a, b))
-    return F.when(either == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """Shared by all trigrams, from two sets of them."""
+
+    def share(x: Column) -> Column:
+        either = F.size(x["a"]) + F.size(x["b"]) - x["n"]
+        return F.when(either == 0, 0.0).otherwise(x["n"] / either)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: share({"a": x["a"], "b": x["b"], "n": F.size(F.array_intersect(x["a"], x["b"]))}))
 
 
 def fuzzy(chunks: DataFrame, query: str, top_k: int = TOP_K) -> DataFrame:

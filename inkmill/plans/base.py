@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkmill.session import table
+from inkmill.session import spread, table
 
+#: Tables whose rows are worth more time than moving them takes.
+TEXTS = ("documents", "pages")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -16,7 +18,7 @@ def query(name: str, sql: str | None = None):
     """Registers a function (spark, tables) as a query; tables(name) reads a supplied table."""
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(spark, lambda t: table(spark, sf_dir, t))
+        QUERIES[name] = lambda spark, sf_dir: f(spark, lambda t: spread(table(spark, sf_dir, t)) if t in TEXTS else table(spark, sf_dir, t))
         if sql:
             ORACLE_SQL[name] = sql
         return f

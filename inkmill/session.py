@@ -26,3 +26,12 @@ def build(master: str = "local[*]", name: str = "inkmill", **conf: str) -> Spark
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the supplied tables, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df):
+    """df over as many tasks as the session has cores at least: a table in one small file would keep all but one idle.
+
+    Larger tables are left as they are, so this moves little data at any size.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
