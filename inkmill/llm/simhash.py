@@ -52,16 +52,16 @@ def fingerprint(words: list[bytes], width: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) for each row of docs."""
+    """doc_id, text_hash and fp (the fingerprint as a signed long) for each row of docs."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # bytes.lower() and bytes.split() know only ASCII letters and white space, as the definition does.
-            fps = [fingerprint((t or "").encode().lower().split(), width) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            fps = [fingerprint((t or "").encode().lower().split(), width) for t in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def block_bounds(radius: int) -> list[tuple[int, int]]:
@@ -134,19 +134,19 @@ def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
 
 
 def components(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id for each row of docs."""
+    """doc_id, text_hash, fp and component_id for each row of docs."""
     fps = materialize(fingerprints(docs, width, id_col, text_col))
     values = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected(links(values.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
     values = values.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = values.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(values.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(values.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """docs without those whose component holds a lesser doc_id; rows that repeat a kept doc_id stay, rows without an id go."""
-    kept = components(docs, width, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """docs without those whose component holds a lesser doc_id. Rows equal in doc_id and text share their fate; rows without an id stay."""
+    gone = components(docs, width, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("__ink_id"), F.col("text_hash").alias("__ink_hash")).distinct()
+    return docs.join(gone, (docs["doc_id"] == F.col("__ink_id")) & (F.xxhash64(docs["text"]) == F.col("__ink_hash")), "left_anti").select(docs.columns)
 
 
 def op6(docs: DataFrame) -> DataFrame:
