@@ -82,3 +82,9 @@ def apply_changes(page: Column, kept: Column) -> Column:
 
 def change_id(page_number: Column, c: Column) -> Column:
     return F.concat_ws("-", page_number, c["span_start"], c["span_end"])
+
+
+def chosen_pages(pages: Column, wanted: Column) -> Column:
+    """Pages (number, text) to be corrected: those wanted, all where none are named; blank ones never."""
+    every = F.coalesce(F.size(wanted), F.lit(0)) == 0
+    return F.filter(pages, lambda p: p["text"].rlike(r"[^\s\p{Z}]") & (every | F.array_contains(wanted, p["number"])))

@@ -243,3 +243,9 @@ def neighbours(chunks: DataFrame, hits: DataFrame, before: int = 1, after: int =
     h = hits.select("revision_id", F.col("chunk_index").alias("hit_index"))
     near = F.col("chunk_index").between(F.col("hit_index") - before, F.col("hit_index") + after)
     return chunks.join(h, "revision_id").filter(near)
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """word, chunk_id and places: an inverted index as a table, to be written bucketed by word where many queries follow."""
+    rows = chunks.select("chunk_id", F.posexplode(tokens(F.col("text"))).alias("place", "word"))
+    return rows.groupBy("word", "chunk_id").agg(F.array_sort(F.collect_list("place")).alias("places"))

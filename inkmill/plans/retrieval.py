@@ -80,3 +80,10 @@ def neighbours(spark, tables):
     turns = tables("conversations").select(F.col("conv_id").alias("revision_id"), F.col("turn").alias("chunk_index"), "role")
     near = R.neighbours(turns.drop("role"), turns.filter("role = 'system' OR chunk_index % 5 = 2"), 1, 2)
     return near.select(F.col("revision_id").alias("conv_id"), F.col("chunk_index").alias("turn"), F.col("hit_index").alias("hit_turn"))
+
+
+@query("retrieval_postings", r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS word FROM t)
+SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_chunks FROM p GROUP BY word HAVING count(DISTINCT doc_id) > 20""")
+def postings(spark, tables):
+    rows = R.postings(tables("documents").withColumnRenamed("doc_id", "chunk_id"))
+    return rows.groupBy("word").agg(F.sum(F.size("places")).alias("n"), F.count("*").alias("n_chunks")).filter("n_chunks > 20")

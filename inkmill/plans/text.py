@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkmill.functions import sql
 from inkmill.functions import text as T
 from inkmill.plans.base import Literal, query
 
@@ -114,3 +115,9 @@ def filenames(spark, tables):
 def vectors(spark, tables):
     rows = tables("embeddings").select("vec_id", T.l2_normalize(F.col("embedding")).alias("v"))
     return rows.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"), F.round(F.col("v")[0], 6).alias("first"))
+
+
+@query("text_sql_function", f"WITH {ARABIC_TEXTS.sql()} SELECT id, lower(translate(regexp_replace(text, '{T.MARKS}', '', 'g'), '{T.FOLD_FROM}', '{T.FOLD_TO}')) AS norm FROM samples")
+def sql_function(spark, tables):
+    sql.register(spark)
+    return ARABIC_TEXTS.df(spark).selectExpr("id", "ar_normalize(text) AS norm")
