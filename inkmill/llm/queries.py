@@ -25,5 +25,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_benchmark_decontamination": lambda spark, sf_dir: decontam.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op7_benchmark_decontamination": decontam.OP7_SQL,
     "op10_quality_rules": cascade.OP10_SQL,
 }
