@@ -219,8 +219,9 @@ def hybrid_search(chunks: DataFrame, query: str | None, vector: list[float] | No
         found = fuzzy(scoped(chunks, doc_ids), query, top_k)
     else:
         found = fuse(dense(inside, vector), lexical(inside, query)).orderBy(F.desc("score"), "chunk_id").limit(top_k)
-        if found.isEmpty():
-            found = fuzzy(scoped(chunks, doc_ids), query, top_k)
+        # At most TOP_K_MOST rows of three numbers: fetched once, so that neither channel runs again below.
+        rows = found.select("chunk_id", "rank_vec", "rank_fts", "score").collect()
+        found = chunks.sparkSession.createDataFrame(rows, found.schema) if rows else fuzzy(scoped(chunks, doc_ids), query, top_k)
     # Texts are fetched for the few ids found only.
     return chunks.join(F.broadcast(found), "chunk_id").orderBy(F.desc("score"), "chunk_id")
 
