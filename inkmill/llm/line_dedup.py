@@ -1,14 +1,16 @@
 """Fuzzy line dedup (DataFrame functions only): SimHash, pigeonhole blocks, edit similarity, one occurrence a group.
 
 Lines are normalised (lower case; runs of other than letters, marks and digits become one space) and
-named by a 64-bit hash. A line's SimHash takes its words, repeats included: a bit is set if set in over
-half of their hashes. Two lines link if their SimHashes differ in at most `radius` bits and their edit
+named by a 64-bit hash. A line's SimHash takes each of its words once: a bit is set if set in over half of
+their hashes. (Counted with repeats, the few words that all lines share decide most bits, and
+unrelated lines meet by the square of their number.) Two lines link if their SimHashes differ in at most `radius` bits and their edit
 similarity, 1 - edits / length of the longer, is `similarity` or more. Of each connected group the
 first occurrence stays, by doc_id (null last), then text hash, then place; the others are dropped.
 Lines without letters or digits always stay.
 
 Candidates: SimHashes within the radius agree in all bits of blocks - radius of `blocks` blocks at
-least; lines are dealt by the bits of each such choice of blocks. The pairs of a bucket are never
+least; lines are dealt by the bits of each such choice of blocks (with six blocks 32 bits, so that
+unrelated lines hardly ever meet). The pairs of a bucket are never
 listed. First each line is compared with its bucket's first line only, and the links give components;
 then lines outside their bucket's largest component are compared with the bucket's lines of other
 components. What is left out lies within one component already, so components come out as if all
@@ -33,7 +35,7 @@ from pyspark.sql.window import Window
 
 from inkmill.llm.common import connected, discard, let, materialize
 
-RADIUS, BLOCKS, SIMILARITY = 3, 5, 0.8
+RADIUS, BLOCKS, SIMILARITY = 3, 6, 0.8
 BROADCAST_ROWS = 2_000_000  #: a side of two longs a row is broadcast up to this many rows (some 32 MB)
 
 
@@ -74,9 +76,11 @@ def simhash(words: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Every line: doc_id, text_hash, place, norm (empty where it holds no letter or digit)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(text_col, "\n")).alias("place", "line"))
-    return rows.select("doc_id", "text_hash", "place", normalised(F.col("line")).alias("norm"))
+    """Every line: doc_id, text_hash, place, line (the hash of the normalised line; null where nothing is left), sh (its SimHash) and size (its characters)."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(text_col, "\n")).alias("place", "text"))
+    rows = rows.select("doc_id", "text_hash", "place", normalised(F.col("text")).alias("norm"))
+    norm = F.col("norm")
+    return rows.select("doc_id", "text_hash", "place", F.when(norm != "", F.xxhash64(norm)).alias("line"), F.when(norm != "", simhash(F.array_distinct(F.split(norm, " ")))).alias("sh"), F.length(norm).alias("size"))
 
 
 def block_values(radius: int, blocks: int) -> Column:
@@ -93,42 +97,92 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float, text_col: str, id_col: str) -> DataFrame:
+def texts_of(lines: DataFrame, ends: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """line and words of the lines in ends, each read from one text that holds it."""
+    where = lines.join(small(ends, ends.count()), "line").groupBy("line").agg(F.min(F.struct("text_hash", "place")).alias("at"))
+    where = materialize(where.groupBy("at.text_hash").agg(F.collect_list(F.struct("line", "at.place")).alias("points")))  # a text's own lines at most
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(small(where, ends.count()), "text_hash")
+    split = let(F.split("text", "\n"), lambda x: F.transform("points", lambda p: F.struct(p["line"].alias("line"), F.get(x, p["place"]).alias("text"))))
+    found = texts.select(F.explode(split).alias("x")).select("x.line", normalised(F.col("x.text")).alias("norm"))
+    out = materialize(found.filter(F.xxhash64("norm") == F.col("line")).distinct().select("line", F.split("norm", " ").alias("words")))
+    discard(where)
+    return out
+
+
+def within(a: Column, b: Column, allowed: Column) -> Column:
+    """Whether the edit distance of two lines, given as words, is allowed.
+
+    Words that both begin or end with leave the distance as it is. What is left is first bounded from
+    above by the distances word by word; only if that is too much is the distance itself computed, in
+    a band as wide as allowed.
+    """
+    shared = lambda x, y: F.coalesce(F.nullif(F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False), F.lit(0)) - 1, F.size(x)).cast("int")
+    cut = lambda x, first, n: F.slice(x, first + 1, n)
+
+    def middles(s: Column) -> Column:
+        head = shared(s["a"], s["b"])
+        return F.struct(*[F.reverse(cut(s[c], head, F.size(s[c]) - head)).alias(c) for c in "ab"])
+
+    def tails(s: Column) -> Column:
+        tail = shared(s["a"], s["b"])
+        return F.struct(*[F.reverse(cut(s[c], tail, F.size(s[c]) - tail)).alias(c) for c in "ab"])
+
+    def decide(s: Column) -> Column:
+        x, y = s["a"], s["b"]
+        word_by_word = F.aggregate(F.zip_with(x, y, lambda p, q: F.levenshtein(p, q)), F.lit(0), lambda t, d: t + d)
+        # Where one side has nothing left, a blank goes with the other side's words.
+        left = allowed - ((F.size(x) == 0) != (F.size(y) == 0)).cast("int")
+        exact = F.call_function("levenshtein", F.array_join(x, " "), F.array_join(y, " "), F.greatest(left, F.lit(0))) >= 0
+        return F.when((F.size(x) == F.size(y)) & (word_by_word <= allowed), True).otherwise((left >= 0) & exact)
+
+    return let(let(let(F.struct(a.alias("a"), b.alias("b")), middles), tails), decide)
+
+
+def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float, text_col: str) -> DataFrame:
     """Of pairs (u, v) of lines those with the edit similarity, as a table."""
     pairs = materialize(pairs.distinct())
     ends = materialize(pairs.select(F.col("u").alias("line")).union(pairs.select("v")).distinct())
-    norms = lines_of(docs, text_col, id_col).filter("norm <> ''").select(F.xxhash64("norm").alias("line"), "norm")
-    texts = materialize(norms.join(small(ends, ends.count()), "line", "left_semi").distinct())
-    both = pairs.join(texts.select(F.col("line").alias("u"), F.col("norm").alias("a")), "u").join(texts.select(F.col("line").alias("v"), F.col("norm").alias("b")), "v")
-    both = both.withColumn("allowed", F.floor(F.greatest(F.length("a"), F.length("b")) * (1 - similarity) + 1e-9).cast("int"))
-    # Within a limit the distance is computed in a band; beyond it the result is -1.
-    near = both.filter(F.abs(F.length("a") - F.length("b")) <= F.col("allowed")).filter("levenshtein(a, b, allowed) >= 0")
+    texts = texts_of(lines, ends, docs, text_col)
+    both = pairs.join(texts.select(F.col("line").alias("u"), F.col("words").alias("a")), "u").join(texts.select(F.col("line").alias("v"), F.col("words").alias("b")), "v")
+    length = lambda c: F.length(F.array_join(c, " "))
+    both = both.withColumn("m", F.greatest(length("a"), length("b"))).withColumn("k", F.least(length("a"), length("b")))
+    allowed = F.floor(F.col("m") * (1 - similarity) + 1e-9).cast("int")
+    near = both.withColumn("allowed", allowed).filter(F.col("m") - F.col("k") <= F.col("allowed")).filter(within(F.col("a"), F.col("b"), F.col("allowed")))
     out = materialize(near.select("u", "v"))
     for table in (pairs, ends, texts):
         discard(table)
     return out
 
 
-def groups(lines: DataFrame, docs: DataFrame, radius: int, blocks: int, similarity: float, text_col: str, id_col: str) -> DataFrame:
-    """(node, root) of lines that link to other lines; lines: line and sh of every occurrence."""
-    distinct = lines.groupBy("line").agg(F.min("sh").alias("sh"))
+def groups(lines: DataFrame, docs: DataFrame, radius: int, blocks: int, similarity: float, text_col: str) -> DataFrame:
+    """(node, root) of lines that link to other lines; lines: what lines_of() returned, without lines of no words."""
+    distinct = materialize(lines.groupBy("line").agg(F.min("sh").alias("sh"), F.min("size").alias("size")))
     by = Window.partitionBy("bucket").orderBy("line")
-    dealt = distinct.select("line", "sh", block_values(radius, blocks).alias("bucket"))
-    first = F.first(F.struct("line", "sh")).over(by)
-    dealt = dealt.withColumn("first", first).withColumn("more", F.lead("line").over(by).isNotNull())
-    dealt = materialize(dealt.filter("more OR line <> first.line").select("bucket", "line", "sh", F.col("first.line").alias("leader"), F.col("first.sh").alias("leader_sh")))
-    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-    stars = dealt.filter((F.col("line") != F.col("leader")) & apart("sh", "leader_sh")).select(F.col("line").alias("u"), F.col("leader").alias("v"))
-    links = verified(stars, docs, similarity, text_col, id_col)
+    # Of all entries only names travel; SimHashes follow for the few in buckets of two lines or more.
+    entries = distinct.select("line", block_values(radius, blocks).alias("bucket"))
+    entries = entries.withColumn("is_first", F.lag("line").over(by).isNull()).withColumn("more", F.lead("line").over(by).isNotNull())
+    shared = materialize(entries.filter("more OR NOT is_first").drop("more"))
+    dealt = materialize(distinct.join(shared, "line"))
+    discard(shared)
+    discard(distinct)
+
+    def near(a: str, b: str, m: str, n: str) -> Column:
+        """SimHashes within the radius, and lengths that the edit similarity does not rule out."""
+        differ = F.abs(F.col(m) - F.col(n)) <= F.floor(F.greatest(m, n) * (1 - similarity) + 1e-9)
+        return (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius) & differ
+
+    firsts = dealt.filter("is_first").select("bucket", F.col("line").alias("v"), F.col("sh").alias("sv"), F.col("size").alias("nv"))
+    stars = dealt.filter("NOT is_first").join(firsts, "bucket").filter(near("sh", "sv", "size", "nv")).select(F.col("line").alias("u"), "v")
+    links = verified(stars, lines, docs, similarity, text_col)
     roots = materialize(connected(links))
-    named = dealt.select("bucket", "line", "sh").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    named = dealt.select("bucket", "line", "sh", "size").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     sizes = named.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("n"))
     # Buckets of one component need nothing more.
     mixed = materialize(named.join(sizes.filter("n > 1"), "bucket"))
-    rest = mixed.filter("root <> main").select("bucket", F.col("line").alias("u"), F.col("root").alias("ru"), F.col("sh").alias("su"))
-    all_ = mixed.select("bucket", F.col("line").alias("v"), F.col("root").alias("rv"), F.col("sh").alias("sv"), (F.col("root") == F.col("main")).alias("in_main"))
-    pairs = rest.join(all_, "bucket").filter((F.col("ru") != F.col("rv")) & (F.col("in_main") | (F.col("u") < F.col("v"))) & apart("su", "sv"))
-    more = verified(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), docs, similarity, text_col, id_col)
+    rest = mixed.filter("root <> main").select("bucket", F.col("line").alias("u"), F.col("root").alias("ru"), F.col("sh").alias("su"), F.col("size").alias("nu"))
+    all_ = mixed.select("bucket", F.col("line").alias("v"), F.col("root").alias("rv"), F.col("sh").alias("sv"), F.col("size").alias("nv"), (F.col("root") == F.col("main")).alias("in_main"))
+    pairs = rest.join(all_, "bucket").filter((F.col("ru") != F.col("rv")) & (F.col("in_main") | (F.col("u") < F.col("v"))) & near("su", "sv", "nu", "nv"))
+    more = verified(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), lines, docs, similarity, text_col)
     out = materialize(connected(links.union(more)))
     for table in (dealt, links, roots, mixed, more):
         discard(table)
@@ -137,10 +191,8 @@ def groups(lines: DataFrame, docs: DataFrame, radius: int, blocks: int, similari
 
 def marked(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Of documents that lose a line: doc_id, text_hash and drop, an array with a flag for every line."""
-    norm = F.col("norm")
-    rows = lines_of(docs, text_col, id_col).select("doc_id", "text_hash", "place", F.when(norm != "", F.xxhash64(norm)).alias("line"), F.when(norm != "", simhash(F.split(norm, " "))).alias("sh"))
-    rows = materialize(rows)
-    roots = groups(rows.filter("line IS NOT NULL").select("line", "sh"), docs, radius, blocks, similarity, text_col, id_col)
+    rows = materialize(lines_of(docs, text_col, id_col))
+    roots = groups(rows.filter("line IS NOT NULL"), docs, radius, blocks, similarity, text_col)
     rows = rows.select("doc_id", "text_hash", "place", "line")
     named = rows.join(small(roots.withColumnRenamed("node", "line"), roots.count()), "line", "left").withColumn("root", F.coalesce("root", "line")).drop("line")
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"), F.col("place"))
@@ -151,14 +203,14 @@ def marked(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, similari
 
 
 def dedup_lines(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with the repeated lines taken out of text_col; adds n_dropped (long)."""
-    found = marked(docs, radius, blocks, similarity, text_col, id_col).select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), F.col("drop").alias("found_drop"))
-    same = (F.xxhash64(text_col) == F.col("found_hash")) & F.col(id_col).eqNullSafe(F.col("found_id"))
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.get(F.col("found_drop"), i)), "\n")
+    """docs with the repeated lines taken out of text_col; adds n_dropped (long), in place of a column of that name."""
+    found = marked(docs, radius, blocks, similarity, text_col, id_col).select(F.col("doc_id").alias("__ink_id"), F.col("text_hash").alias("__ink_hash"), F.col("drop").alias("__ink_drop"))
+    same = (F.xxhash64(text_col) == F.col("__ink_hash")) & F.col(id_col).eqNullSafe(F.col("__ink_id"))
+    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.get(F.col("__ink_drop"), i)), "\n")
     joined = docs.join(found, same, "left")
-    clean = F.when(F.col("found_drop").isNull(), F.col(text_col)).otherwise(kept)
-    dropped = F.size(F.filter(F.coalesce("found_drop", F.array().cast("array<boolean>")), lambda x: x)).cast("long")
-    return joined.select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns], dropped.alias("n_dropped"))
+    clean = F.when(F.col("__ink_drop").isNull(), F.col(text_col)).otherwise(kept)
+    dropped = F.size(F.filter(F.coalesce("__ink_drop", F.array().cast("array<boolean>")), lambda x: x)).cast("long")
+    return joined.select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns if c != "n_dropped"], dropped.alias("n_dropped"))
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def test_op1_lines(spark):
     hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
     sh = []
     for x in names:
-        w = x.split(" ")
+        w = set(x.split(" "))
         sh.append(sum(1 << b for b in range(64) if 2 * sum(hashes[y] >> b & 1 for y in w) > len(w)))
     near = [(a, b) for a in range(len(names)) for b in range(a) if (sh[a] ^ sh[b]).bit_count() <= line_dedup.RADIUS and edits(names[a], names[b]) <= int(max(len(names[a]), len(names[b])) * 0.2 + 1e-9)]
     root = components(len(names), near)
