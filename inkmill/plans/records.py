@@ -76,10 +76,10 @@ def first_valid(spark, tables):
     return Q.first_valid(attempts, "o_custkey", {"doc_type": "other"})
 
 
-@query("ocr_fan_out_cost", "SELECT s_nationkey AS batch_id, round(sum(p * CASE e WHEN 'tesseract' THEN 3 ELSE 12 END), 6) AS seconds FROM (SELECT s_nationkey, s_suppkey % 9 AS p, unnest(['tesseract', 'surya']) AS e FROM supplier) GROUP BY 1")
+@query("ocr_fan_out_cost", "SELECT s_nationkey AS batch_id, round(sum(p * CASE e WHEN 'fast' THEN 3 ELSE 12 END), 6) AS seconds FROM (SELECT s_nationkey, s_suppkey % 9 AS p, unnest(['fast', 'exact']) AS e FROM supplier) GROUP BY 1")
 def cost(spark, tables):
-    batches = tables("supplier").select(F.col("s_nationkey").alias("batch_id"), (F.col("s_suppkey") % 9).alias("pages"), F.array(F.lit("tesseract"), F.lit("surya")).alias("engines"))
-    engines = spark.sql("SELECT * FROM VALUES ('tesseract', 3.0D), ('surya', 12.0D) AS e(engine, seconds)")
+    batches = tables("supplier").select(F.col("s_nationkey").alias("batch_id"), (F.col("s_suppkey") % 9).alias("pages"), F.array(F.lit("fast"), F.lit("exact")).alias("engines"))
+    engines = spark.sql("SELECT * FROM VALUES ('fast', 3.0D), ('exact', 12.0D) AS e(engine, seconds)")
     return Q.estimated_cost(Q.fan_out(batches), engines).select("batch_id", F.round("seconds", 6).alias("seconds"))
 
 
