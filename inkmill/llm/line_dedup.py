@@ -36,6 +36,7 @@ from pyspark.sql.window import Window
 from inkmill.llm.common import connected, discard, let, materialize
 
 RADIUS, BLOCKS, SIMILARITY = 3, 6, 0.8
+NARROW = 16  #: edits that the first, narrow band looks for
 BROADCAST_ROWS = 2_000_000  #: a side of two longs a row is broadcast up to this many rows (some 32 MB)
 
 
@@ -44,35 +45,32 @@ def normalised(line: Column) -> Column:
 
 
 def majority(hashes: Column, n: Column, width: int) -> Column:
-    """The bits set in over half of n hashes, counted in lanes of `width` bits; n may reach 2 ** (width - 2) - 1."""
+    """The bits set in over half of n hashes, counted in lanes of `width` bits; n may reach 2 ** (width - 2) - 1.
+
+    Counter j is a long of its own, which takes every width-th bit from bit j on: Spark interprets folds,
+    and one with a number for its state costs a third of one with a struct of them.
+    """
     ones = sum(1 << i for i in range(0, 64, width))
     unit = F.lit(ones).cast("long")
-
-    def add(state: Column, h: Column) -> Column:
-        return F.struct(*[(state[f"c{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(unit)).alias(f"c{j}") for j in range(width)])
-
-    start = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(width)])
     # Counts of over n / 2, raised by what is missing to half of the lane, set the lane's last bit but one.
     lift = ((1 << (width - 2)) - 1 - F.floor(n / 2)) * unit
-    last = F.lit(ones << (width - 2)).cast("long")
+    last, out = F.lit(ones << (width - 2)).cast("long"), F.lit(0).cast("long")
 
-    def bits(c: Column) -> Column:
-        out = None
-        for j in range(width):
-            lane = (c[f"c{j}"] + lift).bitwiseAND(last)
-            lane = F.shiftrightunsigned(lane, width - 2 - j) if j <= width - 2 else F.shiftleft(lane, 1)
-            out = lane if out is None else out.bitwiseOR(lane)
-        return out
+    def counted(j: int) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda c, h: c + F.shiftrightunsigned(h, j).bitwiseAND(unit))
 
-    return F.aggregate(hashes, start, add, bits)
+    for j in range(width):
+        bits = (counted(j) + lift).bitwiseAND(last)
+        out = out.bitwiseOR(F.shiftrightunsigned(bits, width - 2 - j) if j <= width - 2 else F.shiftleft(bits, 1))
+    return out
 
 
 def simhash(words: Column) -> Column:
-    def run(w: Column) -> Column:
-        n, hashes = F.size(w), F.transform(w, lambda x: F.xxhash64(x))
+    def run(hashes: Column) -> Column:
+        n = F.size(hashes)
         return F.when(n < 1 << 6, majority(hashes, n, 8)).when(n < 1 << 14, majority(hashes, n, 16)).otherwise(majority(hashes, n, 32))
 
-    return let(words, run)
+    return let(F.transform(words, lambda w: F.xxhash64(w)), run)
 
 
 def lines_of(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -114,7 +112,7 @@ def within(a: Column, b: Column, allowed: Column) -> Column:
 
     Words that both begin or end with leave the distance as it is. What is left is first bounded from
     above by the distances word by word; only if that is too much is the distance itself computed, in
-    a band as wide as allowed.
+    a narrow band and, if that does not do, in one as wide as allowed.
     """
     shared = lambda x, y: F.coalesce(F.nullif(F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False), F.lit(0)) - 1, F.size(x)).cast("int")
     cut = lambda x, first, n: F.slice(x, first + 1, n)
@@ -132,7 +130,8 @@ def within(a: Column, b: Column, allowed: Column) -> Column:
         word_by_word = F.aggregate(F.zip_with(x, y, lambda p, q: F.levenshtein(p, q)), F.lit(0), lambda t, d: t + d)
         # Where one side has nothing left, a blank goes with the other side's words.
         left = allowed - ((F.size(x) == 0) != (F.size(y) == 0)).cast("int")
-        exact = F.call_function("levenshtein", F.array_join(x, " "), F.array_join(y, " "), F.greatest(left, F.lit(0))) >= 0
+        banded = lambda k: F.call_function("levenshtein", F.array_join(x, " "), F.array_join(y, " "), k) >= 0
+        exact = banded(F.least(F.greatest(left, F.lit(0)), F.lit(NARROW))) | banded(F.greatest(left, F.lit(0)))
         return F.when((F.size(x) == F.size(y)) & (word_by_word <= allowed), True).otherwise((left >= 0) & exact)
 
     return let(let(let(F.struct(a.alias("a"), b.alias("b")), middles), tails), decide)
