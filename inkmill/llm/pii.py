@@ -13,7 +13,7 @@ document, different ones different pseudonyms, and who holds the key can undo it
 | ip | four numbers up to 255 | all 32 bits |
 | date | a day of the calendar, as y-m-d, d/m/y or d.m.y | days within its 400 years |
 | email | an address | letters and digits before the last dot, each within its kind |
-| secret | access keys; a value after password, token, secret or key | letters and digits, each within its kind |
+| secret | access keys; a value after password, token, secret or key, in any case and with any prefix (SECRET_KEY, accessToken) | letters and digits, each within its kind |
 
 What no check accepts stays as it is, and so does all other text. Text of letters and digits is
 permuted in two halves, each character moved within its own kind, so punctuation stays in place.
@@ -35,7 +35,7 @@ LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTU
 #: Patterns of the kinds, in the order in which they are tried.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"\bAKIA[A-Z0-9]{16}\b|\b(?:password|passwd|token|secret|api_key|key) ?[=:] ?[\"']?[A-Za-z0-9_/+-]{8,}",
+    "secret": r"\bAKIA[A-Z0-9]{16}\b|(?:(?<![A-Za-z0-9])(?i:password|passwd|token|secret|(?:api|access|secret|private)[_-]?key|key)|(?<=[a-z0-9])(?:Password|Token|Secret|Key)) ?[=:] ?[\"']?[A-Za-z0-9_/+-]{8,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)",
@@ -44,8 +44,6 @@ PATTERNS = {
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without this holds none of the kinds.
-HINT = r"@|\d\d|[=:] ?[\"']?[A-Za-z0-9_/+-]{8}"
 CYCLE = 146_097  # days in 400 years, 27 * 5411
 NANP = r"(?:\+1[ .-]?)?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}"
 
@@ -210,7 +208,7 @@ def secret(m: Column, key: str, inverse: bool) -> Column:
         mixed = permute_text(x["rest"], f"{key}secret", [LOWER, UPPER, DIGITS], inverse)
         return F.concat(x["start"], F.when(x["rest"].rlike("^[0-9a-f]+$"), permute_text(x["rest"], f"{key}hex", [HEX], inverse)).otherwise(mixed))
 
-    start = F.regexp_extract(m, r"^(?:AKIA|\w+ ?[=:] ?[\"']?)", 0)
+    start = F.regexp_extract(m, r"^(?:AKIA|[\w-]+ ?[=:] ?[\"']?)", 0)
     return let(F.struct(start.alias("start"), F.substring(m, F.length(start) + 1, F.length(m)).alias("rest")), run)
 
 
@@ -236,7 +234,7 @@ def replaced(text: Column, key: str, inverse: bool = False) -> Column:
             F.size(F.filter(x["values"], lambda v: v["was"] != v["now"])).cast("long").alias("n_replaced"),
         ))
 
-    return F.when(text.rlike(HINT), let(text, run)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_replaced")))
+    return F.when(text.isNotNull(), let(text, run)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_replaced")))
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", inverse: bool = False) -> DataFrame:

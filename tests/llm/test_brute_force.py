@@ -215,6 +215,19 @@ def test_op5_pseudonyms(spark):
     assert {r.doc_id: r.text for r in back.collect()} == dict(rows)
 
 
+def test_op5_leaves_no_value_in_clear(spark):
+    rows = ["ip 8.8.8.8", "1.1.1.1", "AKIAIOSFODNN" + "EXAMPLEX", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", 'TOKEN = "9233A8EC77AB"', "SECRET_KEY=abcdEFGHxyz", "my_app_token: abcdefghij", "api-key = abcdefghij", "accessToken=abcdefghij", "Password: abcdefghij"]
+    rows = [*enumerate(rows), (99, "monkey = bananabread"), (100, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.op5(docs).collect()}
+    for i, text in rows[:-2]:
+        assert out[i].n_replaced == 1 and out[i].text != text, text
+    assert out[1].text.count(".") == 3 and out[2].text.startswith("AKIA") and out[4].text.startswith('TOKEN = "') and out[5].text.startswith("SECRET_KEY=") and out[7].text.startswith("api-key = ")
+    assert (out[99].text, out[99].n_replaced) == rows[-2][1:] + (0,) and (out[100].text, out[100].n_replaced) == (None, 0)
+    back = pii.pseudonymize(pii.pseudonymize(docs, "k"), "k", inverse=True)
+    assert {r.doc_id: r.text for r in back.collect()} == dict(rows)
+
+
 def test_op5_date_permutation(spark):
     days = spark.range(20000).select(F.date_from_unix_date(F.col("id").cast("int")).cast("string").alias("text"), F.col("id").alias("doc_id"))
     got = [r.text for r in pii.op5(days).collect()]
