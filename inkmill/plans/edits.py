@@ -59,24 +59,26 @@ def edited(spark, tables):
     return tables("documents").select("doc_id", F.transform(D.edited_pages(a, F.replace(a, F.lit("tion"), F.lit("t10n"))), lambda x: x.cast("long")).alias("pages"))
 
 
-def short_pages(tables):
-    return tables("documents").filter("length(text) < 600").select("doc_id", "text", F.regexp_replace("text", "tion", "ti0n").alias("other"), F.regexp_replace("text", "the", "thc").alias("third"))
+def pages_of(docs):
+    """All pages of all documents, parted by lines or form feeds, with edited twins; a null text is one null page."""
+    pages = docs.select("doc_id", F.posexplode_outer(F.split("text", "[\n\f]")).alias("page", "text")).withColumn("page", F.coalesce("page", F.lit(0)))
+    return pages.select("doc_id", "page", "text", F.regexp_replace("text", "tion", "ti0n").alias("other"), F.regexp_replace("text", "the", "thc").alias("third"))
 
 
 @query("diff_stats")
 def stats(spark, tables):
-    return short_pages(tables).select("doc_id", D.diff_stats("text", "other").alias("s")).select("doc_id", "s.*")
+    return pages_of(tables("documents")).select("doc_id", "page", D.diff_stats("text", "other").alias("s")).select("doc_id", "page", "s.*")
 
 
 @query("diff_opcodes")
 def ops(spark, tables):
-    rows = short_pages(tables)
-    revisions = rows.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("revision_no"), "text").union(rows.select("doc_id", F.lit(2), "other"))
-    return D.revision_diff(revisions).select("document_id", F.posexplode("ops").alias("pos", "o")).select("document_id", "pos", "o.*")
+    rows = pages_of(tables("documents")).withColumn("document_id", F.struct("doc_id", "page"))
+    revisions = rows.select("document_id", F.lit(1).alias("revision_no"), "text").union(rows.select("document_id", F.lit(2), "other"))
+    return D.revision_diff(revisions).select("document_id", F.posexplode("ops").alias("pos", "o")).select(F.col("document_id.doc_id").alias("document_id"), "document_id.page", "pos", "o.*")
 
 
 @query("consensus_locked_spans")
 def locked(spark, tables):
-    rows = short_pages(tables)
-    pages = rows.select("doc_id", F.lit(1).alias("engine"), "text").union(rows.select("doc_id", F.lit(2), "other")).union(rows.select("doc_id", F.lit(3), "third"))
-    return D.consensus(pages, ["doc_id"], "engine")
+    rows = pages_of(tables("documents"))
+    pages = rows.select("doc_id", "page", F.lit(1).alias("engine"), "text").union(rows.select("doc_id", "page", F.lit(2), "other")).union(rows.select("doc_id", "page", F.lit(3), "third"))
+    return D.consensus(pages, ["doc_id", "page"], "engine")
