@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkmill.llm.common import materialize
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
 SHARD_BYTES = 16 << 20
@@ -180,32 +182,36 @@ def blocks(benchmark: DataFrame, window: int, block_words: int, id_col: str, tex
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row a document and block: doc_id, text_hash, n_words, and spans, the longest verbatim matches.
+    """One row a document: doc_id, text_hash, n_words, and spans, the longest verbatim matches.
 
     spans: item_id, start and length in words of the document, item_window (the number of the first window in its block).
+    With several blocks, documents are numbered in a table first, and a document's spans are brought together by its number.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_hash long, n_words long, spans array<struct<item_id:string,start:long,length:long,item_window:long>>"
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    schema = f"row long, doc_id {kind}, text_hash long, n_words long, spans array<struct<item_id:string,start:long,length:long,item_window:long>>"
     span_type = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("item_window", pa.int64())]))
+    sent_blocks = [docs.sparkSession.sparkContext.broadcast(items) for items in blocks(benchmark, window, block_words, item_col, item_text_col)]
+    if len(sent_blocks) > 1:
+        rows = materialize(rows)
     found = None
-    for items in blocks(benchmark, window, block_words, item_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+    for sent in sent_blocks:
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
-            for table in shards(batches, 2, shard_bytes):
+            for table in shards(batches, 3, shard_bytes):
                 counts, hits = scan(table.column("text").to_pylist(), items)
                 spans: list[list[dict]] = [[] for _ in counts]
                 for doc, owner, word, first, length in spans_of(*hits, items):
                     spans[doc].append({"item_id": items.ids[owner], "start": word, "length": length, "item_window": first})
-                out = pa.table({"doc_id": table.column("doc_id"), "text_hash": table.column("text_hash"), "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, span_type)})
+                out = pa.table({"row": table.column("row"), "doc_id": table.column("doc_id"), "text_hash": table.column("text_hash"), "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, span_type)})
                 yield from out.to_batches()
 
         part = rows.mapInArrow(task, schema)
-        found = part if found is None else found.unionByName(part).groupBy("doc_id", "text_hash", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return found
+        found = part if found is None else found.unionByName(part)
+    if len(sent_blocks) > 1:
+        found = found.groupBy("row", "doc_id", "text_hash", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return found.drop("row")
 
 
 def covered(spans: list[dict]) -> int:

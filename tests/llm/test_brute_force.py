@@ -293,6 +293,13 @@ def test_op7_windows(spark, docs, texts, block_words):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()} == want
 
 
+def test_op7_blocks_merge_no_documents(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "c d"), (None, "c d"), (2, None), (2, None), (3, "x")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "c d", "b c", "q r s"])], "item_id long, text string")
+    one, many = (sorted(map(repr, decontam.report(decontam.matches(docs, benchmark, block_words=n)).collect())) for n in (10_000, 1))
+    assert len(one) == 7 and many == one
+
+
 def test_op8_held_out_accuracy(spark):
     big = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
