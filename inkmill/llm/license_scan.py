@@ -1,11 +1,16 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates (DataFrame functions only).
 
-A paragraph is a line. Lines that hold a word all notices share (ANCHORS) are classified by a sparse
+Lines that hold a word all notices share (ANCHORS) are classified by a sparse
 logistic regression over their word 1-, 2- and 3-grams into licence families and an unknown class; its
 probabilities are calibrated by a temperature on examples kept from fitting. A family with a
 probability of CONFIDENCE or more is confirmed where one of its templates' words are contained in
 the line to CONTAINED or more; otherwise the line is of unknown licence.
 
+Notices wrapped over several lines are found in the runs of lines of a paragraph (parted by empty
+lines) that hold an anchor and have fewer than SPAN words between their first and last line; of
+these two lines the SPAN words next to the others count. A run is reported where it is confirmed and
+holds no shorter confirmed run or line. Lines without words, as of comment signs, part nothing.
+
 The model is trained on the driver from the templates below, varied by a seeded generator (words
 dropped, filler before and after, names and years), and from lines of no licence; nothing is read from
 the corpus. The weights, some hundreds of n-grams, are literals of the plan.
@@ -44,6 +49,8 @@ TEMPLATES = {
     "MPL": ["this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0"],
     "Unlicense": ["this is free and unencumbered software released into the public domain unlicense license"],
 }
+#: Words of the longest notice, twice: a wrapped notice may have as many words of its own as its template's.
+SPAN = 2 * max(len(t.split()) for ts in TEMPLATES.values() for t in ts)
 ORDINARY = """she renewed her driving licence at the office on monday
 you need a licence to fish in this lake
 the license plate was covered with mud
@@ -146,9 +153,12 @@ def trained(seed: int = 11, each: int = 160, steps: int = 300, rate: float = 0.5
     return Model((UNKNOWN, *TEMPLATES), {vocabulary[i]: [round(float(v), 5) for v in w[i] / heat] for i in used}, [round(float(v), 5) for v in b / heat])
 
 
-def scan_line(line: Column, model: Model) -> Column:
-    """A struct of family (unknown where not confirmed) and probability of a line."""
-    words = F.regexp_extract_all(F.lower(line), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), 0)
+def words_of(line: Column) -> Column:
+    return F.regexp_extract_all(F.lower(line), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), 0)
+
+
+def scan_words(words: Column, model: Model) -> Column:
+    """A struct of family (unknown where not confirmed) and probability of a line, or run of lines, given as words."""
 
     def classify(w: Column) -> Column:
         many = lambda n: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(w, i, n), " "))
@@ -173,13 +183,51 @@ def scan_line(line: Column, model: Model) -> Column:
     return let(words, classify)
 
 
+def wrapped(paragraph: Column, model: Model, anchor: str) -> Column:
+    """The notices wrapped over lines of a paragraph: structs of family, probability and line, the run's lines."""
+    kept = F.filter(F.transform(F.split(paragraph, "\n"), lambda x: F.struct(x.alias("text"), words_of(x).alias("words"))), lambda x: F.size(x["words"]) > 0)
+
+    def runs(lines: Column) -> Column:
+        """Structs of first and last, the places of a run's lines: all with fewer than SPAN words between them."""
+        n = F.size(lines)
+        numbers = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        between = lambda i, j: F.aggregate(F.slice(lines, i + 2, j - i - 1), F.lit(0), lambda s, x: s + F.size(x["words"]))
+        # Every line has a word, so no run has over SPAN + 1 lines.
+        return F.flatten(F.transform(numbers(F.lit(0), n - 2), lambda i: F.filter(F.transform(numbers(i + 1, F.least(n - 1, i + SPAN)), lambda j: F.struct(i.alias("first"), j.alias("last"))), lambda r: between(r["first"], r["last"]) < SPAN)))
+
+    def read(lines: Column, r: Column) -> Column:
+        of = lambda k: F.get(lines, k)["words"]
+        head = let(of(r["first"]), lambda w: F.slice(w, F.greatest(F.size(w) - SPAN, F.lit(0)) + 1, SPAN))
+        middle = F.flatten(F.transform(F.slice(lines, r["first"] + 2, r["last"] - r["first"] - 1), lambda x: x["words"]))
+        return F.concat(head, middle, F.slice(of(r["last"]), 1, SPAN))
+
+    def sure(lines: Column) -> Column:
+        """The confirmed runs, and the confirmed lines as runs of one line."""
+        ones = F.transform(lines, lambda x, i: F.struct(i.alias("first"), i.alias("last"), x["words"].alias("words")))
+        many = F.transform(runs(lines), lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), read(lines, r).alias("words")))
+        anchored = F.filter(F.concat(ones, many), lambda r: F.array_join(r["words"], " ").rlike(anchor))
+        scanned = F.transform(anchored, lambda r: let(scan_words(r["words"], model), lambda s: F.struct(r["first"].alias("first"), r["last"].alias("last"), s["family"].alias("family"), s["probability"].alias("probability"))))
+        return F.filter(scanned, lambda r: r["family"] != UNKNOWN)
+
+    def least(lines: Column, found: Column) -> Column:
+        inside = lambda q, r: (q["first"] >= r["first"]) & (q["last"] <= r["last"]) & (q["last"] - q["first"] < r["last"] - r["first"])
+        own = F.filter(found, lambda r: (r["last"] > r["first"]) & ~F.exists(found, lambda q: inside(q, r)))
+        text = lambda r: F.array_join(F.transform(F.slice(lines, r["first"] + 1, r["last"] - r["first"] + 1), lambda x: x["text"]), "\n")
+        return F.transform(own, lambda r: F.struct(r["family"].alias("family"), r["probability"].alias("probability"), text(r).alias("line")))
+
+    return let(kept, lambda lines: let(sure(lines), lambda found: least(lines, found)))
+
+
 def scan(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
-    """docs with licences: an array of (family, probability, line) for each line with an anchor."""
+    """docs with licences: an array of (family, probability, line) for each line with an anchor and then for each notice wrapped over lines."""
     model, anchor = model or trained(), "(?i)" + "|".join(ANCHORS)
-    text = F.col(text_col)
-    lines = F.when(text.rlike(anchor), F.filter(F.split(text, "\n"), lambda x: x.rlike(anchor))).otherwise(F.array().cast("array<string>"))
-    found = F.transform(lines, lambda x: let(scan_line(x, model), lambda s: F.struct(s["family"].alias("family"), s["probability"].alias("probability"), x.alias("line"))))
-    return docs.withColumn("licences", F.coalesce(found, F.array().cast("array<struct<family:string,probability:double,line:string>>")))
+    text, none = F.col(text_col), F.array().cast("array<struct<family:string,probability:double,line:string>>")
+    loose = anchor.replace(" ", r"[^a-z0-9]+")  # an anchor's words may stand on two lines
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(anchor))
+    single = F.transform(lines, lambda x: let(scan_words(words_of(x), model), lambda s: F.struct(s["family"].alias("family"), s["probability"].alias("probability"), x.alias("line"))))
+    paragraphs = F.filter(F.split(text, r"\n(?:[^\S\n]*\n)+"), lambda x: x.rlike(loose) & x.contains("\n"))
+    many = F.flatten(F.transform(paragraphs, lambda x: wrapped(x, model, anchor)))
+    return docs.withColumn("licences", F.coalesce(F.when(text.rlike(loose), F.concat(single, many)), none))
 
 
 def op9(docs: DataFrame) -> DataFrame:

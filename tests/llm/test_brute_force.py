@@ -328,6 +328,14 @@ def test_op9_equals_the_model(spark):
     assert [got[x][0].family for x in lines[:3]] == ["CC-BY-NC", "MIT", "unknown"] and got[lines[4]][0].family == "Apache"
 
 
+def test_op9_notices_wrapped_over_lines(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n#\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation"
+    rows = {1: gpl, 2: "first words\nLicensed under the Apache\nLicense, Version 2.0\nlast words", 3: "Licensed under the Apache\n \nLicense, Version 2.0", 4: "x\nReleased under the MIT License.\ny", 5: "you need a licence\nto fish in this lake"}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_licensed, r.families) for r in license_scan.op9(docs).collect()}
+    assert got == {1: (1, "GPL"), 2: (1, "Apache"), 3: (0, ""), 4: (1, "MIT"), 5: (0, "")}
+
+
 def test_op9_held_out_accuracy():
     model = license_scan.trained()
     x, y = license_scan.examples(99, 20)
