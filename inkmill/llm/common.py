@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 
 from inkmill.functions.core import let
 
-__all__ = ["connected", "discard", "let", "materialize", "partitions", "shared_dir", "sorted_runs"]
+__all__ = ["connected", "discard", "let", "materialize", "partitions", "shared_dir", "sorted_runs", "split_join"]
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only by sessions within one process (local[...]) that name no shared folder, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_FALLBACK
     return f"{base.rstrip('/')}/inkmill/{uuid.uuid4().hex}"
 
 
@@ -69,6 +73,17 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, weight: str, least: int = 1000) -> DataFrame:
+    """left inner-joined to right, which has one row a key and, as weight, how many rows of left have it.
+
+    Keys of many rows are broadcast, so that no task gets all of their rows: keys of over `least` rows
+    and over a 100,000th of all, which bounds what is broadcast to 100,000 rows. The rest is shuffled.
+    """
+    most = max(least, (right.agg(F.sum(weight)).first()[0] or 0) // 100_000)
+    hot, rest = F.broadcast(right.filter(F.col(weight) > most)), right.filter(F.col(weight) <= most)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v), both of one orderable type: returns (node, root).
 

@@ -1,23 +1,26 @@
 """Fuzzy line dedup (DataFrame functions only): SimHash, pigeonhole blocks, edit similarity, one occurrence a group.
 
 Lines are normalised (lower case; runs of other than letters, marks and digits become one space) and
-named by a 64-bit hash. A line's SimHash takes each of its words once: a bit is set if set in over half of
-their hashes. (Counted with repeats, the few words that all lines share decide most bits, and
-unrelated lines meet by the square of their number.) Two lines link if their SimHashes differ in at most `radius` bits and their edit
-similarity, 1 - edits / length of the longer, is `similarity` or more. Of each connected group the
-first occurrence stays, by doc_id (null last), then text hash, then place; the others are dropped.
-Lines without letters or digits always stay.
-
-Candidates: SimHashes within the radius agree in all bits of blocks - radius of `blocks` blocks at
-least; lines are dealt by the bits of each such choice of blocks (with six blocks 32 bits, so that
-unrelated lines hardly ever meet). The pairs of a bucket are never
-listed. First each line is compared with its bucket's first line only, and the links give components;
-then lines outside their bucket's largest component are compared with the bucket's lines of other
-components. What is left out lies within one component already, so components come out as if all
-pairs of a bucket had been compared.
-
-The counts behind SimHashes are kept as lanes of 8, 16 or 32 bits in longs, so a word's 64 bits are
-added in a few operations; the lanes' width follows the number of words, and lines of any length fit.
+named by a 64-bit hash. A line's SimHash has six blocks of 32 bits. Each distinct word goes to the block
+that its hash names, and a block's bit is set if set in over half of the hashes of its words; so a word
+that changes changes two blocks at most and leaves the others as they are (a sparse projection, where
+in a dense one every word moves every bit and a few changed words leave no block equal). Two lines link
+if they agree in a block of three words or more, or in two blocks of fewer, and their SimHashes differ
+in at most `radius` bits and their edit similarity, 1 - edits / length of the longer, is `similarity`
+or more. Of each connected group the first occurrence stays, by doc_id (null last), then text hash,
+then place; the others are dropped. Lines without letters or digits always stay.
+
+Lines that agree so are found whole. Lines that are similar without it are not found: those with
+changed words in every block, and lines of one or two words with a changed letter. The README gives the
+recall of all pairs of edit similarity 0.8, which tests/llm measures.
+
+Candidates are dealt by blocks. First each line of a bucket is compared with the bucket's first line
+only, and the links give components; then lines outside their bucket's largest component are compared
+with the bucket's lines of other components. What is left out lies within one component already, so
+components come out as if all pairs of a bucket had been compared.
+
+The counts behind a block are kept as lanes of 4, 8, 16 or 32 bits in longs, whose width follows the
+number of words, so that lines of any length fit.
 
 Defined results: a null text stays null, an empty one empty; rows equal in doc_id and text share their
 decisions; a document that loses all lines stays with an empty text; an empty table gives an empty
@@ -33,62 +36,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkmill.llm.common import connected, discard, let, materialize
+from inkmill.llm.common import connected, discard, let, materialize, split_join
 
-RADIUS, BLOCKS, SIMILARITY = 3, 6, 0.8
+RADIUS, BLOCKS, SIMILARITY = 40, 6, 0.8
+ALONE = 3  #: words of a block that make lines candidates by itself
+KEPT = (0, 1)  #: the bits of each four of a hash that enter a SimHash
+FULL = 1 << 2  #: marks, in a bit that no SimHash has, a block of ALONE words or more
 NARROW = 16  #: edits that the first, narrow band looks for
 BROADCAST_ROWS = 2_000_000  #: a side of two longs a row is broadcast up to this many rows (some 32 MB)
+HASH = [f"b{i}" for i in range(BLOCKS)]
 
 
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
+def signed(x: int) -> Column:
+    return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
+
+
 def majority(hashes: Column, n: Column, width: int) -> Column:
-    """The bits set in over half of n hashes, counted in lanes of `width` bits; n may reach 2 ** (width - 2) - 1.
+    """The kept bits set in over half of n hashes, counted in lanes of `width` bits; n may reach 2 ** width - 1.
 
     Counter j is a long of its own, which takes every width-th bit from bit j on: Spark interprets folds,
     and one with a number for its state costs a third of one with a struct of them.
     """
     ones = sum(1 << i for i in range(0, 64, width))
-    unit = F.lit(ones).cast("long")
-    # Counts of over n / 2, raised by what is missing to half of the lane, set the lane's last bit but one.
-    lift = ((1 << (width - 2)) - 1 - F.floor(n / 2)) * unit
-    last, out = F.lit(ones << (width - 2)).cast("long"), F.lit(0).cast("long")
+    # Counts of over n / 2, raised by what is missing to half of the lane, set the lane's last bit.
+    lift = ((1 << (width - 1)) - 1 - F.floor(n / 2)) * signed(ones)
+    out = F.lit(0).cast("long")
 
     def counted(j: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda c, h: c + F.shiftrightunsigned(h, j).bitwiseAND(unit))
+        # Counted up from the least long, so that sums never leave a long's range; exclusive-or takes it out again.
+        total = F.aggregate(hashes, signed(1 << 63), lambda c, h: c + F.shiftrightunsigned(h, j).bitwiseAND(signed(ones)))
+        return (total + lift).bitwiseXOR(signed(1 << 63)).bitwiseAND(signed(ones << (width - 1)))
 
     for j in range(width):
-        bits = (counted(j) + lift).bitwiseAND(last)
-        out = out.bitwiseOR(F.shiftrightunsigned(bits, width - 2 - j) if j <= width - 2 else F.shiftleft(bits, 1))
+        if j % 4 in KEPT:
+            out = out.bitwiseOR(F.shiftrightunsigned(counted(j), width - 1 - j))
     return out
 
 
-def simhash(words: Column) -> Column:
-    def run(hashes: Column) -> Column:
-        n = F.size(hashes)
-        return F.when(n < 1 << 6, majority(hashes, n, 8)).when(n < 1 << 14, majority(hashes, n, 16)).otherwise(majority(hashes, n, 32))
-
-    return let(F.transform(words, lambda w: F.xxhash64(w)), run)
+def block(hashes: Column) -> Column:
+    """A block's bits, from the hashes of its words, with the mark of a full one."""
+    n = F.size(hashes)
+    bits = F.when(n < 1 << 4, majority(hashes, n, 4)).when(n < 1 << 8, majority(hashes, n, 8)).when(n < 1 << 16, majority(hashes, n, 16)).otherwise(majority(hashes, n, 32))
+    return bits.bitwiseOR(F.when(n >= ALONE, FULL).otherwise(0))
 
 
 def lines_of(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Every line: doc_id, text_hash, place, line (the hash of the normalised line; null where nothing is left), sh (its SimHash) and size (its characters)."""
+    """Every line: doc_id, text_hash, place, line (the hash of the normalised line; null where nothing is left), its blocks and size (its characters)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(text_col, "\n")).alias("place", "text"))
-    rows = rows.select("doc_id", "text_hash", "place", normalised(F.col("text")).alias("norm"))
-    norm = F.col("norm")
-    return rows.select("doc_id", "text_hash", "place", F.when(norm != "", F.xxhash64(norm)).alias("line"), F.when(norm != "", simhash(F.array_distinct(F.split(norm, " ")))).alias("sh"), F.length(norm).alias("size"))
-
-
-def block_values(radius: int, blocks: int) -> Column:
-    """The hash of each choice of blocks - radius blocks with their bits in sh."""
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    masks = []
-    for chosen in combinations(range(blocks), blocks - radius):
-        mask = sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in chosen)
-        masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
-    return F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("sh").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)]))
+    rows = rows.select("doc_id", "text_hash", "place", F.nullif(normalised(F.col("text")), F.lit("")).alias("norm"))
+    # Sorted hashes with a fence before each block but the first: a block's words lie between two fences.
+    fences = [-(1 << 63) + (i << 64) // BLOCKS for i in range(1, BLOCKS)]
+    words = F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
+    named = ["doc_id", "text_hash", "place", F.when(F.col("norm").isNotNull(), F.xxhash64("norm")).alias("line"), F.length("norm").alias("size")]
+    rows = rows.select(*named, F.sort_array(F.concat(words, F.array(*map(F.lit, fences)))).alias("h"))
+    at = [F.lit(0)] + [F.array_position("h", F.lit(x)).cast("int") for x in fences] + [F.size("h") + 1]
+    rows = rows.select(*rows.columns, *[x.alias(f"at{i}") for i, x in enumerate(at)])
+    rows = rows.select(*rows.columns, *[F.slice("h", F.col(f"at{i}") + 1, F.col(f"at{i + 1}") - F.col(f"at{i}") - 1).alias(f"h{i}") for i in range(BLOCKS)])
+    return rows.select("doc_id", "text_hash", "place", "line", "size", *[block(F.col(f"h{i}")).alias(b) for i, b in enumerate(HASH)])
+
+
+def buckets() -> Column:
+    """The names of a line's buckets, nulls among them: each full block, and each two others that hold words."""
+    full = {b: F.col(b).bitwiseAND(F.lit(FULL)) != 0 for b in HASH}
+    part = {b: ~full[b] & (F.col(b) != 0) for b in HASH}
+    names = [F.when(full[b], F.xxhash64(F.lit(b), b)) for b in HASH]
+    names += [F.when(part[a] & part[b], F.xxhash64(F.lit(a), a, F.lit(b), b)) for a, b in combinations(HASH, 2)]
+    return F.array(*names)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -153,63 +170,71 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: fl
     return out
 
 
-def groups(lines: DataFrame, docs: DataFrame, radius: int, blocks: int, similarity: float, text_col: str) -> DataFrame:
+def groups(lines: DataFrame, docs: DataFrame, radius: int, similarity: float, text_col: str) -> DataFrame:
     """(node, root) of lines that link to other lines; lines: what lines_of() returned, without lines of no words."""
-    distinct = materialize(lines.groupBy("line").agg(F.min("sh").alias("sh"), F.min("size").alias("size")))
+    distinct = materialize(lines.groupBy("line").agg(F.min("size").alias("size"), *[F.min(b).alias(b) for b in HASH]))
     by = Window.partitionBy("bucket").orderBy("line")
-    # Of all entries only names travel; SimHashes follow for the few in buckets of two lines or more.
-    entries = distinct.select("line", block_values(radius, blocks).alias("bucket"))
+    # Of all entries only names travel; blocks follow for those in buckets of two lines or more.
+    entries = distinct.select("line", F.explode(buckets()).alias("bucket")).filter("bucket IS NOT NULL")
     entries = entries.withColumn("is_first", F.lag("line").over(by).isNull()).withColumn("more", F.lead("line").over(by).isNotNull())
     shared = materialize(entries.filter("more OR NOT is_first").drop("more"))
     dealt = materialize(distinct.join(shared, "line"))
     discard(shared)
     discard(distinct)
 
-    def near(a: str, b: str, m: str, n: str) -> Column:
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        return df.select([F.col(c) if c == "bucket" else F.col(c).alias(c + tag) for c in df.columns])
+
+    def near() -> Column:
         """SimHashes within the radius, and lengths that the edit similarity does not rule out."""
-        differ = F.abs(F.col(m) - F.col(n)) <= F.floor(F.greatest(m, n) * (1 - similarity) + 1e-9)
-        return (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius) & differ
+        a, b = F.col("size_u"), F.col("size_v")
+        bits = sum(F.bit_count(F.col(x + "_u").bitwiseXOR(F.col(x + "_v")).bitwiseAND(F.lit(~FULL).cast("long"))) for x in HASH)
+        return (F.abs(a - b) <= F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9)) & (bits <= radius)
 
-    firsts = dealt.filter("is_first").select("bucket", F.col("line").alias("v"), F.col("sh").alias("sv"), F.col("size").alias("nv"))
-    stars = dealt.filter("NOT is_first").join(firsts, "bucket").filter(near("sh", "sv", "size", "nv")).select(F.col("line").alias("u"), "v")
-    links = verified(stars, lines, docs, similarity, text_col)
+    entry = ["bucket", "line", "size", *HASH]
+    stars = side(dealt.filter("NOT is_first").select(entry), "_u").join(side(dealt.filter("is_first").select(entry), "_v"), "bucket").filter(near())
+    links = verified(stars.select(F.col("line_u").alias("u"), F.col("line_v").alias("v")), lines, docs, similarity, text_col)
     roots = materialize(connected(links))
-    named = dealt.select("bucket", "line", "sh", "size").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    named = dealt.select(entry).join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     sizes = named.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("n"))
     # Buckets of one component need nothing more.
-    mixed = materialize(named.join(sizes.filter("n > 1"), "bucket"))
-    rest = mixed.filter("root <> main").select("bucket", F.col("line").alias("u"), F.col("root").alias("ru"), F.col("sh").alias("su"), F.col("size").alias("nu"))
-    all_ = mixed.select("bucket", F.col("line").alias("v"), F.col("root").alias("rv"), F.col("sh").alias("sv"), F.col("size").alias("nv"), (F.col("root") == F.col("main")).alias("in_main"))
-    pairs = rest.join(all_, "bucket").filter((F.col("ru") != F.col("rv")) & (F.col("in_main") | (F.col("u") < F.col("v"))) & near("su", "sv", "nu", "nv"))
-    more = verified(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), lines, docs, similarity, text_col)
+    mixed = materialize(named.join(sizes.filter("n > 1"), "bucket").withColumn("in_main", F.col("root") == F.col("main")).drop("main", "n"))
+    pairs = side(mixed.filter("NOT in_main"), "_u").join(side(mixed, "_v"), "bucket").filter("root_u <> root_v AND (in_main_v OR line_u < line_v)").filter(near())
+    more = verified(pairs.select(F.greatest("line_u", "line_v").alias("u"), F.least("line_u", "line_v").alias("v")), lines, docs, similarity, text_col)
     out = materialize(connected(links.union(more)))
     for table in (dealt, links, roots, mixed, more):
         discard(table)
     return out
 
 
-def marked(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Of documents that lose a line: doc_id, text_hash and drop, an array with a flag for every line."""
+def marked(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Of documents that lose a line: doc_id, text_hash and gone, the places of these lines in order."""
     rows = materialize(lines_of(docs, text_col, id_col))
-    roots = groups(rows.filter("line IS NOT NULL"), docs, radius, blocks, similarity, text_col)
-    rows = rows.select("doc_id", "text_hash", "place", "line")
+    roots = groups(rows.filter("line IS NOT NULL"), docs, radius, similarity, text_col)
+    rows = rows.filter("line IS NOT NULL").select("doc_id", "text_hash", "place", "line")
     named = rows.join(small(roots.withColumnRenamed("node", "line"), roots.count()), "line", "left").withColumn("root", F.coalesce("root", "line")).drop("line")
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"), F.col("place"))
-    first = named.filter("root IS NOT NULL").groupBy("root").agg(F.min(at).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("root", "kept")
-    flagged = named.join(first, "root", "left").select("doc_id", "text_hash", "place", F.coalesce(F.col("kept") != at, F.lit(False)).alias("drop"))
-    flags = F.transform(F.array_sort(F.array_distinct(F.collect_list(F.struct("place", "drop")))), lambda x: x["drop"])
-    return flagged.groupBy("doc_id", "text_hash").agg(flags.alias("drop")).filter(F.exists("drop", lambda x: x))
+    first = materialize(named.groupBy("root").agg(F.min(at).alias("kept"), F.count("*").alias("n")).filter("n > 1"))
+    later = split_join(named, first, "root", "n").filter(F.col("kept") != at)
+    return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("place")).alias("gone"))  # a text's own lines at most
 
 
-def dedup_lines(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with the repeated lines taken out of text_col; adds n_dropped (long), in place of a column of that name."""
-    found = marked(docs, radius, blocks, similarity, text_col, id_col).select(F.col("doc_id").alias("__ink_id"), F.col("text_hash").alias("__ink_hash"), F.col("drop").alias("__ink_drop"))
+def dedup_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id", count_col: str | None = "n_dropped") -> DataFrame:
+    """docs with the repeated lines taken out of text_col; adds count_col (long; none for None), in place of a column of that name."""
+    found = marked(docs, radius, similarity, text_col, id_col).select(F.col("doc_id").alias("__ink_id"), F.col("text_hash").alias("__ink_hash"), F.col("gone").alias("__ink_gone"))
     same = (F.xxhash64(text_col) == F.col("__ink_hash")) & F.col(id_col).eqNullSafe(F.col("__ink_id"))
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.get(F.col("__ink_drop"), i)), "\n")
     joined = docs.join(found, same, "left")
-    clean = F.when(F.col("__ink_drop").isNull(), F.col(text_col)).otherwise(kept)
-    dropped = F.size(F.filter(F.coalesce("__ink_drop", F.array().cast("array<boolean>")), lambda x: x)).cast("long")
-    return joined.select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns if c != "n_dropped"], dropped.alias("n_dropped"))
+
+    def without(lines: Column) -> Column:
+        """The lines between two places that are gone, for each two, in order."""
+        before = lambda i: F.coalesce(F.get(F.col("__ink_gone"), i - 1), F.lit(-1))
+        ends = F.concat("__ink_gone", F.array(F.size(lines)))
+        return F.array_join(F.flatten(F.transform(ends, lambda end, i: F.slice(lines, before(i) + 2, end - before(i) - 1))), "\n")
+
+    clean = F.when(F.col("__ink_gone").isNull(), F.col(text_col)).otherwise(let(F.split(text_col, "\n"), without))
+    dropped = F.coalesce(F.size("__ink_gone"), F.lit(0)).cast("long")
+    kept = [clean.alias(c) if c == text_col else docs[c] for c in docs.columns if c != count_col]
+    return joined.select(*kept, *([dropped.alias(count_col)] if count_col else []))
 
 
 def op1(docs: DataFrame) -> DataFrame:
