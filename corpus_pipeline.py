@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines are taken out of the texts; n_chars follows the text. A text that loses all lines stays, empty."""
-    clean = line_dedup.dedup_lines(docs)
+    clean = line_dedup.dedup_lines(docs, count_col=None)
     columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns]
     return clean.select(columns)
 
