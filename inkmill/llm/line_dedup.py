@@ -1,11 +1,11 @@
 """Fuzzy line dedup (DataFrame functions only): SimHash, pigeonhole blocks, edit similarity, one occurrence a group.
 
 Lines are normalised (lower case; runs of other than letters, marks and digits become one space) and
-named by a 64-bit hash. A line's SimHash has six blocks of 32 bits. Each distinct word goes to the block
+named by a 64-bit hash. A line's SimHash has six blocks of 28 bits. Each distinct word goes to the block
 that its hash names, and a block's bit is set if set in over half of the hashes of its words; so a word
 that changes changes two blocks at most and leaves the others as they are (a sparse projection, where
 in a dense one every word moves every bit and a few changed words leave no block equal). Two lines link
-if they agree in a block of three words or more, or in two blocks of fewer, and their SimHashes differ
+if they agree, in bits and number of words, in a block of three words or more or in two of fewer, and their SimHashes differ
 in at most `radius` bits and their edit similarity, 1 - edits / length of the longer, is `similarity`
 or more. Of each connected group the first occurrence stays, by doc_id (null last), then text hash,
 then place; the others are dropped. Lines without letters or digits always stay.
@@ -19,7 +19,7 @@ only, and the links give components; then lines outside their bucket's largest c
 with the bucket's lines of other components. What is left out lies within one component already, so
 components come out as if all pairs of a bucket had been compared.
 
-The counts behind a block are kept as lanes of 4, 8, 16 or 32 bits in longs, whose width follows the
+The counts behind a block are kept as lanes of 2, 4, 8, 16 or 32 bits in longs, whose width follows the
 number of words, so that lines of any length fit.
 
 Defined results: a null text stays null, an empty one empty; rows equal in doc_id and text share their
@@ -38,11 +38,11 @@ from pyspark.sql.window import Window
 
 from inkmill.llm.common import connected, discard, let, materialize, split_join
 
-RADIUS, BLOCKS, SIMILARITY = 40, 6, 0.8
+RADIUS, BLOCKS, SIMILARITY = 35, 6, 0.8
 ALONE = 3  #: words of a block that make lines candidates by itself
-KEPT = (0, 1)  #: the bits of each four of a hash that enter a SimHash
-FULL = 1 << 2  #: marks, in a bit that no SimHash has, a block of ALONE words or more
-NARROW = 16  #: edits that the first, narrow band looks for
+KEPT = 56  #: a hash's even bits below this one enter a SimHash; above it a block has its number of words, 127 at most
+BITS = sum(1 << i for i in range(0, KEPT, 2))
+BANDS = (8, 24, 72)  #: edits that the bands look for before one as wide as allowed does
 BROADCAST_ROWS = 2_000_000  #: a side of two longs a row is broadcast up to this many rows (some 32 MB)
 HASH = [f"b{i}" for i in range(BLOCKS)]
 
@@ -51,37 +51,34 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-def signed(x: int) -> Column:
-    return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
-
-
 def majority(hashes: Column, n: Column, width: int) -> Column:
-    """The kept bits set in over half of n hashes, counted in lanes of `width` bits; n may reach 2 ** width - 1.
+    """The kept bits set in over half of n hashes, counted in lanes of `width` bits.
 
     Counter j is a long of its own, which takes every width-th bit from bit j on: Spark interprets folds,
     and one with a number for its state costs a third of one with a struct of them.
     """
-    ones = sum(1 << i for i in range(0, 64, width))
-    # Counts of over n / 2, raised by what is missing to half of the lane, set the lane's last bit.
-    lift = ((1 << (width - 1)) - 1 - F.floor(n / 2)) * signed(ones)
-    out = F.lit(0).cast("long")
-
-    def counted(j: int) -> Column:
-        # Counted up from the least long, so that sums never leave a long's range; exclusive-or takes it out again.
-        total = F.aggregate(hashes, signed(1 << 63), lambda c, h: c + F.shiftrightunsigned(h, j).bitwiseAND(signed(ones)))
-        return (total + lift).bitwiseXOR(signed(1 << 63)).bitwiseAND(signed(ones << (width - 1)))
-
-    for j in range(width):
-        if j % 4 in KEPT:
-            out = out.bitwiseOR(F.shiftrightunsigned(counted(j), width - 1 - j))
+    wide, out = width > 8, F.lit(0).cast("long")
+    mark = width - 2 if wide else width - 1  # wide lanes reach the sign and leave it alone
+    for j in range(0, width, 2):
+        first, step = (0, j) if wide else (j, 0)
+        ones = sum(1 << i for i in range(first, KEPT - step, width))
+
+        def counted(h: Column) -> Column:
+            return (F.shiftrightunsigned(h, step) if step else h).bitwiseAND(F.lit(ones))
+
+        total = F.aggregate(hashes, F.lit(0).cast("long"), lambda c, h: c + counted(h))
+        # Counts of over n / 2, raised by what is missing to the mark, set it.
+        lift = ((1 << mark) - 1 - F.floor(n / 2)) * F.lit(ones >> first)
+        marks = (total + (F.shiftleft(lift, first) if first else lift)).bitwiseAND(F.lit(ones << mark))
+        out = out.bitwiseOR(F.shiftrightunsigned(marks, mark - step) if mark >= step else F.shiftleft(marks, step - mark))
     return out
 
 
 def block(hashes: Column) -> Column:
-    """A block's bits, from the hashes of its words, with the mark of a full one."""
+    """A block's bits and number of words, from the hashes of its words."""
     n = F.size(hashes)
-    bits = F.when(n < 1 << 4, majority(hashes, n, 4)).when(n < 1 << 8, majority(hashes, n, 8)).when(n < 1 << 16, majority(hashes, n, 16)).otherwise(majority(hashes, n, 32))
-    return bits.bitwiseOR(F.when(n >= ALONE, FULL).otherwise(0))
+    bits = F.when(n < 1 << 2, majority(hashes, n, 2)).when(n < 1 << 4, majority(hashes, n, 4)).when(n < 1 << 8, majority(hashes, n, 8)).when(n < 1 << 15, majority(hashes, n, 16)).otherwise(majority(hashes, n, 32))
+    return bits.bitwiseOR(F.shiftleft(F.least(n, F.lit(127)).cast("long"), KEPT))
 
 
 def lines_of(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -101,11 +98,11 @@ def lines_of(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 def buckets() -> Column:
     """The names of a line's buckets, nulls among them: each full block, and each two others that hold words."""
-    full = {b: F.col(b).bitwiseAND(F.lit(FULL)) != 0 for b in HASH}
-    part = {b: ~full[b] & (F.col(b) != 0) for b in HASH}
-    names = [F.when(full[b], F.xxhash64(F.lit(b), b)) for b in HASH]
-    names += [F.when(part[a] & part[b], F.xxhash64(F.lit(a), a, F.lit(b), b)) for a, b in combinations(HASH, 2)]
-    return F.array(*names)
+    full = {b: F.col(b) >= ALONE << KEPT for b in HASH}
+    part = {b: (F.col(b) >= 1 << KEPT) & ~full[b] for b in HASH}
+    alone = [F.when(full[b], F.xxhash64(F.lit(i), b)) for i, b in enumerate(HASH)]
+    twos = [F.when(part[HASH[i]] & part[HASH[j]], F.xxhash64(F.lit(i), HASH[i], F.lit(j), HASH[j])) for i, j in combinations(range(BLOCKS), 2)]
+    return F.when(sum(part[b].cast("int") for b in HASH) > 1, F.array(*alone, *twos)).otherwise(F.array(*alone))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -127,9 +124,10 @@ def texts_of(lines: DataFrame, ends: DataFrame, docs: DataFrame, text_col: str)
 def within(a: Column, b: Column, allowed: Column) -> Column:
     """Whether the edit distance of two lines, given as words, is allowed.
 
-    Words that both begin or end with leave the distance as it is. What is left is first bounded from
-    above by the distances word by word; only if that is too much is the distance itself computed, in
-    a narrow band and, if that does not do, in one as wide as allowed.
+    Two bounds from above come first. Words of either line that the other has not, taken out and put in,
+    are edits that do, where the rest is the same in both. Words that both begin or end with leave the
+    distance as it is; what is left is bounded by the distances word by word. Only if both are too much is
+    the distance itself computed, in bands of growing width.
     """
     shared = lambda x, y: F.coalesce(F.nullif(F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False), F.lit(0)) - 1, F.size(x)).cast("int")
     cut = lambda x, first, n: F.slice(x, first + 1, n)
@@ -147,11 +145,23 @@ def within(a: Column, b: Column, allowed: Column) -> Column:
         word_by_word = F.aggregate(F.zip_with(x, y, lambda p, q: F.levenshtein(p, q)), F.lit(0), lambda t, d: t + d)
         # Where one side has nothing left, a blank goes with the other side's words.
         left = allowed - ((F.size(x) == 0) != (F.size(y) == 0)).cast("int")
+        most = F.greatest(left, F.lit(0))
         banded = lambda k: F.call_function("levenshtein", F.array_join(x, " "), F.array_join(y, " "), k) >= 0
-        exact = banded(F.least(F.greatest(left, F.lit(0)), F.lit(NARROW))) | banded(F.greatest(left, F.lit(0)))
+        exact = F.lit(False)
+        for k in BANDS:
+            exact = exact | banded(F.least(most, F.lit(k)))
+        exact = exact | ((most > BANDS[-1]) & banded(most))
         return F.when((F.size(x) == F.size(y)) & (word_by_word <= allowed), True).otherwise((left >= 0) & exact)
 
-    return let(let(let(F.struct(a.alias("a"), b.alias("b")), middles), tails), decide)
+    def exchanged(s: Column) -> Column:
+        rest = lambda x, own: F.array_join(F.filter(x, lambda w: ~F.array_contains(own, w)), " ")
+        kept = F.struct(rest(s["a"], s["own_a"]).alias("a"), rest(s["b"], s["own_b"]).alias("b"))
+        size = F.length(F.array_join(s["a"], " ")) + F.length(F.array_join(s["b"], " "))
+        return let(kept, lambda k: (k["a"] == k["b"]) & (size - 2 * F.length(k["a"]) <= allowed))
+
+    own = F.struct(a.alias("a"), b.alias("b"), F.array_except(a, b).alias("own_a"), F.array_except(b, a).alias("own_b"))
+    by_parts = let(let(let(F.struct(a.alias("a"), b.alias("b")), middles), tails), decide)
+    return let(own, exchanged) | by_parts
 
 
 def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float, text_col: str) -> DataFrame:
@@ -188,7 +198,7 @@ def groups(lines: DataFrame, docs: DataFrame, radius: int, similarity: float, te
     def near() -> Column:
         """SimHashes within the radius, and lengths that the edit similarity does not rule out."""
         a, b = F.col("size_u"), F.col("size_v")
-        bits = sum(F.bit_count(F.col(x + "_u").bitwiseXOR(F.col(x + "_v")).bitwiseAND(F.lit(~FULL).cast("long"))) for x in HASH)
+        bits = sum(F.bit_count(F.col(x + "_u").bitwiseXOR(F.col(x + "_v")).bitwiseAND(F.lit(BITS))) for x in HASH)
         return (F.abs(a - b) <= F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9)) & (bits <= radius)
 
     entry = ["bucket", "line", "size", *HASH]
