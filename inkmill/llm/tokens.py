@@ -3,8 +3,8 @@
 Encoder gives the ids that the library gives for the whole text. A byte-level tokenizer encodes each
 pre-token by itself, so the encoder keeps the ids of pre-tokens that it has seen in a bounded memory,
 which a worker process keeps from task to task, and asks the library's model for new ones only. It does
-so for texts of characters whose classes are beyond doubt (Latin blocks); every other text goes to the
-library as it is.
+so for texts of characters whose classes are beyond doubt (Latin blocks) that hold no string of an added
+token, such as <|endoftext|>; every other text goes to the library as it is, whose defaults are kept.
 
 The file format. A table of blocks in Parquet, in ascending order of documents; a block holds whole
 documents. Each id takes the fewest bits that the vocabulary needs; an id's place in its block is its
@@ -75,11 +75,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         first = made["pre_tokenizer"] or {}
         self.by_word = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not made["normalizer"]
+        # Strings that the library takes out of a text before it looks for words.
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in made["added_tokens"]) or "(?!)")
         self.size = self.tokenizer.get_vocab_size()
         self.code, self.letters = "H" if self.size <= 1 << 16 else "I", byte_letters()
         self.memory, self.known = memory, Known(self._word)
@@ -98,7 +99,7 @@ class Encoder:
         return [np.frombuffer(x, dtype=self.code) for x in out]
 
     def _slice(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if DOUBTFUL.search(t)]
+        odd = [i for i, t in enumerate(texts) if DOUBTFUL.search(t) or self.added.search(t)]
         whole = [texts[i] for i in odd]
         for i in odd:
             texts[i] = ""
