@@ -1,18 +1,21 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
 Each task cuts its documents into shards of bounded size and builds a suffix array over a shard's
-words. Every suffix of every benchmark item is then binary-searched in every shard; this gives its
-longest verbatim match and, for matches of a whole window, all locations. A window is `window`
-consecutive words of an item; an item of fewer words, but not none, is one window. Document words in
-any occurrence of a window are hit.
-
-The array is ordered to `window` words: what windows need; longest matches go on beyond that where the
-windows at neighbouring locations follow each other. Words that no item holds cannot be part of a
+words. The suffixes of every benchmark item are then binary-searched in every shard by their first
+`window` words, their windows; this gives all locations of each. A window is `window` consecutive
+words of an item; an item of fewer words, but not none, is one window. Document words in any occurrence
+of a window are hit.
+
+The array is ordered to `window` words: what windows need; longest verbatim matches go on beyond that
+where the windows at neighbouring locations follow each other. Suffixes shorter than a window, at an
+item's end, are none and are not searched. Words that no item holds cannot be part of a
 match, so only runs of items' words that are as long as the shortest window enter the array; that
 changes no match of a window.
 
 The items are a query set against all rows: they go to the tasks in blocks of at most `block_words`
-words, so a block's size is bounded whatever the benchmark's; a larger benchmark takes more passes.
+words (100 bytes a word in a task: some 25 MB), so a block's size is bounded whatever the benchmark's; a
+larger benchmark takes more passes. An item of more words is cut into pieces, each of which repeats the
+last window - 1 words of the one before, so that every window lies in one piece.
 
 Defined results: null texts and texts without words have no hits; items without words have no windows;
 equal items each count; repeated documents each get their row; a null item_id is left out; an empty
@@ -36,7 +39,7 @@ from inkmill.llm.common import materialize
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
 SHARD_BYTES = 16 << 20
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 250_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -47,13 +50,10 @@ def words_of(text: str | None) -> list[bytes]:
 class Items:
     """The windows of some benchmark items, ready for search."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window, self.ids, self.words = window, [], {}
         text, start, need, owner = [], [], [], []
-        for item_id, body in items:
-            w = words_of(body)
-            if item_id is None or not w:
-                continue
+        for item_id, w in items:
             size = min(window, len(w))
             for k in range(len(w) - size + 1):
                 start.append(len(text) + k)
@@ -170,14 +170,20 @@ def shards(batches: Iterator[pa.RecordBatch], column: int, chars: int) -> Iterat
 
 
 def blocks(benchmark: DataFrame, window: int, block_words: int, id_col: str, text_col: str) -> Iterator[Items]:
-    """The items in blocks; only one block is on the driver at a time."""
+    """The items, or pieces of them, in blocks of at most block_words words; no more than a block is read ahead."""
     held, size = [], 0
+    most = max(block_words, window)
     for item_id, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
-        held.append((item_id, text))
-        size += len(text or "") // 4 + 1
-        if size >= block_words:
-            yield Items(held, window)
-            held, size = [], 0
+        w = words_of(text)
+        if item_id is None or not w:
+            continue
+        for at in range(0, max(1, len(w) - window + 1), most - window + 1):
+            piece = w[at : at + most]
+            if held and size + len(piece) > most:
+                yield Items(held, window)
+                held, size = [], 0
+            held.append((item_id, piece))
+            size += len(piece)
     yield Items(held, window)
 
 
