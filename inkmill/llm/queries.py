@@ -6,6 +6,9 @@ from inkmill.llm import cascade, decontam, license_scan, line_dedup, packing, pi
 from inkmill.session import table
 
 
+TEST_KEY = "a key for tests only"  #: real documents take a key that is kept secret
+
+
 def over_documents(op):
     return lambda spark, sf_dir: op(table(spark, sf_dir, "documents"))
 
@@ -15,7 +18,7 @@ QUERIES = {
     "op2_token_binary": over_documents(tokens.op2),
     "op3_packing": over_documents(packing.op3),
     "op4_sharding": over_documents(sharding.op4),
-    "op5_pii_pseudonyms": over_documents(pii.op5),
+    "op5_pii_pseudonyms": over_documents(lambda docs: pii.op5(docs, TEST_KEY)),
     "op6_simhash_near_dedup": over_documents(simhash.op6),
     "op7_benchmark_decontamination": lambda spark, sf_dir: decontam.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op8_quality_classifier": lambda spark, sf_dir: quality_gbdt.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
