@@ -153,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     chosen = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
-    rows = with_statistics(texts, ["y"]).collect()
+    # A doc_id may repeat in docs; the bound holds for rows, which are taken in the order of their hashes.
+    rows = with_statistics(texts.withColumn("k", F.xxhash64("doc_id", "text")), ["y", "k"]).orderBy("k", "y").limit(sample).collect()
     x = np.array([r.features for r in rows], dtype=float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r.y for r in rows], dtype=float))
 
