@@ -1,11 +1,15 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates (DataFrame functions only).
 
-Lines that hold a word all notices share (ANCHORS) are classified by a sparse
+Lines that hold an anchor are classified by a sparse
 logistic regression over their word 1-, 2- and 3-grams into licence families and an unknown class; its
 probabilities are calibrated by a temperature on examples kept from fitting. A family with a
 probability of CONFIDENCE or more is confirmed where one of its templates' words are contained in
 the line to CONTAINED or more; otherwise the line is of unknown licence.
 
+Anchors are words that no notice can do without: of each template, as many as may be missing where it is
+confirmed, and one more. So a line without any holds too little of every template, and that it is not
+classified loses no licence.
+
 Notices wrapped over several lines are found in the runs of lines of a paragraph (parted by empty
 lines) that hold an anchor and have fewer than SPAN words between their first and last line; of
 these two lines the SPAN words next to the others count. A run is reported where it is confirmed and
@@ -22,7 +26,9 @@ length is read whole; other columns are ignored; an empty table gives an empty r
 from __future__ import annotations
 
 import functools
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +38,8 @@ from pyspark.sql import functions as F
 from inkmill.llm.common import let
 
 UNKNOWN, CONFIDENCE, CONTAINED = "unknown", 0.5, 0.75
-ANCHORS = ["licen[cs]e", "copyright", "permission", "public domain", "cc0", "redistribution", "spdx"]
+#: Words of notices that other texts hold often: anchors only where a template has too few others (fixed values).
+FREQUENT = set("2 3 a and any are as be by can charge code copy domain except file for form free general hereby in into is it may not of or person program public released source subject terms the this to under use v version with without work you".split())
 
 #: Notices by which the licences are commonly applied (fixed values).
 TEMPLATES = {
@@ -105,6 +112,21 @@ def examples(seed: int, each: int) -> tuple[list[set[str]], list[int]]:
     return x, y
 
 
+#: Words that make a line worth classifying though no template needs them.
+NOTICE = {"copyright", "licence", "licences", "licensing", "permission", "spdx"}
+
+
+def anchors() -> list[str]:
+    """NOTICE, and of each template the words that most templates share, then the longest frequent ones, so many that a confirmed line holds one of them."""
+    sets = [set(words_in(t)) for ts in TEMPLATES.values() for t in ts]
+    shared = Counter(w for s in sets for w in s)
+    chosen = set(NOTICE)
+    for words in sets:
+        ranked = sorted(words, key=lambda w: (w in FREQUENT, w not in chosen, -len(w) if w in FREQUENT else -shared[w], w))
+        chosen |= set(ranked[: len(words) - math.ceil(CONTAINED * len(words)) + 1])
+    return sorted(chosen)
+
+
 @dataclass(frozen=True)
 class Model:
     families: tuple[str, ...]  # the first is unknown
@@ -220,14 +242,13 @@ def wrapped(paragraph: Column, model: Model, anchor: str) -> Column:
 
 def scan(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
     """docs with licences: an array of (family, probability, line) for each line with an anchor and then for each notice wrapped over lines."""
-    model, anchor = model or trained(), "(?i)" + "|".join(ANCHORS)
+    model, anchor = model or trained(), r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, anchors())) + ")(?![a-z0-9])"
     text, none = F.col(text_col), F.array().cast("array<struct<family:string,probability:double,line:string>>")
-    loose = anchor.replace(" ", r"[^a-z0-9]+")  # an anchor's words may stand on two lines
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(anchor))
     single = F.transform(lines, lambda x: let(scan_words(words_of(x), model), lambda s: F.struct(s["family"].alias("family"), s["probability"].alias("probability"), x.alias("line"))))
-    paragraphs = F.filter(F.split(text, r"\n(?:[^\S\n]*\n)+"), lambda x: x.rlike(loose) & x.contains("\n"))
+    paragraphs = F.filter(F.split(text, r"\n(?:[^\S\n]*\n)+"), lambda x: x.rlike(anchor) & x.contains("\n"))
     many = F.flatten(F.transform(paragraphs, lambda x: wrapped(x, model, anchor)))
-    return docs.withColumn("licences", F.coalesce(F.when(text.rlike(loose), F.concat(single, many)), none))
+    return docs.withColumn("licences", F.coalesce(F.when(text.rlike(anchor), F.concat(single, many)), none))
 
 
 def op9(docs: DataFrame) -> DataFrame:
