@@ -1,6 +1,7 @@
 """Operators against plain versions of what they compute."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from inkmill.llm import cascade, common, decontam, license_scan, line_dedup, packing, pii, quality_gbdt, sharding, simhash, tokens
 
 SF = "/root/testdata/sf0.001"
+KEY = "of these tests"
 
 
 @pytest.fixture(scope="module")
@@ -72,13 +74,13 @@ def simhash_blocks(line, hashes):
     held = [[] for _ in range(6)]
     for w in set(line.split(" ")):
         held[max(i for i in range(6) if i == 0 or hashes[w] > -(1 << 63) + (i << 64) // 6)].append(hashes[w] % (1 << 64))
-    return [(sum(1 << b for b in range(64) if b % 4 < 2 and 2 * sum(h >> b & 1 for h in hs) > len(hs)), len(hs)) for hs in held]
+    return [(sum(1 << b for b in range(0, 56, 2) if 2 * sum(h >> b & 1 for h in hs) > len(hs)), len(hs)) for hs in held]
 
 
 def blocks_agree(a, b):
     if sum((x ^ y).bit_count() for (x, _), (y, _) in zip(a, b)) > line_dedup.RADIUS:
         return False
-    same = [min(n, m) for (x, n), (y, m) in zip(a, b) if x == y and (x or n >= 3) and (n >= 3) == (m >= 3)]
+    same = [x[1] for x, y in zip(a, b) if x == y and x[1]]
     return any(n >= 3 for n in same) or len(same) >= 2
 
 
@@ -120,18 +122,21 @@ def test_op1_lines(spark):
 
 
 def test_op1_recall(spark):
-    """Of all pairs of lines with edit similarity 0.8, which DuckDB finds by comparing every two, 0.9 lie in one group."""
+    """Of all pairs of lines with edit similarity 0.8, which DuckDB finds by comparing every two of up to 160 characters, 0.9 lie in one group."""
     import duckdb
 
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 120")  # quadratic by its nature
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = common.materialize(line_dedup.lines_of(docs, "text", "doc_id"))
     roots = {r.node: r.root for r in line_dedup.groups(rows.filter("line IS NOT NULL"), docs, line_dedup.RADIUS, 0.8, "text").collect()}
     lines = docs.select(F.explode(F.split("text", "\n")).alias("x")).select(line_dedup.normalised(F.col("x")).alias("x")).filter("x <> ''").distinct()
-    lines = lines.select("x", F.xxhash64("x").alias("line"), F.length("x").alias("n")).toPandas()  # noqa: F841
-    near = duckdb.sql("""SELECT a.line AS u, b.line AS v FROM lines a JOIN lines b ON a.n <= b.n AND a.line <> b.line AND (a.n < b.n OR a.line < b.line) AND b.n - a.n <= b.n // 5
-        WHERE abs(length(replace(a.x, 'e', '')) - length(replace(b.x, 'e', ''))) <= b.n // 5 AND levenshtein(a.x, b.x) <= b.n // 5""").fetchall()
+    lines = lines.select("x", F.xxhash64("x").alias("line"), F.length("x").alias("n")).filter("n <= 160").toPandas()  # noqa: F841
+    # Counts of letters differ by as many as edits can change; only pairs that they leave are compared letter by letter.
+    counts = ", ".join(f"n - length(replace(x, '{c}', '')) AS c{i}" for i, c in enumerate("etaoinsr "))
+    close = " AND ".join(f"abs(a.c{i} - b.c{i}) <= b.n // 5" for i in range(9))
+    near = duckdb.sql(f"""WITH l AS (SELECT *, {counts} FROM lines)
+        SELECT a.line AS u, b.line AS v FROM l a JOIN l b ON a.n <= b.n AND a.line <> b.line AND (a.n < b.n OR a.line < b.line) AND b.n - a.n <= b.n // 5 AND {close} WHERE levenshtein(a.x, b.x) <= b.n // 5""").fetchall()
     found = sum(roots.get(u, u) == roots.get(v, v) for u, v in near)
-    assert len(near) > 5 and found >= 0.9 * len(near), (found, len(near))
+    assert len(near) > 50 and found >= 0.9 * len(near), (found, len(near))
 
 
 def test_op1_edit_bound(spark):
@@ -174,9 +179,10 @@ def test_op2_encoder_is_the_library():
     from tokenizers import Tokenizer
 
     rng, t = random.Random(3), Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
+    special = json.loads(t.to_str())["added_tokens"][0]["content"]
     letters = list("abc'sdtrevmll XYZ019 \n\t  \r!?._-éñßüèÀ\xa0²½ªº\x1c\x85ʼn日本👍क्षि٣​ ")
-    many = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(3000)] + ["<|endoftext|>", ""]
+    many = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(3000)] + ["<|endoftext|>", "", special, f"ab {special} cd{special}{special[:-1]}"]
+    assert len(t.encode(special, add_special_tokens=False).ids) == 1
     assert [x.tolist() for x in tokens.Encoder(tokens.vocabulary_path(), memory=200).encode(many)] == [e.ids for e in t.encode_batch(many, add_special_tokens=False)]
 
 
@@ -222,13 +228,34 @@ def test_op4_shards(docs, texts):
 def test_op4_moves_little(docs):
     a = {r.doc_id: r.shard for r in sharding.op4(docs, 24).collect()}
     b = {r.doc_id: r.shard for r in sharding.op4(docs, 25).collect()}
-    assert sum(a[i] != b[i] for i in a) < 0.75 * len(a)
+    assert sum(a[i] != b[i] for i in a) < 0.25 * len(a)  # 200 documents: bounded loads move more than the ideal 1 / 25
+
+
+def test_op4_is_the_plain_walk(spark):
+    """Row by row in ring order: the first virtual node at or after a row's place whose shard has room."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", f"text {rng.randrange(60)}"])) for i in range(300)] + [(None, "a"), (7, "a"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text_crc32, r.shard, r.slot) for r in sharding.op4(docs, 5).collect())
+    place = F.xxhash64(F.coalesce("text", F.lit("")))
+    ordered = sorted((r.p, r.doc_id is not None, r.doc_id or 0, r.c) for r in docs.select("doc_id", place.alias("p"), F.crc32(F.coalesce("text", F.lit(""))).alias("c")).collect())
+    points, filled, want = sharding.ring(5, 64), [0] * 5, []
+    for p, has_id, doc_id, crc in ordered:
+        at = next((k for k, (q, _) in enumerate(points) if q >= p), len(points))
+        while True:
+            shard = points[at % len(points)][1]
+            if filled[shard] < len(rows) // 5 + (shard < len(rows) % 5):
+                break
+            at += 1
+        want.append((not has_id, doc_id, crc, shard, filled[shard]))
+        filled[shard] += 1
+    assert got == sorted(want)
 
 
 def test_op5_pseudonyms(spark):
     rows = [(1, "card 4111 1111 1111 1111, 4111111111111112; ip 10.0.0.1 300.1.1.1"), (2, "card 4111 1111 1111 1111 on 2024-02-29 or 2023-02-29; +1 (988) 555-2485"), (3, "DE89 3704 0044 0532 0130 00 ssn 123-45-6789 000-12-3456 a.b@example.com")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: r.text for r in pii.op5(docs).collect()}
+    out = {r.doc_id: r.text for r in pii.op5(docs, KEY).collect()}
     cards = [re.search(r"card (\d{4} \d{4} \d{4} \d{4})", out[i])[1] for i in (1, 2)]
     assert cards[0] == cards[1] != "4111 1111 1111 1111"
     digits = [int(c) for c in cards[0] if c != " "][::-1]
@@ -246,7 +273,7 @@ def test_op5_leaves_no_value_in_clear(spark):
     rows = ["ip 8.8.8.8", "1.1.1.1", "AKIAIOSFODNN" + "EXAMPLEX", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", 'TOKEN = "9233A8EC77AB"', "SECRET_KEY=abcdEFGHxyz", "my_app_token: abcdefghij", "api-key = abcdefghij", "accessToken=abcdefghij", "Password: abcdefghij"]
     rows = [*enumerate(rows), (99, "monkey = bananabread"), (100, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.op5(docs).collect()}
+    out = {r.doc_id: r for r in pii.op5(docs, KEY).collect()}
     for i, text in rows[:-2]:
         assert out[i].n_replaced == 1 and out[i].text != text, text
     assert out[1].text.count(".") == 3 and out[2].text.startswith("AKIA") and out[4].text.startswith('TOKEN = "') and out[5].text.startswith("SECRET_KEY=") and out[7].text.startswith("api-key = ")
@@ -255,9 +282,56 @@ def test_op5_leaves_no_value_in_clear(spark):
     assert {r.doc_id: r.text for r in back.collect()} == dict(rows)
 
 
+def plain_noise(key, *parts):
+    return int(hashlib.sha256("|".join([key, *map(str, parts)]).encode()).hexdigest()[:15], 16)
+
+
+def plain_digits(text, key):
+    """The permutation of digits, written out: eight rounds, even ones move the first half by the second."""
+    half = len(text) // 2
+    a, b = text[:half], text[half:]
+    for r in range(8):
+        x, y = (a, b) if r % 2 == 0 else (b, a)
+        x = "".join(str((int(c) + plain_noise(key, r, i, y) % 10) % 10) for i, c in enumerate(x))
+        a, b = (x, b) if r % 2 == 0 else (a, x)
+    return a + b
+
+
+def test_op5_is_a_plain_feistel_network(spark):
+    rng = random.Random(6)
+    cards, ips = [], [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(40)] + ["8.8.8.8", "255.255.255.255", "0.0.0.0"]
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10
+    for n in (13, 15, 16, 19) * 8:
+        body = str(rng.randrange(1, 10)) + "".join(str(rng.randrange(10)) for _ in range(n - 2))
+        cards.append(body + str(-luhn(body + "0") % 10))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(cards + ips)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.op5(docs, KEY).collect()}
+    for i, x in enumerate(cards):
+        body = x[0] + plain_digits(x[1:-1], KEY + "card")
+        assert got[i] == body + str(-luhn(body + "0") % 10)
+    for i, x in enumerate(ips, len(cards)):
+        o = list(map(int, x.split(".")))
+        a, b = o[0] * 256 + o[1], o[2] * 256 + o[3]
+        for r in range(8):
+            if r % 2 == 0:
+                a = (a + plain_noise(KEY + "ip", r, b)) % 65536
+            else:
+                b = (b + plain_noise(KEY + "ip", r, a)) % 65536
+        assert got[i] == f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+
+def test_op5_prose_stays(spark):
+    prose = ["the key: important idea", "Token: something of the past", "the secret = love", "a password: remembered by few", "key: KEEPSAKES of old"]
+    found = ['"password": "correcthorse"', "API_KEY=abcdefgh", "Password: Hunter2x", "secret_key : 'qwertyuiop'"]
+    docs = spark.createDataFrame(list(enumerate(prose + found)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.op5(docs, KEY).collect()}
+    assert [got[i].text for i in range(len(prose))] == prose
+    assert [got[i].n_replaced for i in range(len(prose), len(prose + found))] == [1] * len(found), got
+
+
 def test_op5_date_permutation(spark):
     days = spark.range(20000).select(F.date_from_unix_date(F.col("id").cast("int")).cast("string").alias("text"), F.col("id").alias("doc_id"))
-    got = [r.text for r in pii.op5(days).collect()]
+    got = [r.text for r in pii.op5(days, KEY).collect()]
     assert len(set(got)) == 20000
 
 
@@ -334,6 +408,28 @@ def test_op8_held_out_accuracy(spark):
     assert np.mean([r.predicted == r.quality for r in held]) > 0.97
 
 
+def test_op8_arrays_are_the_trees():
+    """Scores by numpy over the arrays against a walk of each tree for each row; and the first split against all splits."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(400, 3)), 1)
+    y = (x[:, 1] + 0.3 * rng.normal(size=400) > 0.2).astype(float)
+    forest = quality_gbdt.fit(x, y, trees=7, depth=3, bins=1000, least=5)
+    for row, score in zip(x, forest.score(x)):
+        total = forest.base
+        for t in range(7):
+            k = 0
+            while forest.feature[t, k] >= 0:
+                k = 2 * k + 1 + int(row[forest.feature[t, k]] > forest.cut[t, k])
+            total += forest.value[t, k]
+        assert abs(1 / (1 + np.exp(-total)) - score) < 1e-12
+    p = y.mean()
+    g, h = p - y, np.full(400, p * (1 - p))
+    gain = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1)
+    best = max(gain(x[:, f] <= c) + gain(x[:, f] > c) for f in range(3) for c in np.unique(x[:, f]) if 5 <= (x[:, f] <= c).sum() <= 395)
+    left = x[:, forest.feature[0, 0]] <= forest.cut[0, 0]
+    assert abs(gain(left) + gain(~left) - best) < 0.01 * best
+
+
 def test_op8_fit_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, len(quality_gbdt.FEATURES)))
@@ -347,7 +443,7 @@ def test_op9_equals_the_model(spark):
     lines = ["Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "You need a licence to drive.", "no notice here", "SPDX-License-Identifier: Apache-2.0", "permission granted by the keeper of the public domain"]
     got = {r.text: r.licences for r in license_scan.scan(spark.createDataFrame([(t,) for t in lines], "text string")).collect()}
     for line in lines:
-        if not re.search("|".join(license_scan.ANCHORS), line.lower()):
+        if not set(license_scan.words_in(line)) & set(license_scan.anchors()):
             assert got[line] == []
             continue
         p = model.probabilities(line)
@@ -363,6 +459,24 @@ def test_op9_notices_wrapped_over_lines(spark):
     assert got == {1: (1, "GPL"), 2: (1, "Apache"), 3: (0, ""), 4: (1, "MIT"), 5: (0, "")}
 
 
+def test_op9_anchors_are_implied():
+    """No choice of words that confirms a template is without an anchor."""
+    found = set(license_scan.anchors())
+    for notices in license_scan.TEMPLATES.values():
+        for t in notices:
+            words = set(license_scan.words_in(t))
+            assert len(words - found) / len(words) < license_scan.CONTAINED
+
+
+def test_op9_planted_lines(spark):
+    """Precision and recall on the documents' own licence lines."""
+    planted = {"GNU General Public License, version 3": "GPL", "CC BY-NC 4.0": "CC-BY-NC", "Released under the MIT License": "MIT", "Licensed under the Apache License, Version 2.0": "Apache"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.families for r in license_scan.op9(docs).collect()}
+    want = {r.doc_id: ",".join(sorted(f for s, f in planted.items() if s in (r.text or ""))) for r in docs.collect()}
+    assert got == want and len([f for f in want.values() if f]) > 10
+
+
 def test_op9_held_out_accuracy():
     model = license_scan.trained()
     x, y = license_scan.examples(99, 20)
@@ -387,6 +501,23 @@ def test_op10_order_changes_no_verdict(docs):
     assert verdict(chain) == verdict(cascade.RULES[::-1])
 
 
+def test_op10_stops_at_the_first_rejection(spark):
+    """A rule behind one that rejects is not evaluated: this one would fail the query."""
+    trap = cascade.Rule("trap", (), lambda m: F.raise_error(F.lit("evaluated")).isNotNull())
+    docs = spark.createDataFrame([(1, "few words"), (2, None)], "doc_id long, text string")
+    chain = [cascade.RULES[0], trap]
+    assert [r.rule for r in docs.select(cascade.on_text(F.col("text"), lambda m: cascade.first_rejection(chain, m)).alias("rule")).collect()] == ["too_few_words"] * 2
+    with pytest.raises(Exception, match="evaluated"):
+        docs.select(cascade.on_text(F.col("text"), lambda m: cascade.first_rejection(chain[::-1], m)).alias("rule")).collect()
+
+
+def test_op10_order_saves_work(docs):
+    chain = cascade.ordered(docs)
+    met = cascade.reached(docs, chain)
+    assert list(met) == [r.name for r in chain] and list(met.values()) == sorted(met.values(), reverse=True)
+    assert met[chain[-1].name] < met[chain[0].name] == docs.count()
+
+
 def test_pipeline_whole(spark):
     import corpus_pipeline
 

@@ -27,7 +27,7 @@ def labels(spark):
 
 def operators(benchmark, labels):
     return {
-        "op1": line_dedup.op1, "op2": tokens.op2, "op3": packing.op3, "op4": sharding.op4, "op5": pii.op5, "op6": simhash.op6,
+        "op1": line_dedup.op1, "op2": tokens.op2, "op3": packing.op3, "op4": sharding.op4, "op5": lambda d: pii.op5(d, "a key"), "op6": simhash.op6,
         "op7": lambda d: decontam.op7(d, benchmark), "op8": lambda d: quality_gbdt.op8(d, labels), "op9": license_scan.op9, "op10": cascade.op10,
     }
 
@@ -68,7 +68,7 @@ def test_null_texts_have_defined_results(docs, benchmark):
     assert tokens.op2(null).first().n_tokens == 1
     assert sharding.op4(null).select("size", "text_crc32").first() == (8, 0)
     assert cascade.op10(null).select("n_words", "kept").first() == (0, False)
-    assert pii.op5(null).first().text is None and line_dedup.op1(null).first().text is None
+    assert pii.op5(null, "a key").first().text is None and line_dedup.op1(null).first().text is None
     assert license_scan.op9(null).first().families == ""
     assert decontam.op7(null, benchmark).select("n_words", "contaminated").first() == (0, False)
 
