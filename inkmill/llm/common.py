@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from inkmill.functions.core import let
 
-__all__ = ["connected", "discard", "let", "materialize", "partitions", "shared_dir", "sorted_runs", "split_join"]
+__all__ = ["BROADCAST_ROWS", "connected", "discard", "let", "materialize", "partitions", "shared_dir", "sorted_runs", "split_join"]
 
 #: Used only by sessions within one process (local[...]) that name no shared folder, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
+BROADCAST_ROWS = 2_000_000  #: a side of two longs a row is broadcast up to this many rows (some 32 MB)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -94,11 +97,12 @@ def connected(edges: DataFrame) -> DataFrame:
     with u = v link nothing. An empty input gives an empty result.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         if large:
             e = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = e.join(least, "u")
+        # Some hubs have many rows: minima of few edges are broadcast, so that no task gets a hub's rows alone.
+        joined = e.join(F.broadcast(least) if 2 * n <= BROADCAST_ROWS else least, "u")
         if large:
             return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         own = least.filter("u > m").select("u", F.col("m").alias("v"))
@@ -110,7 +114,7 @@ def connected(edges: DataFrame) -> DataFrame:
     now = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = mark(now)
     while seen[0]:
-        new = materialize(star(star(now, True), False))
+        new = materialize(star(star(now, True, seen[0]), False, seen[0]))
         discard(now)
         now, before, seen = new, seen, mark(new)
         if before == seen:

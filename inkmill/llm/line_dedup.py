@@ -36,14 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkmill.llm.common import connected, discard, let, materialize, split_join
+from inkmill.llm.common import BROADCAST_ROWS, connected, discard, let, materialize, split_join
 
-RADIUS, BLOCKS, SIMILARITY = 35, 6, 0.8
+RADIUS, BLOCKS, SIMILARITY = 30, 6, 0.8
 ALONE = 3  #: words of a block that make lines candidates by itself
 KEPT = 56  #: a hash's even bits below this one enter a SimHash; above it a block has its number of words, 127 at most
 BITS = sum(1 << i for i in range(0, KEPT, 2))
 BANDS = (8, 24, 72)  #: edits that the bands look for before one as wide as allowed does
-BROADCAST_ROWS = 2_000_000  #: a side of two longs a row is broadcast up to this many rows (some 32 MB)
+LETTERS = "".join(map(chr, [*range(33, 127), *range(161, 1200)]))  #: words are written in these to be compared
 HASH = [f"b{i}" for i in range(BLOCKS)]
 
 
@@ -124,10 +124,9 @@ def texts_of(lines: DataFrame, ends: DataFrame, docs: DataFrame, text_col: str)
 def within(a: Column, b: Column, allowed: Column) -> Column:
     """Whether the edit distance of two lines, given as words, is allowed.
 
-    Two bounds from above come first. Words of either line that the other has not, taken out and put in,
-    are edits that do, where the rest is the same in both. Words that both begin or end with leave the
-    distance as it is; what is left is bounded by the distances word by word. Only if both are too much is
-    the distance itself computed, in bands of growing width.
+    Words that both begin or end with leave the distance as it is. What is left is first bounded from above
+    by words: each word is written as one letter, and each edit of letters then costs at most the longest
+    word and a blank. Only if that is too much is the distance itself computed, in bands of growing width.
     """
     shared = lambda x, y: F.coalesce(F.nullif(F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False), F.lit(0)) - 1, F.size(x)).cast("int")
     cut = lambda x, first, n: F.slice(x, first + 1, n)
@@ -142,26 +141,23 @@ def within(a: Column, b: Column, allowed: Column) -> Column:
 
     def decide(s: Column) -> Column:
         x, y = s["a"], s["b"]
-        word_by_word = F.aggregate(F.zip_with(x, y, lambda p, q: F.levenshtein(p, q)), F.lit(0), lambda t, d: t + d)
         # Where one side has nothing left, a blank goes with the other side's words.
         left = allowed - ((F.size(x) == 0) != (F.size(y) == 0)).cast("int")
+
+        def by_words(known: Column) -> Column:
+            write = lambda z: F.array_join(F.transform(z, lambda w: F.get(F.split(F.lit(LETTERS), ""), F.array_position(known, w).cast("int") - 1)), "")
+            longest = F.coalesce(F.array_max(F.transform(known, lambda w: F.length(w))), F.lit(0))
+            return (F.size(known) <= len(LETTERS)) & (F.call_function("levenshtein", write(x), write(y), F.floor(left / (longest + 1)).cast("int")) >= 0)
+
         most = F.greatest(left, F.lit(0))
         banded = lambda k: F.call_function("levenshtein", F.array_join(x, " "), F.array_join(y, " "), k) >= 0
         exact = F.lit(False)
         for k in BANDS:
             exact = exact | banded(F.least(most, F.lit(k)))
         exact = exact | ((most > BANDS[-1]) & banded(most))
-        return F.when((F.size(x) == F.size(y)) & (word_by_word <= allowed), True).otherwise((left >= 0) & exact)
-
-    def exchanged(s: Column) -> Column:
-        rest = lambda x, own: F.array_join(F.filter(x, lambda w: ~F.array_contains(own, w)), " ")
-        kept = F.struct(rest(s["a"], s["own_a"]).alias("a"), rest(s["b"], s["own_b"]).alias("b"))
-        size = F.length(F.array_join(s["a"], " ")) + F.length(F.array_join(s["b"], " "))
-        return let(kept, lambda k: (k["a"] == k["b"]) & (size - 2 * F.length(k["a"]) <= allowed))
+        return (left >= 0) & (let(F.array_union(x, y), by_words) | exact)
 
-    own = F.struct(a.alias("a"), b.alias("b"), F.array_except(a, b).alias("own_a"), F.array_except(b, a).alias("own_b"))
-    by_parts = let(let(let(F.struct(a.alias("a"), b.alias("b")), middles), tails), decide)
-    return let(own, exchanged) | by_parts
+    return let(let(let(F.struct(a.alias("a"), b.alias("b")), middles), tails), decide)
 
 
 def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float, text_col: str) -> DataFrame:
