@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import connected, materialize, partitions, sorted_runs
+from inkmill.llm.common import connected, materialize, partitions, sorted_runs, split_join
 
 BITS = 64
 TILE = 4096
@@ -136,11 +136,13 @@ def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
 def components(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, fp and component_id for each row of docs."""
     fps = materialize(fingerprints(docs, width, id_col, text_col))
-    values = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    values = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_docs"))
     roots = connected(links(values.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
-    values = values.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = values.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(values.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component_id")
+    values = materialize(values.join(roots, "fp", "left").select("fp", "least", "n_docs", F.coalesce("root", "fp").alias("root")))
+    # A component may hold very many fingerprints, and a fingerprint very many documents: such are joined apart.
+    names = materialize(values.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    named = split_join(values.select("fp", "root", "n_docs"), names, "root", "n").select("fp", "component_id", "n_docs")
+    return split_join(fps, named, "fp", "n_docs").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
