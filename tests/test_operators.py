@@ -42,8 +42,24 @@ def test_chunk_edges():
     drafts = C.chunk(text)
     assert drafts[0].page_start == 1 and drafts[0].page_end == 3
     assert drafts[-1].section_path == "" and drafts[-1].arabic_ratio is None
-    long = C.blocks("x" * 10_000, 768)
-    assert "".join(long) == "x" * 10_000 and all(C.tokens(b) <= 769 for b in long)
+    long = ["x" * 10_000][0]
+    cut = C.spans(long, 768)
+    assert "".join(long[a:z] for a, z in cut) == long and all(C.tokens(long[a:z]) <= 769 for a, z in cut)
+
+
+def test_chunk_rules():
+    """The seven rules, on texts written for them; least 4, most 10 and overlap 2 tokens make them short."""
+    cut = lambda t: C.chunk(t, overlap=2, least=4, most=10)
+    pages = cut("Intro\nfirst words of page one\fsecond page goes on here")
+    assert [(d.page_start, d.page_end) for d in pages] == [(1, 1), (1, 2)]  # what is carried crosses pages
+    assert pages[0].section_path == "Intro" and pages[1].section_path == "second page goes on here"
+    assert pages[1].text.startswith("page one\n") and pages[1].char_count == len(pages[1].text)
+    first, second = cut("a longer sentence here.another longer sentence here.")[:2]
+    assert "." not in first.text and second.text.split("\n")[0] == "here"  # the separator between two pieces is dropped
+    assert [C.spans(t, 3) for t in ("", "abc", "aa bb cc dd ee ff")] == [[(0, 0)], [(0, 3)], [(0, 11), (12, 17)]]
+    assert C.tail("one two three", 0) == "" and C.tail("one two three", 2) == "three" and C.tail("one two", 99) == "one two"
+    last = C.chunk("word " * 400)[-1]
+    assert last.section_path == "" and last.arabic_ratio is None and last.token_count >= C.LAST
 
 
 def test_tokens_agree_with_the_expression(spark):
