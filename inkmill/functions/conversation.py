@@ -136,11 +136,15 @@ def sse_parse(stream: Column) -> Column:
     return F.transform(frames, lambda f: F.struct(F.nullif(field(f, "id"), F.lit("")).alias("id"), field(f, "event").alias("event"), F.array_join(F.regexp_extract_all(f, F.lit(r"(?m)^data: ?(.*)$"), 1), "\n").alias("data")))
 
 
-def fit_files(files: Column, most: int = 10, total: int = 20 * 1024 * 1024) -> Column:
-    """Names of files (name, size) that fit in order; one that does not is left out and later ones may still fit."""
+def fit_files(files: Column, most: int = 10, total: int = 20 * 1024 * 1024, endings: list[str] | None = None) -> Column:
+    """Names of files (name, size) that fit in order; one that does not is left out and later ones may still fit.
+
+    Hidden files, and with endings given those with another ending, are skipped.
+    """
+    allowed = lambda name: F.lit(True) if endings is None else F.lower(F.regexp_extract(name, r"\.[^.]*$", 0)).isin(endings)
 
     def add(s: Column, f: Column) -> Column:
-        fits = (F.size(s["names"]) < most) & (s["used"] + f["size"] <= total) & ~f["name"].startswith(".")
+        fits = (F.size(s["names"]) < most) & (s["used"] + f["size"] <= total) & ~f["name"].startswith(".") & allowed(f["name"])
         return F.struct(F.when(fits, s["used"] + f["size"]).otherwise(s["used"]).alias("used"), F.when(fits, F.concat(s["names"], F.array(f["name"]))).otherwise(s["names"]).alias("names"))
 
     return F.aggregate(files, F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("names")), add, lambda s: s["names"])

@@ -65,6 +65,15 @@ def without_overlaps(judged: Column) -> Column:
     return F.transform(F.array_sort(F.transform(kept, lambda c, i: F.struct(c["span_start"].alias("s"), i.alias("i"), c.alias("c")))), lambda o: o["c"])
 
 
+def with_overlaps(judged: Column) -> Column:
+    """The judged proposals with rule `overlap` for those that lose against another of higher confidence."""
+    def mark(x: Column) -> Column:
+        won = lambda c: F.exists(x["kept"], lambda k: (k["span_start"] == c["span_start"]) & (k["span_end"] == c["span_end"]) & k["replacement"].eqNullSafe(c["replacement"]) & k["confidence"].eqNullSafe(c["confidence"]))
+        return F.transform(x["judged"], lambda j: F.struct(j["c"].alias("c"), F.when(j["rule"].isNull() & ~won(j["c"]), "overlap").otherwise(j["rule"]).alias("rule")))
+
+    return let(F.struct(judged.alias("judged"), without_overlaps(judged).alias("kept")), mark)
+
+
 def review(page: Column, kept: Column) -> Column:
     """A struct of the characters touched, and whether over a quarter of the page is."""
     touched = F.aggregate(kept, F.lit(0), lambda a, c: a + (c["span_end"] - c["span_start"]).cast("int"))

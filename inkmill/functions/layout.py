@@ -41,8 +41,9 @@ def parse_layout(raw: Column) -> Column:
     text = F.trim(F.coalesce(raw, F.lit("")))
     candidate = F.when(text.startswith("["), text).otherwise(F.regexp_extract(text, r"(?s)\[.*\]", 0))
     listed = F.from_json(candidate, "array<struct<label:string,bbox:string,count:bigint>>")
-    # A box is a text of four numbers or a list of them; both leave four numbers between other characters.
-    blocks = F.transform(listed, lambda b: F.struct(F.coalesce(b["label"], F.lit("Text")).alias("label"), bbox_of(F.regexp_replace(b["bbox"], r'[\[\]"]', " ")).alias("bbox"), F.coalesce(b["count"], F.lit(0)).alias("count")))
+    # A box is a text of four numbers with blanks between, or a list of them; a list comes as its JSON text, with commas.
+    numbers = lambda v: F.when(v.startswith("["), F.regexp_replace(v, r'[\[\],"]', " ")).when(v.contains(","), "").otherwise(v)
+    blocks = F.transform(listed, lambda b: F.struct(F.coalesce(b["label"], F.lit("Text")).alias("label"), bbox_of(numbers(b["bbox"])).alias("bbox"), F.coalesce(b["count"], F.lit(0)).alias("count")))
     return F.coalesce(F.filter(blocks, lambda b: b["bbox"].isNotNull()), F.array().cast("array<struct<label:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>,count:bigint>>"))
 
 

@@ -56,7 +56,13 @@ def truncated(text: Column, limit: int) -> Column:
 def deduped(values: Column) -> Column:
     """Trimmed, without blanks, the first of those that differ in case only."""
     clean = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != "")
-    firsts = lambda c: F.filter(c, lambda v, i: F.array_position(F.transform(c, lambda w: F.lower(w)), F.lower(v)) == i + 1)
+
+    def firsts(c: Column) -> Column:
+        # Sorted by lower case and place, the first of each kind stands behind another kind.
+        keyed = F.array_sort(F.transform(c, lambda v, i: F.struct(F.lower(v).alias("k"), i.alias("i"))))
+        new = let(keyed, lambda s: F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["k"] != x["k"])))
+        return F.transform(F.array_sort(F.transform(new, lambda x: x["i"])), lambda i: F.get(c, i))
+
     return let(clean, firsts)
 
 
@@ -145,3 +151,8 @@ def windows(text: Column, most: int = 8000) -> Column:
         return F.when(full, F.concat(state, F.array(page))).otherwise(F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(joined)))
 
     return F.filter(F.aggregate(F.split(F.coalesce(text, F.lit("")), "\f"), F.array(F.lit("")), add), lambda w: w != "")
+
+
+def kept_windows(text: Column, most: int = 8) -> Column:
+    """The windows of a text that are condensed: the first ones."""
+    return F.slice(windows(text), 1, most)

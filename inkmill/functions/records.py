@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions.core import let
 
-TERMINAL = ["succeeded", "failed", "cancelled", "unavailable", "skipped"]
+TERMINAL = ["succeeded", "failed", "cancelled", "skipped", "timeout"]
 HIT = "array<struct<chunk_id:string,document_id:string,score:double>>"
 
 
@@ -75,6 +75,26 @@ def filter_meta(keywords: Column, topics: Column, title: Column) -> Column:
     return F.struct(F.slice(keywords, 1, 15).alias("keywords"), F.slice(topics, 1, 10).alias("topics"), F.substring(title, 1, 300).alias("title"))
 
 
+def provenance(engine: Column, source: Column, revision_no: Column, prompt_version: Column, windows: Column) -> Column:
+    """Where metadata come from: the model, the text's source and revision, the prompt's version, and whether the text was condensed."""
+    return F.struct(engine.alias("model"), source.alias("text_source"), revision_no.alias("revision_no"), prompt_version.alias("prompt_version"), (F.coalesce(windows, F.lit(0)) > 1).alias("condensed"))
+
+
+def planned_fields(mode: Column, required: Column) -> Column:
+    """What an extraction has to find: nothing in automatic mode, the document's own list in advanced mode."""
+    return F.when(mode == "advanced", F.coalesce(required, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+
+
+def stale_unbound(owner: Column, created: Column, now: Column, hours: int = 24) -> Column:
+    """Whether an upload belongs to nothing and is older than some hours."""
+    return F.coalesce(owner.isNull() & (created < now - F.make_dt_interval(hours=F.lit(hours))), F.lit(False))
+
+
+def saved_file(name: Column, body: Column) -> Column:
+    """A file to store, from its name and base64 content: name, content and size; null where the content is no base64 or the name is none."""
+    return let(F.try_to_binary(body, F.lit("base64")), lambda b: F.when(b.isNotNull() & name.isNotNull(), F.struct(name.alias("name"), b.alias("content"), F.octet_length(b).alias("size"))))
+
+
 def accepted_fields(proposed: Column, keys: Column) -> Column:
     """The chosen proposals in their own order."""
     return F.filter(proposed, lambda f: F.array_contains(keys, f["key"]))

@@ -26,8 +26,11 @@ def text_or_empty(t: Column) -> Column:
 
 
 def ar_normalize(t: Column) -> Column:
-    """Drops vowel marks, folds letter variants and both Arabic digit ranges, lower-cases."""
-    return F.lower(F.translate(F.regexp_replace(t, MARKS, ""), FOLD_FROM, FOLD_TO))
+    """Drops vowel marks, folds letter variants and both Arabic digit ranges, lower-cases.
+
+    All but the last concern one Unicode block, so texts without any of it are lower-cased only.
+    """
+    return F.lower(F.when(t.rlike("[\u0600-\u06ff]"), F.translate(F.regexp_replace(t, MARKS, ""), FOLD_FROM, FOLD_TO)).otherwise(t))
 
 
 @F.pandas_udf(StringType())

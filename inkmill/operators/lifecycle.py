@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkmill.operators.relational import next_numbers
+
 #: From each state the states that may follow (fixed values).
 TRANSITIONS = {
     "uploaded": ["preprocessing", "failed"],
@@ -56,6 +58,27 @@ def retry_state(stage: Column) -> Column:
     return F.when(stage == "preprocess", "uploaded").when(stage.isin("enrich", "index"), stage)
 
 
+def adopt_runs(picks: DataFrame, runs: DataFrame, revisions: DataFrame) -> DataFrame:
+    """New revisions from picked runs: document_id, revision_no (the next), text, source, origin_run, note.
+
+    picks: document_id, run_id. Only runs of that document that succeeded can be adopted; others give no row.
+    """
+    fit = picks.join(runs.filter("status = 'succeeded'"), ["document_id", "run_id"]).select("document_id", "text", F.col("run_id").alias("origin_run"), F.concat(F.lit("selected "), "engine").alias("note"))
+    numbered = next_numbers(revisions.select("document_id", "revision_no"), fit, "document_id", "revision_no", "origin_run")
+    return numbered.select("document_id", "revision_no", "text", F.lit("ocr_pick").alias("source"), "origin_run", "note")
+
+
+def finalize(revisions: DataFrame, chosen: DataFrame) -> DataFrame:
+    """revisions with is_final set on one of each document in chosen and cleared on its others.
+
+    chosen: document_id, revision_no (null or 0: the current one) and current_no. Where the document has no such revision nothing changes.
+    """
+    wanted = chosen.select("document_id", F.coalesce(F.nullif("revision_no", F.lit(0)), "current_no").alias("wanted"))
+    there = wanted.join(revisions.select("document_id", F.col("revision_no").alias("wanted")), ["document_id", "wanted"], "left_semi")
+    joined = revisions.join(there, "document_id", "left")
+    return joined.withColumn("is_final", F.when(F.col("wanted").isNull(), F.col("is_final")).otherwise(F.col("revision_no") == F.col("wanted"))).drop("wanted")
+
+
 def since(events: DataFrame, last: int, seq: str = "seq", limit: int = 200) -> DataFrame:
     """Events after the last one seen, in order."""
     return events.filter(F.col(seq) > last).orderBy(seq).limit(limit)

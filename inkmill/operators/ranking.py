@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TERMINAL = ["succeeded", "failed", "cancelled", "skipped", "timeout"]
+from inkmill.operators.diffing import locked_spans
 
 
 def batch_status(runs: DataFrame, batch: str = "batch_id") -> DataFrame:
@@ -40,8 +40,15 @@ def upper_median(values: Column) -> Column:
     return F.get(s, F.floor(F.size(s) / 2).cast("int"))
 
 
+def upper_median_by(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """upper_median() of each key's values that are not null, without gathering them: sorted rows may spill."""
+    w = Window.partitionBy(*keys)
+    placed = rows.filter(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("__at"), F.count("*").over(w).alias("__n"))
+    return placed.filter(F.col("__at") == F.floor(F.col("__n") / 2) + 1).select(*keys, F.col(value).alias(name))
+
+
 def flag_summaries(runs: DataFrame, batch: str = "batch_id", order: str = "finished_at", key: str = "run_id") -> DataFrame:
-    """Marks runs with under 0.4 of the upper median of the runs that had finished before in the batch; raises their gibberish by 0.4, 1 at most."""
+    """A batch holds one run an engine. Marks runs with under 0.4 of the upper median of the runs that had finished before in the batch; raises their gibberish by 0.4, 1 at most."""
     before = Window.partitionBy(batch).orderBy(order, key).rowsBetween(Window.unboundedPreceding, -1)
     counts = F.filter(F.collect_list("char_count").over(before), lambda c: c > 0)
     median = upper_median(counts)
@@ -65,6 +72,20 @@ def compare(runs: DataFrame, pages: DataFrame) -> DataFrame:
     return grid.join(pages.select("run_id", "page_number", "text"), ["run_id", "page_number"], "left").select("batch_id", "page_number", "rank", "run_id", text.alias("text"), F.length(text).alias("char_count"))
 
 
+def compare_grid(runs: DataFrame, pages: DataFrame) -> DataFrame:
+    """compare() by page: batch_id, page_number, columns (rank, run_id, text, char_count) with the best run first, locked spans and agreement."""
+    columns = F.array_sort(F.collect_list(F.struct("rank", "run_id", "text", "char_count")))
+    grid = compare(runs, pages).groupBy("batch_id", "page_number").agg(columns.alias("columns"))  # a column for each engine
+    found = grid.withColumn("found", locked_spans(F.transform("columns", lambda c: c["text"])))
+    return found.select("batch_id", "page_number", "columns", "found.spans", "found.agreement")
+
+
+def report_totals(reports: DataFrame, job: str = "job_id") -> DataFrame:
+    """Totals of a job over its pages: pages, changes proposed, accepted and rejected, characters touched, pages to be reviewed."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return reports.groupBy(job).agg(F.count("*").alias("pages"), *[total(c).alias(c) for c in ("proposed", "accepted", "rejected", "chars_touched")], F.count_if("needs_review").alias("needs_review"))
+
+
 def words_to_lines(words: DataFrame) -> DataFrame:
     """Word boxes of level 5 to lines: text, bounds and mean confidence, confidences below 0 as 0, by hundred."""
     rows = words.filter("level = 5 AND trim(text) <> ''")
