@@ -8,6 +8,7 @@ tasks as one matrix, so each chunk is read once for all of them.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -31,9 +32,11 @@ def cosine_distance(embedding: Column, query: list[float]) -> Column:
     return 1 - dot(embedding, q) / (F.sqrt(dot(embedding, embedding)) * float(np.sqrt(np.dot(query, query))))
 
 
-def scoped(chunks: DataFrame, doc_ids: list | None = None, doc_type: str | None = None, lang: str | None = None) -> DataFrame:
-    """None leaves a filter out; an empty list of ids is an empty scope."""
-    if doc_ids is not None:
+def scoped(chunks: DataFrame, doc_ids: list | DataFrame | None = None, doc_type: str | None = None, lang: str | None = None) -> DataFrame:
+    """None leaves a filter out; an empty list of ids is an empty scope. Many ids come as a table with document_id."""
+    if isinstance(doc_ids, DataFrame):  # ids as a table, of any size
+        chunks = chunks.join(doc_ids.select("document_id"), "document_id", "left_semi").select(chunks.columns)
+    elif doc_ids is not None:
         chunks = chunks.filter(F.col("document_id").isin(doc_ids)) if doc_ids else chunks.limit(0)
     if doc_type is not None:
         chunks = chunks.filter(F.col("doc_type") == doc_type)
@@ -66,7 +69,8 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for b in batches:
                 if not b.num_rows:
                     continue
-                x = np.array(b.column(1).to_pylist(), dtype=np.float64)
+                vectors = b.column(1)
+                x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)  # the usable ones are of one length
                 d = 1 - matrix @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
                 all_d = np.concatenate([best_d, d], axis=1)
                 all_i = np.concatenate([best_i, np.broadcast_to(b.column(0).to_numpy(), d.shape)], axis=1)
@@ -90,9 +94,13 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out.withColumn("rank", ranked).filter(F.col("rank") <= k)
 
 
+def words_in(normal: Column) -> Column:
+    return F.regexp_extract_all(normal, F.lit(r"[\p{L}\p{M}\p{N}_]+"), 0)
+
+
 def tokens(text: Column) -> Column:
     """Normalised words in order."""
-    return F.regexp_extract_all(ar_normalize(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}_]+"), 0)
+    return words_in(ar_normalize(F.coalesce(text, F.lit(""))))
 
 
 def parse_web_query(query: str) -> list[list[tuple[bool, list[str]]]]:
@@ -156,8 +164,12 @@ def lexical(chunks: DataFrame, query: str, candidates: int = CANDIDATES) -> Data
     groups = parse_web_query(query)
     if not groups:
         return chunks.limit(0).select("chunk_id", F.lit(0.0).alias("density"), F.lit(0).alias("rank_fts"))
-    rows = chunks.select("chunk_id", tokens(F.col("text")).alias("words"))
-    w, test, places = F.col("words"), None, []
+    # A text can match only if it holds all words of some group as they stand; only such texts are cut into words.
+    normal, may = F.col("normal"), F.lit(False)
+    for group in groups:
+        may = may | functools.reduce(lambda test, word: test & normal.contains(word), [w for negative, phrase in group if not negative for w in phrase], F.lit(True))
+    rows = chunks.select("chunk_id", ar_normalize(F.coalesce("text", F.lit(""))).alias("normal")).filter(may).select("chunk_id", words_in(normal).alias("words"))
+    w, test = F.col("words"), None
     for group in groups:
         held = None
         for negative, phrase in group:
@@ -205,7 +217,7 @@ def fuzzy(chunks: DataFrame, query: str, top_k: int = TOP_K) -> DataFrame:
     return found.select("chunk_id", F.lit(None).cast("int").alias("rank_vec"), F.lit(None).cast("int").alias("rank_fts"), "score")
 
 
-def hybrid_search(chunks: DataFrame, query: str | None, vector: list[float] | None, top_k: int = TOP_K, doc_ids: list | None = None, doc_type: str | None = None, lang: str | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, query: str | None, vector: list[float] | None, top_k: int = TOP_K, doc_ids: list | DataFrame | None = None, doc_type: str | None = None, lang: str | None = None) -> DataFrame:
     """The best chunks with score, rank_vec and rank_fts.
 
     A blank query and an empty scope find nothing. Without a vector, and where neither channel finds
@@ -213,7 +225,7 @@ def hybrid_search(chunks: DataFrame, query: str | None, vector: list[float] | No
     """
     top_k = max(1, min(TOP_K_MOST, top_k))
     inside = scoped(chunks, doc_ids, doc_type, lang)
-    if not query or not query.strip() or doc_ids == []:
+    if not query or not query.strip() or isinstance(doc_ids, list) and not doc_ids:
         found = fuzzy(chunks.limit(0), "", top_k)
     elif vector is None:
         found = fuzzy(scoped(chunks, doc_ids), query, top_k)
@@ -246,6 +258,15 @@ def neighbours(chunks: DataFrame, hits: DataFrame, before: int = 1, after: int =
     return chunks.join(h, "revision_id").filter(near)
 
 
+def search_postings(index: DataFrame, query: list[str], candidates: int = CANDIDATES) -> DataFrame:
+    """chunk_id, density and rank of the chunks that hold all the words, from postings(); reads the rows of these words only."""
+    words = list(dict.fromkeys(query))
+    held = index.filter(F.col("word").isin(words)).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("at"))  # a row for each word at most
+    held = held.filter(F.size("at") == len(words)).select("chunk_id", cover_density([F.col("at")[w] for w in words]).alias("density"))
+    best = held.orderBy(F.desc("density"), "chunk_id").limit(candidates)
+    return best.withColumn("rank_fts", F.row_number().over(Window.orderBy(F.desc("density"), "chunk_id")))  # at most `candidates` rows
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """word, chunk_id and places: an inverted index as a table, to be written bucketed by word where many queries follow."""
     rows = chunks.select("chunk_id", F.posexplode(tokens(F.col("text"))).alias("place", "word"))
