@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+#: Used only by sessions within one process (local[...]) that name no shared folder, as in tests.
+LOCAL_FALLBACK = "/tmp/checkpoints"
+
+
 def build(master: str = "local[*]", name: str = "inkmill", **conf: str) -> SparkSession:
     """A session for tests and benchmarks; on a cluster the caller brings its own."""
     builder = (
@@ -28,6 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share (spark.checkpoint.dir)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_FALLBACK
+    return f"{base.rstrip('/')}/inkmill/{uuid.uuid4().hex}"
+
+
 def spread(df):
     """df over as many tasks as the session has cores at least: a table in one small file would keep all but one idle.
 

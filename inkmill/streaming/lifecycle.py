@@ -55,8 +55,40 @@ def progress(events: DataFrame, keys: list[str], seq: str, value: str) -> DataFr
     return events.groupBy(*keys).agg(F.max_by(value, seq).alias(value))
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs the stream over what is there and returns the result as a table in memory: for tests and small feeds."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def append_events(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None, by: str | None = None):
+    """Appends a stream's rows to a table of Parquet files, each once, as the sink's log keeps track of batches; returns the running query.
+
+    interval: processing time between batches, such as "10 seconds"; None takes what is there and ends.
+    """
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    writer = writer.partitionBy(by) if by else writer
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def snapshot_then_tail(spark: SparkSession, path: str, schema, key: str, value, seq: str, seen: int) -> DataFrame:
+    """What a reader gets that has seen events up to `seen`: its key's later events as a stream, from the table's start on."""
+    return read_events(spark, path, schema).filter((F.col(key) == value) & (F.col(seq) > seen))
+
+
+def heartbeats(spark: SparkSession, every_seconds: int = 15) -> DataFrame:
+    """A stream with one comment frame every so many seconds, to be sent where nothing else is."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.filter(F.col("value") % every_seconds == 0).select("timestamp", F.lit(": ping\n\n").alias("frame"))
+
+
+def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Runs the stream over what is there and returns its result as a table below `folder`, which all executors share.
+
+    In complete and update mode the last state of each batch is what counts: complete batches replace
+    the table, batches of updates are appended with their number.
+    """
+    path, checkpoint, spark = f"{folder}/rows", f"{folder}/state", stream.sparkSession
+    if mode == "append":
+        append_events(stream, path, checkpoint).awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path) if mode == "update" else spark.read.schema(stream.schema).parquet(path)
