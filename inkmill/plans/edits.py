@@ -40,12 +40,17 @@ def applied(spark, tables):
     return kept.select(G.apply_changes(F.col("page"), F.col("kept")).alias("text"), "proposed", F.size("kept").alias("kept"), "r.chars_touched", "r.needs_review", F.array_join(ids, ",").alias("auto_accepted"))
 
 
-@query("edits_guard_documents", """WITH p AS (SELECT doc_id, text, position(' ' IN text) - 1 AS n FROM documents WHERE position(' ' IN text) > 1 AND lang = 'en'), c AS (SELECT *, substring(text, 1, n) AS original, CASE doc_id % 4 WHEN 0 THEN substring(text, 1, n) || '9' WHEN 1 THEN substring(text, 2, n - 1) WHEN 2 THEN substring(text, 1, n) ELSE reverse(substring(text, 1, n)) END AS replacement FROM p)
-SELECT CASE WHEN original = replacement THEN 'no_op' WHEN length(replacement) > 2.5 * length(original) + 10 THEN 'expansion' WHEN levenshtein(original, replacement)::DOUBLE / greatest(length(original), length(replacement), 1) > 0.6 THEN 'too_dissimilar'
+# The other engine's edit distance counts bytes; with one byte in place of each of the texts' further letters it counts letters.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+BYTES = " || ".join(f"chr({n})" for n in [*range(1, 9), *range(14, 27)])
+
+
+@query("edits_guard_documents", """WITH p AS (SELECT doc_id, text, position(' ' IN text) - 1 AS n FROM documents WHERE position(' ' IN text) > 1), c AS (SELECT *, substring(text, 1, n) AS original, CASE doc_id % 4 WHEN 0 THEN substring(text, 1, n) || '9' WHEN 1 THEN substring(text, 2, n - 1) WHEN 2 THEN substring(text, 1, n) ELSE reverse(substring(text, 1, n)) END AS replacement FROM p)
+SELECT CASE WHEN original = replacement THEN 'no_op' WHEN length(replacement) > 2.5 * length(original) + 10 THEN 'expansion' WHEN levenshtein(translate(original, '{LETTERS}', {BYTES}), translate(replacement, '{LETTERS}', {BYTES}))::DOUBLE / greatest(length(original), length(replacement), 1) > 0.6 THEN 'too_dissimilar'
  WHEN regexp_matches(replacement, '[A-Za-z]') AND NOT regexp_matches(original, '[A-Za-z]') THEN 'script_switch'
- WHEN len(list_filter(regexp_extract_all(replacement, '[0-9]'), lambda d: NOT contains(original, d))) > 0 THEN 'digit_invented' ELSE 'accepted' END AS rule, count(*) AS n FROM c GROUP BY 1""")
+ WHEN len(list_filter(regexp_extract_all(replacement, '[0-9]'), lambda d: NOT contains(original, d))) > 0 THEN 'digit_invented' ELSE 'accepted' END AS rule, count(*) AS n FROM c GROUP BY 1""".replace("{LETTERS}", LETTERS).replace("{BYTES}", BYTES))
 def guard_documents(spark, tables):
-    docs = tables("documents").filter("lang = 'en'").select("doc_id", "text", (F.instr("text", " ") - 1).alias("n")).filter("n > 0")
+    docs = tables("documents").select("doc_id", "text", (F.instr("text", " ") - 1).alias("n")).filter("n > 0")
     old = F.substring("text", F.lit(1), F.col("n"))
     new = F.when(F.col("doc_id") % 4 == 0, F.concat(old, F.lit("9"))).when(F.col("doc_id") % 4 == 1, F.substring("text", F.lit(2), F.col("n") - 1)).when(F.col("doc_id") % 4 == 2, old).otherwise(F.reverse(old))
     c = docs.select("text", F.struct(F.lit(0).alias("span_start"), F.col("n").alias("span_end"), old.alias("original"), new.alias("replacement"), F.lit(0.9).alias("confidence"), F.lit("dots").alias("kind")).alias("c"))

@@ -52,10 +52,11 @@ def hijri(spark, tables):
     return rows.select("id", "p.year", "p.month", "p.day", E.hijri_day(F.col("p")).cast("string").alias("gregorian"))
 
 
-@query("enrich_keywords", r"""WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(substring(text, 1, 400), '[ \n]+'), lambda x: x <> ''), lambda x: x) AS w FROM documents)
-SELECT doc_id, array_to_string(list_filter(w, lambda v, i: list_position(list_transform(w, lambda u: lower(u)), lower(v)) = i), ' ') AS keywords, len(list_filter(w, lambda v, i: list_position(list_transform(w, lambda u: lower(u)), lower(v)) = i)) <= 15 AS fits FROM w""")
+@query("enrich_keywords", r"""WITH w AS (SELECT doc_id, regexp_split_to_array(text, '[ \n]+') AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM w),
+k AS (SELECT doc_id, min(i) AS i, arg_min(v, i) AS v FROM t WHERE v <> '' GROUP BY doc_id, lower(v))
+SELECT doc_id, coalesce(string_agg(v, ' ' ORDER BY i), '') AS keywords, count(v) <= 15 AS fits FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id""")
 def keywords(spark, tables):
-    words = E.deduped(F.split(F.substring("text", 1, 400), "[ \n]+"))
+    words = E.deduped(F.split("text", "[ \n]+"))
     return tables("documents").select("doc_id", F.array_join(words, " ").alias("keywords"), E.within_limits({"keywords": words}).alias("fits"))
 
 

@@ -1,4 +1,4 @@
-"""Queries over recognition results. Runs are synthetic: documents as runs, their source as the batch."""
+"""Queries over recognition results. Runs are synthetic: documents as runs, eight at a time as a batch (an engine each)."""
 
 from __future__ import annotations
 
@@ -19,43 +19,43 @@ def html(spark, tables):
 
 
 LAYOUTS = Literal("samples", "id int, raw string", [
-    (1, '[{"label": "Title", "bbox": "43 217 190 276", "count": 3}, {"bbox": [10, 20, 5, 30]}]'), (2, 'Here: [{"label": "Text", "bbox": [0, 0, 1200, 500]}] done'), (3, "none"), (4, None), (5, "[broken"), (6, '[{"bbox": "1 2 3"}]'),
+    (1, '[{"label": "Title", "bbox": "60 125 480 310", "count": 3}, {"bbox": [10, 20, 5, 30]}]'), (2, 'Here: [{"label": "Text", "bbox": [0, 0, 1200, 500]}] done'), (3, "none"), (4, None), (5, "[broken"), (6, '[{"bbox": "1 2 3"}]'), (7, '[{"bbox": "10, 20, 50, 60"}, {"bbox": "10 20 50 60"}]'),
 ])
 
 
-@query("ocr_parse_layout", """SELECT * FROM (VALUES (1, 0, 'Title', 0.043, 0.217, 0.19, 0.276, 3::BIGINT), (2, 0, 'Text', 0.0, 0.0, 1.0, 0.5, 0::BIGINT)) AS t(id, pos, label, x0, y0, x1, y1, n)""")
+@query("ocr_parse_layout", """SELECT * FROM (VALUES (1, 0, 'Title', 0.06, 0.125, 0.48, 0.31, 3::BIGINT), (2, 0, 'Text', 0.0, 0.0, 1.0, 0.5, 0::BIGINT), (7, 0, 'Text', 0.01, 0.02, 0.05, 0.06, 0::BIGINT)) AS t(id, pos, label, x0, y0, x1, y1, n)""")
 def layout(spark, tables):
     rows = LAYOUTS.df(spark).select("id", F.posexplode(L.parse_layout(F.col("raw"))).alias("pos", "b"))
     return rows.select("id", "pos", "b.label", "b.bbox.*", F.col("b.count").alias("n"))
 
 
 DIVS = Literal("samples", "id int, raw string", [
-    (1, '<div data-bbox="43 217 190 276" data-label="Text"><p>Total: 12</p></div><div data-bbox="0 0 10 10" data-label="Picture">x</div><div data-label="Table" data-bbox="bad"><table><tr><td>a</td><td>b</td></tr></table></div>'),
+    (1, '<div data-bbox="60 125 480 310" data-label="Text"><p>Total: 12</p></div><div data-bbox="0 0 10 10" data-label="Picture">x</div><div data-label="Table" data-bbox="bad"><table><tr><td>a</td><td>b</td></tr></table></div>'),
     (2, "plain answer"), (3, ""), (4, None), (5, '<div data-bbox="0,0,500,1000"> </div>'),
 ])
 
 
-@query("ocr_parse_layout_html", """SELECT * FROM (VALUES (1, 0, 'Total: 12', 'Text', 0.043, 0.276), (1, 1, 'a b', 'Table', NULL, NULL), (2, 0, 'plain answer', '', NULL, NULL)) AS t(id, pos, text, label, x0, y1)""")
+@query("ocr_parse_layout_html", """SELECT * FROM (VALUES (1, 0, 'Total: 12', 'Text', 0.06, 0.31), (1, 1, 'a b', 'Table', NULL, NULL), (2, 0, 'plain answer', '', NULL, NULL)) AS t(id, pos, text, label, x0, y1)""")
 def layout_html(spark, tables):
     rows = DIVS.df(spark).select("id", F.posexplode(L.parse_layout_html(F.col("raw"))).alias("pos", "b"))
     return rows.select("id", "pos", "b.text", "b.label", "b.bbox.x0", "b.bbox.y1")
 
 
 ANSWERS = Literal("samples", "id int, raw string", [
-    (1, "Here is the transcription:\nINVOICE 1"), (2, "```markdown\nA\nB\n```"), (3, "Sure, here you go:\nX\nY"), (4, "Sure thing\nX"), (5, None),
+    (1, "Here is the transcription:\nLEDGER 4"), (2, "```markdown\nA\nB\n```"), (3, "Sure, here you go:\nX\nY"), (4, "Sure thing\nX"), (5, None),
     (6, "A\n```markdown\nA | B\n```\n```\n```"), (7, "A\nB\n```\n``` \n"), (8, "The text in the image"),
 ])
 
 
-@query("ocr_clean_answers", """SELECT * FROM (VALUES (1, 'INVOICE 1', 'Here is the transcription:' || chr(10) || 'INVOICE 1'), (2, 'A' || chr(10) || 'B', 'A' || chr(10) || 'B'), (3, 'X' || chr(10) || 'Y', 'Sure, here you go:' || chr(10) || 'X' || chr(10) || 'Y'),
+@query("ocr_clean_answers", """SELECT * FROM (VALUES (1, 'LEDGER 4', 'Here is the transcription:' || chr(10) || 'LEDGER 4'), (2, 'A' || chr(10) || 'B', 'A' || chr(10) || 'B'), (3, 'X' || chr(10) || 'Y', 'Sure, here you go:' || chr(10) || 'X' || chr(10) || 'Y'),
  (4, 'Sure thing' || chr(10) || 'X', 'Sure thing' || chr(10) || 'X'), (5, '', NULL), (6, 'A' || chr(10) || '```markdown' || chr(10) || 'A | B' || chr(10) || '```' || chr(10) || '```' || chr(10) || '```', 'A | B'), (7, 'A' || chr(10) || 'B' || chr(10) || '```' || chr(10) || '```', 'A' || chr(10) || 'B'), (8, 'The text in the image', 'The text in the image')) AS t(id, unwrapped, collapsed)""")
 def answers(spark, tables):
     return ANSWERS.df(spark).select("id", L.strip_preamble(F.col("raw")).alias("unwrapped"), L.collapse_fenced_echo(F.col("raw")).alias("collapsed"))
 
 
-@query("ocr_split_pages", "SELECT doc_id, pos::INTEGER AS pos, trim(string_split(text, chr(10))[pos + 1], chr(10)) AS page FROM (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE doc_id < 200 AND NOT contains(text, chr(10) || chr(10)))")
+@query("ocr_split_pages", "SELECT doc_id, pos::INTEGER AS pos, trim(string_split(text, chr(10))[pos + 1], chr(10)) AS page FROM (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)")
 def pages(spark, tables):
-    docs = tables("documents").filter("doc_id < 200 AND NOT contains(text, '\n\n')")
+    docs = tables("documents")
     merged = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit("\n"), i, F.lit("-" * 48 + "\n"), x))), "")
     return docs.select("doc_id", F.posexplode(L.split_pages(merged)).alias("pos", "page"))
 
@@ -68,11 +68,11 @@ def config(spark, tables):
     return CONFIG.df(spark).select("id", L.engine_config(F.col("oem"), F.col("psm")).alias("config"), L.language_argument(F.split("langs", ",")).alias("langs"))
 
 
-@query("ocr_reading_order", """SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY round_even((n_chars % 1000) / 1000.0 / 0.02, 0), -((doc_id % 97) / 97.0 + 0.5), doc_id)::INTEGER AS pos FROM documents""")
+@query("ocr_reading_order", """SELECT doc_id // 16 AS page, doc_id, row_number() OVER (PARTITION BY doc_id // 16 ORDER BY round_even((n_chars % 1000) / 1000.0 / 0.02, 0), -((doc_id % 97) / 97.0 + 0.5), doc_id)::INTEGER AS pos FROM documents""")
 def order(spark, tables):
     box = F.struct(((F.col("doc_id") % 97) / 97.0).alias("x0"), ((F.col("n_chars") % 1000) / 1000.0).alias("y0"), ((F.col("doc_id") % 97) / 97.0 + 0.5).alias("x1"), F.lit(1.0).alias("y1"))
-    blocks = tables("documents").select("source", F.struct("doc_id", box.alias("bbox")).alias("b")).groupBy("source").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
-    return blocks.select("source", F.posexplode(L.reading_order(F.col("blocks"), F.lit(True))).alias("p", "b")).select("source", "b.doc_id", (F.col("p") + 1).alias("pos"))
+    blocks = tables("documents").select(F.expr("doc_id div 16").alias("page"), F.struct("doc_id", box.alias("bbox")).alias("b")).groupBy("page").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
+    return blocks.select("page", F.posexplode(L.reading_order(F.col("blocks"), F.lit(True))).alias("p", "b")).select("page", "b.doc_id", (F.col("p") + 1).alias("pos"))
 
 
 STATUS = "CASE doc_id % 7 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'cancelled' ELSE CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'succeeded' END END"
@@ -85,20 +85,20 @@ def status(spark, tables):
     return K.batch_status(runs)
 
 
-@query("ocr_rank_runs", """WITH r AS (SELECT source AS batch_id, doc_id AS run_id, (doc_id % 11) / 10.0 AS conf, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE (n_chars % 100) / 100.0 END AS gib, doc_id % 9 = 0 AS sus FROM documents)
+@query("ocr_rank_runs", """WITH r AS (SELECT doc_id // 8 AS batch_id, doc_id AS run_id, (doc_id % 11) / 10.0 AS conf, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE (n_chars % 100) / 100.0 END AS gib, doc_id % 9 = 0 AS sus FROM documents)
 SELECT batch_id, run_id, row_number() OVER (PARTITION BY batch_id ORDER BY round(0.35 * coalesce(conf, 0.5) + 0.65 * (1 - coalesce(gib, 0.5)) - CASE WHEN sus THEN 0.3 ELSE 0 END, 9) DESC, run_id)::INTEGER AS place FROM r""")
 def rank(spark, tables):
     from pyspark.sql import Window
 
-    runs = tables("documents").select(F.col("source").alias("batch_id"), F.col("doc_id").alias("run_id"), ((F.col("doc_id") % 11) / 10.0).alias("conf"), F.when(F.col("doc_id") % 5 != 0, (F.col("n_chars") % 100) / 100.0).alias("gib"), (F.col("doc_id") % 9 == 0).alias("sus"))
+    runs = tables("documents").select(F.expr("doc_id div 8").alias("batch_id"), F.col("doc_id").alias("run_id"), ((F.col("doc_id") % 11) / 10.0).alias("conf"), F.when(F.col("doc_id") % 5 != 0, (F.col("n_chars") % 100) / 100.0).alias("gib"), (F.col("doc_id") % 9 == 0).alias("sus"))
     key = F.round(K.rank_key(F.col("conf"), F.col("gib"), F.col("sus")), 9)
     return runs.select("batch_id", "run_id", F.row_number().over(Window.partitionBy("batch_id").orderBy(F.desc(key), "run_id")).alias("place"))
 
 
-@query("ocr_suspected_summaries", """WITH r AS (SELECT source AS batch_id, doc_id AS run_id, length(text) AS n, list_sort(list_filter(list(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lambda c: c > 0)) AS before FROM documents)
+@query("ocr_suspected_summaries", """WITH r AS (SELECT doc_id // 8 AS batch_id, doc_id AS run_id, length(text) AS n, list_sort(list_filter(list(length(text)) OVER (PARTITION BY doc_id // 8 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lambda c: c > 0)) AS before FROM documents)
 SELECT batch_id, run_id, coalesce(n < 0.4 * before[len(before) // 2 + 1], false) AS suspected FROM r""")
 def summaries(spark, tables):
-    runs = tables("documents").select(F.col("source").alias("batch_id"), F.col("doc_id").alias("run_id"), F.col("doc_id").alias("finished_at"), F.length("text").alias("char_count"), F.lit(0.2).alias("gibberish"))
+    runs = tables("documents").select(F.expr("doc_id div 8").alias("batch_id"), F.col("doc_id").alias("run_id"), F.col("doc_id").alias("finished_at"), F.length("text").alias("char_count"), F.lit(0.2).alias("gibberish"))
     return K.flag_summaries(runs).select("batch_id", "run_id", "suspected")
 
 
@@ -119,8 +119,8 @@ def grid(spark, tables):
     return K.compare(runs, pages).select("batch_id", "page_number", "run_id", "char_count")
 
 
-@query("ocr_words_to_lines", """SELECT l_orderkey AS block, 0 AS par, 0 AS line, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS text, min(l_quantity) AS x0, max(l_extendedprice) AS x1, round(avg(greatest(l_tax * 1000 - 20, 0)) / 100, 9) AS confidence FROM lineitem WHERE l_linenumber < 5 GROUP BY l_orderkey""")
+@query("ocr_words_to_lines", """SELECT l_orderkey AS block, 0 AS par, 0 AS line, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS text, min(l_quantity) AS x0, max(l_extendedprice) AS x1, round(avg(greatest(l_tax * 1000 - 20, 0)) / 100, 9) AS confidence FROM lineitem GROUP BY l_orderkey""")
 def lines(spark, tables):
-    words = tables("lineitem").filter("l_linenumber < 5").select(F.col("l_orderkey").alias("block"), F.lit(0).alias("par"), F.lit(0).alias("line"), F.lit(5).alias("level"), F.col("l_linenumber").alias("word"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.col("l_quantity").alias("x0"), F.lit(0.0).alias("y0"), F.col("l_extendedprice").alias("x1"), F.lit(0.0).alias("y1"), (F.col("l_tax") * 1000 - 20).alias("conf"))
+    words = tables("lineitem").select(F.col("l_orderkey").alias("block"), F.lit(0).alias("par"), F.lit(0).alias("line"), F.lit(5).alias("level"), F.col("l_linenumber").alias("word"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.col("l_quantity").alias("x0"), F.lit(0.0).alias("y0"), F.col("l_extendedprice").alias("x1"), F.lit(0.0).alias("y1"), (F.col("l_tax") * 1000 - 20).alias("conf"))
     return K.words_to_lines(words).select("block", "par", "line", "text", "x0", "x1", F.round("confidence", 9).alias("confidence"))
 

@@ -39,11 +39,12 @@ def hits(spark, tables):
     return TOOLS.df(spark).select("id", F.explode(P.hits_of(F.col("raw"))).alias("h")).select("id", "h.chunk_id", "h.score")
 
 
-@query("records_job_pages", "SELECT source, array_to_string(list_sort(list(doc_id) FILTER (doc_id % 3 = 0)), ',') AS pages FROM documents GROUP BY source")
+@query("records_job_pages", "SELECT doc_id // 16 AS job, coalesce(array_to_string(list_sort(list(doc_id) FILTER (doc_id % 3 = 0)), ','), '') AS pages FROM documents GROUP BY 1")
 def job(spark, tables):
     rasters = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("gray"), F.lit("p"))).otherwise(F.create_map(F.lit("color"), F.lit("p")))
-    rows = tables("documents").groupBy("source").agg(F.collect_list(F.struct(F.col("doc_id").alias("page_number"), rasters.alias("rasters"))).alias("p"))
-    return rows.select("source", F.array_join(P.job_pages(F.col("p"), "gray"), ",").alias("pages"))
+    # A job has the pages of one file.
+    rows = tables("documents").groupBy(F.expr("doc_id div 16").alias("job")).agg(F.collect_list(F.struct(F.col("doc_id").alias("page_number"), rasters.alias("rasters"))).alias("p"))
+    return rows.select("job", F.array_join(P.job_pages(F.col("p"), "gray"), ",").alias("pages"))
 
 
 @query("records_phase_summary", "SELECT user_id, count(*) FILTER (event_type = 'view') AS n_queries, arg_min(event_id, event_id) FILTER (event_type = 'purchase') AS steps FROM events GROUP BY user_id")
@@ -53,11 +54,11 @@ def phases(spark, tables):
     return rows.select("user_id", P.phase_summary(F.col("p")).alias("s")).select("user_id", F.size("s.queries").cast("long").alias("n_queries"), "s.steps")
 
 
-@query("research_answers", """WITH b AS (SELECT user_id AS turn_id, event_type AS question, arg_min(event_id, (-value, event_id)) FILTER (value > 0) AS answer, max(value) FILTER (value > 0) AS c FROM events WHERE event_id % 4 < 3 GROUP BY 1, 2)
+@query("research_answers", """WITH b AS (SELECT user_id AS turn_id, event_type AS question, arg_min(event_id, (-value, event_id)) FILTER (value > 0) AS answer, max(value) FILTER (value > 0) AS c FROM events GROUP BY 1, 2)
 SELECT turn_id, question, answer, coalesce(round(c, 6), 0) AS confidence, coalesce(c, 0) >= 0.6 AS answered FROM b""")
 def answers(spark, tables):
     rows = tables("events").select(F.col("user_id").alias("turn_id"), F.col("event_type").alias("question"), F.col("event_id").alias("answer"), F.col("value").alias("confidence"), F.col("event_id").alias("at"))
-    kept = rows.filter("at % 4 < 3")
+    kept = rows
     # Within a step the attempts come in the order of events; attempt numbers above the limit do not occur here.
     steps = kept.select("turn_id", "question").distinct().withColumn("step", F.lit(0))
     checks = kept.withColumn("attempt", -1 / (1 + F.col("at")))

@@ -23,9 +23,9 @@ def filters(spark, tables):
     return rows.filter(mine & (R.contains_either("00", F.col("c_name")) | R.contains_either("URGENT", F.col("o_orderpriority")))).select("o_orderkey")
 
 
-@query("rel_overlap_filter", "SELECT doc_id FROM documents WHERE contains(lower(source), 'src1') OR list_has_any(string_split(substring(text, 1, 200), ' '), ['tion', 'the'])")
+@query("rel_overlap_filter", "SELECT doc_id FROM documents WHERE contains(lower(source), 'src1') OR list_has_any(string_split(text, ' '), ['tion', 'the'])")
 def overlap(spark, tables):
-    words = F.split(F.substring("text", 1, 200), " ")
+    words = F.split("text", " ")
     return tables("documents").filter(R.contains_either("SRC1", F.col("source")) | F.arrays_overlap(words, F.array(F.lit("tion"), F.lit("the")))).select("doc_id")
 
 
@@ -85,9 +85,9 @@ def siblings(spark, tables):
     return R.siblings(tables("supplier"), "s_nationkey", "s_suppkey")
 
 
-@query("rel_zip_lists", "SELECT doc_id, len(list_zip(string_split(substring(text, 1, 100), ' '), string_split(lang || ' ' || source, ' '), true))::INTEGER AS n, string_split(substring(text, 1, 100), ' ')[1] || '=' || lang AS first FROM documents")
+@query("rel_zip_lists", "SELECT doc_id, len(list_zip(string_split(text, ' '), string_split(lang || ' ' || source, ' '), true))::INTEGER AS n, string_split(text, ' ')[1] || '=' || lang AS first FROM documents")
 def zipped(spark, tables):
-    pairs = R.zip_shorter(F.split(F.substring("text", 1, 100), " "), F.split(F.concat("lang", F.lit(" "), "source"), " "))
+    pairs = R.zip_shorter(F.split("text", " "), F.split(F.concat("lang", F.lit(" "), "source"), " "))
     return tables("documents").select("doc_id", F.size(pairs).alias("n"), F.concat(pairs[0]["a"], F.lit("="), pairs[0]["b"]).alias("first"))
 
 
@@ -98,9 +98,9 @@ def coverage(spark, tables):
 
 @query("rel_upper_median", "SELECT l_suppkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS median FROM lineitem GROUP BY l_suppkey")
 def median(spark, tables):
-    from inkmill.operators.ranking import upper_median
+    from inkmill.operators.ranking import upper_median_by
 
-    return tables("lineitem").groupBy("l_suppkey").agg(upper_median(F.collect_list("l_quantity")).alias("median"))
+    return upper_median_by(tables("lineitem"), ["l_suppkey"], "l_quantity")
 
 
 @query("rel_tail", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
@@ -118,10 +118,10 @@ def listed(spark, tables):
     return tables("orders").select("o_orderkey", R.rank_in_list(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"]).cast("long").alias("place"))
 
 
-@query("rel_cumulative_budget", "SELECT doc_id, source, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) <= 16000 AS fits FROM documents")
+@query("rel_cumulative_budget", "SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) <= 500 AS fits FROM conversations")
 def budget(spark, tables):
-    running = F.sum(F.length("text")).over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return tables("documents").select("doc_id", "source", (running <= 16000).alias("fits"))
+    running = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    return tables("conversations").select("conv_id", "turn", (running <= 500).alias("fits"))
 
 
 @query("rel_files_that_fit", """WITH RECURSIVE f AS (SELECT s_nationkey AS k, s_name AS name, (s_acctbal * 100)::BIGINT + 1000000 AS size, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier),

@@ -83,7 +83,7 @@ def neighbours(spark, tables):
 
 
 @query("retrieval_postings", r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS word FROM t)
-SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_chunks FROM p GROUP BY word HAVING count(DISTINCT doc_id) > 20""")
+SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_chunks FROM p GROUP BY word""")
 def postings(spark, tables):
     rows = R.postings(tables("documents").withColumnRenamed("doc_id", "chunk_id"))
-    return rows.groupBy("word").agg(F.sum(F.size("places")).alias("n"), F.count("*").alias("n_chunks")).filter("n_chunks > 20")
+    return rows.groupBy("word").agg(F.sum(F.size("places")).alias("n"), F.count("*").alias("n_chunks"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from inkmill.plans.base import ORACLE_SQL, QUERIES
 from inkmill.plans.conversation import ALLOWED, STATES
-from inkmill.session import table
+from inkmill.session import shared_folder, table
 from inkmill.streaming import lifecycle as L
 
 
@@ -16,9 +14,7 @@ def drained(build, mode: str):
     def run(spark, sf_dir):
         # The file source takes a folder or a pattern; the schema is that of the table.
         events = L.read_events(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema)
-        name = f"stream_{uuid.uuid4().hex}"
-        base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-        return L.drain(build(events), name, mode, f"{base.rstrip('/')}/{name}")
+        return L.drain(build(events), mode, shared_folder(spark))
 
     return run
 

@@ -81,9 +81,9 @@ def counts(spark, tables):
     return tables("documents").select("doc_id", T.word_count(t).alias("n_words"), F.length(t).alias("n_characters"), T.heuristic_tokens(t).alias("tokens"), T.digital_page(t).alias("digital"), F.substring(t, 1, 400).alias("preview"))
 
 
-@query("text_graphemes", "SELECT doc_id, length_grapheme(substring(text, 1, 20000))::INTEGER AS n_graphemes FROM documents WHERE length(text) < 20000")
+@query("text_graphemes", "SELECT doc_id, length_grapheme(text)::INTEGER AS n_graphemes FROM documents")
 def graphemes(spark, tables):
-    return tables("documents").filter(F.length("text") < 20000).select("doc_id", F.size(T.graphemes(F.col("text"))).alias("n_graphemes"))
+    return tables("documents").select("doc_id", F.size(T.graphemes(F.col("text"))).alias("n_graphemes"))
 
 
 FORMATS = Literal("samples", "id int, key string, size long, ms double, seconds long, status string, file string", [
