@@ -85,22 +85,26 @@ def field_type(value: Column) -> Column:
     return F.when(v.isin(FIELD_TYPES), v).otherwise("string")
 
 
+FIELD = "array<struct<key:string,label_en:string,label_ar:string,type:string,why:string>>"
+
+
 def merged_fields(proposed: Column, required: Column) -> Column:
     """Proposals of confidence 0.6 or more, and all that the user requires (confidence 1); keys in first-seen order.
 
-    proposed: structs (key, label, type, confidence); required: structs (key, label, type). Required
-    values win where given. A required field without a key takes its label's.
+    proposed: structs (key, label_en, label_ar, type, why, example_value, confidence); required: structs
+    of the first five. Required values win where given. A required field without a key takes its label's.
     """
     accepted = F.filter(proposed, lambda f: f["confidence"] >= 0.6)
-    asked = F.filter(F.transform(F.coalesce(required, F.array().cast("array<struct<key:string,label:string,type:string>>")), lambda r: F.struct(F.coalesce(F.nullif(r["key"], F.lit("")), F.lower(F.regexp_replace(F.coalesce(r["label"], F.lit("")), r"(?U)\W+", "_"))).alias("key"), r["label"].alias("label"), r["type"].alias("type"))), lambda r: r["key"] != "")
+    named = lambda r: F.coalesce(F.nullif(r["key"], F.lit("")), F.lower(F.regexp_replace(F.coalesce(r["label_en"], F.lit("")), r"(?U)\W+", "_")))
+    asked = F.filter(F.transform(F.coalesce(required, F.array().cast(FIELD)), lambda r: F.struct(named(r).alias("key"), *[r[c].alias(c) for c in ("label_en", "label_ar", "type", "why")])), lambda r: r["key"] != "")
 
     def build(x: Column) -> Column:
         def entry(key: Column) -> Column:
-            mine = F.get(F.reverse(F.filter(x["asked"], lambda r: r["key"] == key)), F.lit(0))
-            theirs = F.get(F.reverse(F.filter(x["accepted"], lambda f: f["key"] == key)), F.lit(0))
-            wanted = F.exists(x["asked"], lambda r: r["key"] == key)
-            pick = lambda name, default: F.when(wanted, F.coalesce(F.nullif(mine[name], F.lit("")), F.nullif(theirs[name], F.lit("")), default)).otherwise(theirs[name])
-            return F.struct(key.alias("key"), pick("label", key).alias("label"), pick("type", F.lit("string")).alias("type"), F.when(wanted, 1.0).otherwise(theirs["confidence"]).alias("confidence"), wanted.alias("user_required"))
+            of = lambda name: F.get(F.reverse(F.filter(x[name], lambda f: f["key"] == key)), F.lit(0))
+            mine, theirs, wanted = of("asked"), of("accepted"), F.exists(x["asked"], lambda r: r["key"] == key)
+            pick = lambda c, default: F.when(wanted, F.coalesce(F.nullif(mine[c], F.lit("")), F.nullif(theirs[c], F.lit("")), default)).otherwise(theirs[c]).alias(c)
+            example = F.when(wanted, F.coalesce(theirs["example_value"], F.lit(""))).otherwise(theirs["example_value"]).alias("example_value")
+            return F.struct(key.alias("key"), pick("label_en", key), pick("label_ar", key), pick("type", F.lit("string")), pick("why", F.lit("requested by the user")), example, F.when(wanted, 1.0).otherwise(theirs["confidence"]).alias("confidence"), wanted.alias("user_required"))
 
         keys = F.array_distinct(F.concat(F.transform(x["accepted"], lambda f: f["key"]), F.transform(x["asked"], lambda r: r["key"])))
         return F.transform(keys, entry)

@@ -159,11 +159,11 @@ def cover_density(positions: list[Column]) -> Column:
     return F.aggregate(places, start, step, lambda s: s["total"])
 
 
-def lexical(chunks: DataFrame, query: str, candidates: int = CANDIDATES) -> DataFrame:
-    """chunk_id, density and rank of the best matches of a web-style query."""
+def matches(chunks: DataFrame, query: str) -> DataFrame:
+    """chunk_id and density of all matches of a web-style query."""
     groups = parse_web_query(query)
     if not groups:
-        return chunks.limit(0).select("chunk_id", F.lit(0.0).alias("density"), F.lit(0).alias("rank_fts"))
+        return chunks.limit(0).select("chunk_id", F.lit(0.0).alias("density"))
     # A text can match only if it holds all words of some group as they stand; only such texts are cut into words.
     normal, may = F.col("normal"), F.lit(False)
     for group in groups:
@@ -183,7 +183,12 @@ def lexical(chunks: DataFrame, query: str, candidates: int = CANDIDATES) -> Data
         positions = [word_positions(w, p[0]) if len(p) == 1 else phrase_positions(w, p) for negative, p in group if not negative]
         scores.append(cover_density(positions))
     density = sum(scores[1:], scores[0])
-    best = rows.filter(test).select("chunk_id", density.alias("density")).orderBy(F.desc("density"), "chunk_id").limit(candidates)
+    return rows.filter(test).select("chunk_id", density.alias("density"))
+
+
+def lexical(chunks: DataFrame, query: str, candidates: int = CANDIDATES) -> DataFrame:
+    """chunk_id, density and rank of the best matches of a web-style query."""
+    best = matches(chunks, query).orderBy(F.desc("density"), "chunk_id").limit(candidates)
     return best.withColumn("rank_fts", F.row_number().over(Window.orderBy(F.desc("density"), "chunk_id")))  # at most `candidates` rows
 
 

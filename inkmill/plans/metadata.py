@@ -66,10 +66,21 @@ def langs(spark, tables):
     return rows.select("id", F.array_join(E.languages(F.col("l"), F.col("p")), ",").alias("langs"))
 
 
-@query("enrich_merge_fields", "SELECT * FROM (VALUES (0, 'total', 'Total', 'money', 0.9, false), (1, 'due', 'Due date', 'date', 1.0, true), (2, 'rent_amount', 'Rent amount', 'string', 1.0, true)) AS t(pos, key, label, type, confidence, user_required)")
+MERGED = r"""WITH f AS (SELECT doc_id, 0 AS o, lang AS key, upper(lang) AS label_en, 'a' AS label_ar, 'string' AS type, 'w' AS why, source AS example_value, (doc_id % 10) / 10.0 AS confidence, false AS user_required FROM documents WHERE (doc_id % 10) / 10.0 >= 0.6
+UNION ALL SELECT doc_id, 1, source, CASE WHEN doc_id % 2 = 0 THEN 'Mine' ELSE upper(source) END, 'a', 'string', 'w', lang, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.6 END, doc_id % 2 = 0 FROM documents
+UNION ALL SELECT doc_id, 2, regexp_replace(lower(source || ' x'), '\W+', '_', 'g'), source || ' x', regexp_replace(lower(source || ' x'), '\W+', '_', 'g'), 'date', 'requested by the user', '', 1.0, true FROM documents WHERE doc_id % 3 = 0)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o)::INTEGER - 1 AS pos, key, label_en, label_ar, type, why, example_value, confidence::DOUBLE AS confidence, user_required FROM f"""
+
+
+@query("enrich_merge_fields", MERGED)
 def fields(spark, tables):
-    rows = spark.sql("SELECT array(named_struct('key', 'total', 'label', 'Total', 'type', 'money', 'confidence', 0.9D), named_struct('key', 'low', 'label', 'Low', 'type', 'string', 'confidence', 0.5D), named_struct('key', 'due', 'label', 'Due', 'type', 'date', 'confidence', 0.6D)) AS p, array(named_struct('key', 'due', 'label', 'Due date', 'type', ''), named_struct('key', '', 'label', 'Rent amount', 'type', '')) AS r")
-    return rows.select(F.posexplode(E.merged_fields(F.col("p"), F.col("r"))).alias("pos", "f")).select("pos", "f.*")
+    """Each document's language and source as proposals; even documents require the source, every third a field without a key."""
+    i, names = F.col("doc_id"), ("key", "label_en", "label_ar", "type", "why")
+    struct = lambda *values: F.struct(*[v.alias(n) for v, n in zip(values, (*names, "example_value", "confidence"))])
+    proposed = F.array(struct(F.col("lang"), F.upper("lang"), F.lit("a"), F.lit("string"), F.lit("w"), F.col("source"), i % 10 / 10.0), struct(F.col("source"), F.upper("source"), F.lit("a"), F.lit("string"), F.lit("w"), F.col("lang"), F.lit(0.6)))
+    own = F.when(i % 2 == 0, struct(F.col("source"), F.lit("Mine"), F.lit(""), F.lit(""), F.lit("")))
+    new = F.when(i % 3 == 0, struct(F.lit(""), F.concat("source", F.lit(" x")), F.lit(None).cast("string"), F.lit("date"), F.lit("")))
+    return tables("documents").select("doc_id", F.posexplode(E.merged_fields(proposed, F.array_compact(F.array(own, new)))).alias("pos", "f")).select("doc_id", "pos", "f.*")
 
 
 @query("enrich_quality_flags", """SELECT d.doc_id, array_to_string(list_sort(list_filter([CASE WHEN n_chars % 100 > 35 THEN 'low_ocr_quality' END, CASE WHEN d.doc_id % 7 = 0 THEN 'ocr_may_be_incomplete' END, CASE WHEN l.doc_id IS NULL THEN 'missing_required:quality' END], lambda x: x IS NOT NULL)), ',') AS flags FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")

@@ -56,7 +56,7 @@ def knn(spark, tables):
  (regexp_matches(array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'), ' '), '(^| )under the( |$)') AND NOT list_contains(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'), 'apache'))
  OR list_contains(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'), 'mit')""")
 def phrase(spark, tables):
-    return R.lexical(chunks_of(tables), '"under the" -apache or mit', candidates=1_000_000).select(F.col("chunk_id").alias("doc_id"))
+    return R.matches(chunks_of(tables), '"under the" -apache or mit').select(F.col("chunk_id").alias("doc_id"))
 
 
 @query("retrieval_empty_scope", "SELECT doc_id AS chunk_id, 0.0 AS score FROM documents WHERE false")
