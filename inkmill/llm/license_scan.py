@@ -39,7 +39,7 @@ from inkmill.llm.common import let
 
 UNKNOWN, CONFIDENCE, CONTAINED = "unknown", 0.5, 0.75
 #: Words of notices that other texts hold often: anchors only where a template has too few others (fixed values).
-FREQUENT = set("2 3 a and any are as be by can charge code copy domain except file for form free general hereby in into is it may not of or person program public released source subject terms the this to under use v version with without work you".split())
+FREQUENT = set("2 3 a and any are as be by can charge code copy domain except file for form free general hereby in into is it may mit not of or person program public source subject terms the this to under use v version with without work you".split())
 
 #: Notices by which the licences are commonly applied (fixed values).
 TEMPLATES = {
@@ -242,13 +242,15 @@ def wrapped(paragraph: Column, model: Model, anchor: str) -> Column:
 
 def scan(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
     """docs with licences: an array of (family, probability, line) for each line with an anchor and then for each notice wrapped over lines."""
-    model, anchor = model or trained(), r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, anchors())) + ")(?![a-z0-9])"
+    words = anchors()
+    # The look at the first letter spares most places the list of words; texts are lower-cased before.
+    model, anchor = model or trained(), rf"(?<![a-z0-9])(?=[{''.join(sorted({w[0] for w in words}))}])(?:{'|'.join(map(re.escape, words))})(?![a-z0-9])"
     text, none = F.col(text_col), F.array().cast("array<struct<family:string,probability:double,line:string>>")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(anchor))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(anchor))
     single = F.transform(lines, lambda x: let(scan_words(words_of(x), model), lambda s: F.struct(s["family"].alias("family"), s["probability"].alias("probability"), x.alias("line"))))
-    paragraphs = F.filter(F.split(text, r"\n(?:[^\S\n]*\n)+"), lambda x: x.rlike(anchor) & x.contains("\n"))
+    paragraphs = F.filter(F.split(text, r"\n(?:[^\S\n]*\n)+"), lambda x: F.lower(x).rlike(anchor) & x.contains("\n"))
     many = F.flatten(F.transform(paragraphs, lambda x: wrapped(x, model, anchor)))
-    return docs.withColumn("licences", F.coalesce(F.when(text.rlike(anchor), F.concat(single, many)), none))
+    return docs.withColumn("licences", F.coalesce(F.when(F.lower(text).rlike(anchor), F.concat(single, many)), none))
 
 
 def op9(docs: DataFrame) -> DataFrame:
