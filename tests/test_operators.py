@@ -17,6 +17,7 @@ from inkmill.operators import relational as R
 from inkmill.operators import retrieval as V
 from inkmill.sources import files as X
 from inkmill.sources import tables as S
+from inkmill.streaming import lifecycle as ST
 
 
 def value(spark, column):
@@ -196,3 +197,29 @@ def test_update_treats_null_as_false(spark):
 def test_catalog_order(spark):
     df = spark.createDataFrame([("a", False, 1, 1.0), ("b", True, 2, 1.0), ("c", True, 1, 9.0), ("d", True, 1, 3.0)], "name string, available boolean, tier int, seconds double")
     assert [r.name for r in R.catalog_order(df).collect()] == ["d", "c", "b", "a"]
+
+
+def test_heartbeats(spark, tmp_path):
+    frames = ST.heartbeats(spark, 1)
+    assert frames.isStreaming
+    query = frames.writeStream.format("parquet").option("path", f"{tmp_path}/f").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(30):
+            query.awaitTermination(1)
+            if query.lastProgress and spark.read.schema(frames.schema).parquet(f"{tmp_path}/f").count():
+                break
+    finally:
+        query.stop()
+    assert {r.frame for r in spark.read.parquet(f"{tmp_path}/f").collect()} == {": ping\n\n"}
+
+
+def test_files_by_ending(spark):
+    files = spark.sql("SELECT array(named_struct('name', 'a.PNG', 'size', 5L), named_struct('name', 'b.sh', 'size', 1L), named_struct('name', '.c.png', 'size', 1L), named_struct('name', 'd.csv', 'size', 9L)) AS f")
+    assert files.select(K.fit_files(F.col("f"), total=10, endings=[".png", ".csv"]).alias("n")).first().n == ["a.PNG"]
+    assert files.select(K.fit_files(F.col("f"), total=15).alias("n")).first().n == ["a.PNG", "b.sh", "d.csv"]
+
+
+def test_finalize_without_such_a_revision(spark):
+    revisions = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 1, True)], "document_id int, revision_no int, is_final boolean")
+    chosen = spark.createDataFrame([(1, 9, 1), (2, None, 1)], "document_id int, revision_no int, current_no int")
+    assert {(r.document_id, r.revision_no): r.is_final for r in M.finalize(revisions, chosen).collect()} == {(1, 1): True, (1, 2): False, (2, 1): True}
