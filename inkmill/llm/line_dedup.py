@@ -19,7 +19,7 @@ only, and the links give components; then lines outside their bucket's largest c
 with the bucket's lines of other components. What is left out lies within one component already, so
 components come out as if all pairs of a bucket had been compared.
 
-The counts behind a block are kept as lanes of 2, 4, 8, 16 or 32 bits in longs, whose width follows the
+The counts behind a block are kept as lanes of 2, 4, 6, 8, 16 or 32 bits in longs, whose width follows the
 number of words, so that lines of any length fit.
 
 Defined results: a null text stays null, an empty one empty; rows equal in doc_id and text share their
@@ -77,7 +77,7 @@ def majority(hashes: Column, n: Column, width: int) -> Column:
 def block(hashes: Column) -> Column:
     """A block's bits and number of words, from the hashes of its words."""
     n = F.size(hashes)
-    bits = F.when(n < 1 << 2, majority(hashes, n, 2)).when(n < 1 << 4, majority(hashes, n, 4)).when(n < 1 << 8, majority(hashes, n, 8)).when(n < 1 << 15, majority(hashes, n, 16)).otherwise(majority(hashes, n, 32))
+    bits = F.when(n < 1 << 2, majority(hashes, n, 2)).when(n < 1 << 4, majority(hashes, n, 4)).when(n < 1 << 6, majority(hashes, n, 6)).when(n < 1 << 8, majority(hashes, n, 8)).when(n < 1 << 15, majority(hashes, n, 16)).otherwise(majority(hashes, n, 32))
     return bits.bitwiseOR(F.shiftleft(F.least(n, F.lit(127)).cast("long"), KEPT))
 
 

@@ -121,6 +121,17 @@ def test_op1_lines(spark):
     assert near and got == want
 
 
+def test_op1_blocks(spark):
+    """Majorities at the sizes where the counters' width changes."""
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(-(1 << 63), (1 << 63) - 1, n, dtype=np.int64) & rng.integers(-(1 << 63), (1 << 63) - 1, n, dtype=np.int64) | rng.integers(0, 1 << 62, dtype=np.int64) for n in (0, 1, 2, 3, 4, 5, 15, 16, 17, 63, 64, 127, 128, 255, 256, 32767, 32768)]
+    got = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "i int, h array<long>").select("i", line_dedup.block(F.col("h")).alias("b")).collect()
+    for r in got:
+        h = rows[r.i]
+        want = sum(1 << b for b in range(0, 56, 2) if 2 * int((h >> b & 1).sum()) > len(h))
+        assert (r.b & ((1 << 56) - 1), r.b >> 56) == (want, min(len(h), 127)), len(h)
+
+
 def test_op1_recall(spark):
     """Of all pairs of lines with edit similarity 0.8, which DuckDB finds by comparing every two of up to 160 characters, 0.9 lie in one group."""
     import duckdb
