@@ -19,7 +19,7 @@ What no check accepts stays as it is, and so does all other text. Text of letter
 permuted in two halves, each character moved within its own kind, so punctuation stays in place.
 
 Defined results: a null text stays null, with no values; repeated rows and equal values agree; an empty
-table gives an empty result; other columns pass through `pseudonymize`. Whole texts are read.
+table gives an empty result; other columns pass through `pseudonymize`. Whole texts are read, line by line.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ PATTERNS = {
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every pattern needs one of these, and none goes beyond a line: of a text only lines with one are searched.
+NEEDED = "[@=:0-9]|AKIA"
 CYCLE = 146_097  # days in 400 years, 27 * 5411
 NANP = r"(?:\+1[ .-]?)?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}"
 
@@ -226,14 +228,20 @@ def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
 
 def replaced(text: Column, key: str, inverse: bool = False) -> Column:
     """A struct of the text with pseudonyms and the number of values that were replaced."""
-    def run(t: Column) -> Column:
+
+    def line(t: Column) -> Column:
         found = F.regexp_extract_all(t, F.lit(ANY), 0)
         both = F.struct(F.split(t, ANY, -1).alias("gaps"), F.transform(found, lambda m: F.struct(m.alias("was"), pseudonym(m, key, inverse).alias("now"))).alias("values"))
         return let(both, lambda x: F.struct(
             F.array_join(F.transform(x["gaps"], lambda g, i: F.concat(g, F.coalesce(F.get(x["values"], i)["now"], F.lit("")))), "").alias("text"),
-            F.size(F.filter(x["values"], lambda v: v["was"] != v["now"])).cast("long").alias("n_replaced"),
+            F.size(F.filter(x["values"], lambda v: v["was"] != v["now"])).cast("long").alias("n"),
         ))
 
+    def run(t: Column) -> Column:
+        none = F.lit(0).cast("long").alias("n")
+        lines = F.transform(F.split(t, "\n", -1), lambda x: F.when(x.rlike(NEEDED), line(x)).otherwise(F.struct(x.alias("text"), none)))
+        return let(lines, lambda y: F.struct(F.array_join(F.transform(y, lambda x: x["text"]), "\n").alias("text"), F.aggregate(y, F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n_replaced")))
+
     return F.when(text.isNotNull(), let(text, run)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_replaced")))
 
 
