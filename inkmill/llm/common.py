@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.functions.core import let
+from inkmill.session import shared_folder as shared_dir
 
 __all__ = ["BROADCAST_ROWS", "connected", "discard", "let", "materialize", "partitions", "shared_dir", "sorted_runs", "split_join"]
 
-#: Used only by sessions within one process (local[...]) that name no shared folder, as in tests.
-LOCAL_FALLBACK = "/tmp/checkpoints"
-
-
 BROADCAST_ROWS = 2_000_000  #: a side of two longs a row is broadcast up to this many rows (some 32 MB)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = LOCAL_FALLBACK
-    return f"{base.rstrip('/')}/inkmill/{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 

@@ -14,9 +14,9 @@ Lines that agree so are found whole. Lines that are similar without it are not f
 changed words in every block, and lines of one or two words with a changed letter. The README gives the
 recall of all pairs of edit similarity 0.8, which tests/llm measures.
 
-Candidates are dealt by blocks. First each line of a bucket is compared with the bucket's first line
-only, and the links give components; then lines outside their bucket's largest component are compared
-with the bucket's lines of other components. What is left out lies within one component already, so
+Candidates are dealt by blocks. First each line is compared with one line only, the nearest of the first
+lines of its buckets, and the links give components; then lines outside their bucket's largest component
+are compared with the bucket's lines of other components. What is left out lies within one component already, so
 components come out as if all pairs of a bucket had been compared.
 
 The counts behind a block are kept as lanes of 2, 4, 6, 8, 16 or 32 bits in longs, whose width follows the
@@ -194,12 +194,16 @@ def groups(lines: DataFrame, docs: DataFrame, radius: int, similarity: float, te
     def near() -> Column:
         """SimHashes within the radius, and lengths that the edit similarity does not rule out."""
         a, b = F.col("size_u"), F.col("size_v")
-        bits = sum(F.bit_count(F.col(x + "_u").bitwiseXOR(F.col(x + "_v")).bitwiseAND(F.lit(BITS))) for x in HASH)
-        return (F.abs(a - b) <= F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9)) & (bits <= radius)
+        return (F.abs(a - b) <= F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9)) & (bits() <= radius)
+
+    def bits() -> Column:
+        return sum(F.bit_count(F.col(x + "_u").bitwiseXOR(F.col(x + "_v")).bitwiseAND(F.lit(BITS))) for x in HASH)
 
     entry = ["bucket", "line", "size", *HASH]
     stars = side(dealt.filter("NOT is_first").select(entry), "_u").join(side(dealt.filter("is_first").select(entry), "_v"), "bucket").filter(near())
-    links = verified(stars.select(F.col("line_u").alias("u"), F.col("line_v").alias("v")), lines, docs, similarity, text_col)
+    # Of a line's buckets the one with the nearest first line does for now; where that links it to nothing, the next step sees all.
+    stars = stars.groupBy(F.col("line_u").alias("u")).agg(F.min_by("line_v", F.struct(bits().alias("bits"), "line_v")).alias("v"))
+    links = verified(stars, lines, docs, similarity, text_col)
     roots = materialize(connected(links))
     named = dealt.select(entry).join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     sizes = named.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("n"))
