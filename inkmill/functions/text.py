@@ -180,4 +180,4 @@ def l2_normalize(v: Column) -> Column:
 
 
 def vector_literal(v: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.7f", x.cast("double"))), ","), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.7f", F.bround(x.cast("double"), 7))), ","), F.lit("]"))
