@@ -29,7 +29,7 @@ from inkmill.llm.common import let
 SAMPLE = 2000  #: rows at most in the sample that the order is estimated on
 POSITION_BITS = 20
 #: What measures cost, in nanoseconds a word or a character of the text, as measured on one core.
-WORD_CHARS_NS, REPEATS_NS, SYMBOLS_NS, LINES_NS, DUP_LINES_NS, SHOUTS_NS = 100.0, 2000.0, 15.0, 15.0, 20.0, 5.0
+WORD_CHARS_NS, REPEATS_NS, SYMBOLS_NS, LINES_NS, DUP_LINES_NS, SHOUTS_NS = 60.0, 750.0, 8.0, 6.0, 5.0, 3.0
 
 
 def words_of(text: Column) -> Column:
