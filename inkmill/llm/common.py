@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from inkmill.functions.core import let
 from inkmill.session import shared_folder as shared_dir
 
-__all__ = ["BROADCAST_ROWS", "connected", "discard", "let", "materialize", "partitions", "shared_dir", "sorted_runs", "split_join"]
+__all__ = ["BROADCAST_ROWS", "connected", "discard", "let", "materialize", "partitions", "release", "shared_dir", "sorted_runs", "split_join"]
 
 BROADCAST_ROWS = 2_000_000  #: a side of two longs a row is broadcast up to this many rows (some 32 MB)
 
@@ -35,6 +36,12 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark) -> None:
+    """Lets Spark remove the shuffle files of finished plans now: it does so when the driver's heap is next collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

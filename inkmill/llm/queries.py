@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmill.llm import cascade, decontam, license_scan, line_dedup, packing, pii, prefix_trie, quality_gbdt, ranked_search, sharding, simhash, tokens
+from inkmill.llm import cascade, decontam, license_scan, line_dedup, ngram_lm, packing, pii, prefix_trie, quality_gbdt, ranked_search, sharding, simhash, tokens
 from inkmill.session import table
 
 
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_quality_classifier": lambda spark, sf_dir: quality_gbdt.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_license_scan": over_documents(license_scan.op9),
     "op10_quality_rules": over_documents(cascade.op10),
+    "op11_ngram_lm": over_documents(ngram_lm.op11),
     "op12_prefix_trie": lambda spark, sf_dir: prefix_trie.op12(table(spark, sf_dir, "conversations")),
     "op13_ranked_search": lambda spark, sf_dir: ranked_search.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
@@ -31,6 +32,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op7_benchmark_decontamination": decontam.OP7_SQL,
     "op10_quality_rules": cascade.OP10_SQL,
+    "op11_ngram_lm": over_documents(ngram_lm.op11),
     "op12_prefix_trie": lambda spark, sf_dir: prefix_trie.op12(table(spark, sf_dir, "conversations")),
     "op13_ranked_search": ranked_search.OP13_SQL,
 }
