@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import discard, materialize, partitions, release
+from inkmill.llm.common import materialize, release
 from inkmill.llm.words import BLANK_SEPARATED, FACTOR, hashed, mix
 
 ORDER = 2
-BLOCK = 2_000_000  #: tokens of a block; its last text is not cut
+BLOCK = 1_000_000  #: tokens of a block; its last text is not cut
 SHARD = 3_000_000  #: tokens for each shard
 START, END = np.uint64(1), np.uint64(2)
 ID_BYTES = 7
@@ -52,6 +52,27 @@ def ids_of(data) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Small numbers: their bytes by place (all least bytes first, and so on), compressed, behind their length."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def loosened(data: pa.Buffer, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(data[:8].to_pybytes(), "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def rising(ids: np.ndarray) -> bytes:
+    """Ids in ascending order, by their differences."""
+    return squeezed(np.diff(ids, prepend=np.uint64(0)))
+
+
+def risen(data: pa.Buffer) -> np.ndarray:
+    return np.cumsum(loosened(data, "<u8"), dtype=np.uint64)
+
+
 def combined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * np.uint64(FACTOR) + word) >> np.uint64(8)
 
@@ -67,8 +88,8 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         def block() -> pa.RecordBatch:
             names, out, sizes, ids = pa.concat_arrays([x[0] for x in held]), *(np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
             vocabulary, words = np.unique(ids, return_inverse=True)
-            values = [names, *(pa.scalar(x, pa.binary()) for x in (out.tobytes(), sizes.astype("<i4").tobytes(), packed(vocabulary), words.astype("<i4").tobytes()))]
-            arrays = [pa.array([number]), pa.array([len(ids)]), pa.ListArray.from_arrays([0, len(names)], names), *(pa.array([v.as_py()], pa.binary()) for v in values[1:])]
+            values = [squeezed(out.view(np.uint8)), squeezed(sizes.astype("<i4")), rising(vocabulary), squeezed(words.astype("<i4"))]
+            arrays = [pa.array([number]), pa.array([len(ids)]), pa.ListArray.from_arrays([0, len(names)], names), *(pa.array([v], pa.binary()) for v in values)]
             return pa.record_batch(arrays, names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -95,19 +116,29 @@ class Grams:
     """The distinct n-grams of a block, in order of their context's and their word's ids, and that of each token."""
 
     def __init__(self, row: dict, n: int):
-        read = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
-        self.vocabulary, words = ids_of(row["vocabulary"].as_buffer()), read("words", "<i4").astype(np.int64)
-        self.sizes = read("sizes", "<i4")
+        read = lambda name, kind: loosened(row[name].as_buffer(), kind)
+        words, self.sizes = read("words", "<i4"), read("sizes", "<i4")
+        self.vocabulary = np.concatenate([[START], risen(row["vocabulary"].as_buffer())])  # the start sign has the least id
+        words = words.astype(np.int64) + 1
         first = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        at, before = np.arange(len(words)), [np.zeros(len(words), np.uint64)]
-        for k in range(1, n):
-            word = np.where(at - k >= first, self.vocabulary[words[np.maximum(at - k, 0)]], START)
-            before.append(combined(before[-1], word) if k > 1 else word)
-        self.contexts, seen, context = np.unique(before[n - 1], return_index=True, return_inverse=True)
-        self.shorter = before[n - 2][seen] if n > 1 else None  # contexts without their earliest word
+        at = np.arange(len(words))
+        earlier = lambda k: np.where(at - k >= first, words[np.maximum(at - k, 0)], 0)  # noqa: E731  the word k before
+        self.shorter = None  # contexts without their earliest word, where they have one
+        if n == 1:
+            self.contexts, context = np.zeros(1, np.uint64), np.zeros(len(words), np.int64)
+        elif n == 2:
+            context = earlier(1)
+            seen = np.bincount(context, minlength=len(self.vocabulary)) > 0
+            self.contexts, context = self.vocabulary[seen], (np.cumsum(seen) - 1)[context]
+        else:
+            before = [None, self.vocabulary[earlier(1)]]
+            for k in range(2, n):
+                before.append(combined(before[-1], self.vocabulary[earlier(k)]))
+            self.contexts, seen, context = np.unique(before[n - 1], return_index=True, return_inverse=True)
+            self.shorter = before[n - 2][seen]
         key, self.of_token = np.unique(context << 32 | words, return_inverse=True)
         self.context, self.word = key >> 32, self.vocabulary[key & 0xFFFFFFFF]
-        self.train = np.repeat(~read("held", bool), self.sizes)
+        self.train = np.repeat(read("held", np.uint8) == 0, self.sizes)
 
     def by_shard(self, n_shards: int, hot: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, n-grams, where contexts begin among these)."""
@@ -166,7 +197,7 @@ def asks(blocks: DataFrame, n: int, n_shards: int, hot: np.ndarray) -> DataFrame
                 for shard, chosen, starts in g.by_shard(n_shards, hot):
                     heads = g.context[chosen[starts]]
                     shorter = packed(g.shorter[heads]) if n > 2 else None
-                    yield row_batch(kind="ask", shard=shard, block=row["block"].as_py(), contexts=packed(g.contexts[heads]), runs=np.diff(np.append(starts, len(chosen))).astype("<i4").tobytes(), shorter=shorter, words=packed(g.word[chosen]), counts=counts[chosen].tobytes())
+                    yield row_batch(kind="ask", shard=shard, block=row["block"].as_py(), contexts=rising(g.contexts[heads]), runs=squeezed(np.diff(np.append(starts, len(chosen))).astype("<i4")), shorter=shorter, words=packed(g.word[chosen]), counts=squeezed(counts[chosen]))
 
     return blocks.mapInArrow(task, SHARDED)
 
@@ -201,7 +232,7 @@ def classes(of: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 
 def learned(rows: list[dict], n: int, adjusted: bool, hot: np.ndarray) -> tuple[dict[str, np.ndarray], dict | None, list[int], list[int]]:
     """A shard's arrays, what it tells the order below, sums of hot contexts, and [n1, n2, n3, n4, distinct words, tokens]."""
-    parts = [(np.repeat(ids_of(r["contexts"].as_buffer()), np.frombuffer(r["runs"].as_buffer(), "<i4")), ids_of(r["words"].as_buffer()), np.frombuffer(r["counts"].as_buffer(), "<i4"), r) for r in rows]
+    parts = [(np.repeat(risen(r["contexts"].as_buffer()), loosened(r["runs"].as_buffer(), "<i4")), ids_of(r["words"].as_buffer()), loosened(r["counts"].as_buffer(), "<i4"), r) for r in rows]
     seen = [x[2] > 0 for x in parts]
     context, word, count = (np.concatenate([x[i][s] for x, s in zip(parts, seen)] or [np.zeros(0, np.uint64)]) for i in (0, 1, 2))
     told = np.concatenate([np.full(s.sum(), x[3]["kind"].as_py() == "left") for x, s in zip(parts, seen)] or [np.zeros(0, bool)])
@@ -215,7 +246,7 @@ def learned(rows: list[dict], n: int, adjusted: bool, hot: np.ndarray) -> tuple[
     if n > 1:
         target = np.zeros(len(first), np.uint64)
         if n > 2:
-            shorter = np.concatenate([np.repeat(ids_of(x[3]["shorter"].as_buffer()), np.frombuffer(x[3]["runs"].as_buffer(), "<i4"))[s] if x[3]["kind"].as_py() == "ask" else x[0][s] * np.uint64(0) for x, s in zip(parts, seen)])
+            shorter = np.concatenate([np.repeat(ids_of(x[3]["shorter"].as_buffer()), loosened(x[3]["runs"].as_buffer(), "<i4"))[s] if x[3]["kind"].as_py() == "ask" else x[0][s] * np.uint64(0) for x, s in zip(parts, seen)])
             # A context is asked with its shorter form by every block that has it; rows told from above carry none.
             known, at = np.unique(context[~told], return_index=True)
             target = looked_up(known, context[first], shorter[~told][at])
@@ -235,11 +266,11 @@ def at_shards(rows: DataFrame, n: int, n_shards: int, adjusted: bool, hot: np.nd
         shard, kinds = held[0]["shard"].as_py(), [r["kind"].as_py() for r in held]
         models = [r for r, k in zip(held, kinds) if k == "model"]
         if models:  # a shard has one
-            m, read = models[0], lambda name, kind: np.frombuffer(models[0][name].as_buffer(), kind)
-            arrays = {"grams": ids_of(m["words"].as_buffer()), "counts": read("counts", "<i8"), "raw": read("raw", "<i8") if n == 1 else np.zeros(0), "contexts": ids_of(m["contexts"].as_buffer()), "sums": read("sums", "<i8").reshape(-1, 4)}
+            m, read = models[0], lambda name, kind: loosened(models[0][name].as_buffer(), kind)
+            arrays = {"grams": risen(m["words"].as_buffer()), "counts": read("counts", "<i8"), "raw": read("raw", "<i8") if n == 1 else np.zeros(0), "contexts": risen(m["contexts"].as_buffer()), "sums": read("sums", "<i8").reshape(-1, 4)}
         else:
             arrays, left, partial, stats = learned(held, n, adjusted, hot)
-            out.append(row_batch(kind="model", part=n, shard=shard, contexts=packed(arrays["contexts"]), words=packed(arrays["grams"]), counts=arrays["counts"].tobytes(), raw=arrays["raw"].tobytes() if n == 1 else None, sums=arrays["sums"].tobytes(), hot=partial, stats=stats))
+            out.append(row_batch(kind="model", part=n, shard=shard, contexts=rising(arrays["contexts"]), words=rising(arrays["grams"]), counts=squeezed(arrays["counts"]), raw=squeezed(arrays["raw"]) if n == 1 else None, sums=squeezed(arrays["sums"].reshape(-1)), hot=partial, stats=stats))
             if left:
                 to = shard_of(np.where(np.isin(left["context"], hot_below), left["word"], left["context"]), n_shards)
                 order = np.lexsort((left["word"], left["context"], to))
@@ -247,14 +278,14 @@ def at_shards(rows: DataFrame, n: int, n_shards: int, adjusted: bool, hot: np.nd
                 for a, b in zip(edges, edges[1:]):
                     x = order[a:b]
                     starts = np.flatnonzero(np.concatenate([[True], left["context"][x][1:] != left["context"][x][:-1]]))
-                    out.append(row_batch(kind="left", part=n, shard=int(to[x[0]]), contexts=packed(left["context"][x[starts]]), runs=np.diff(np.append(starts, len(x))).astype("<i4").tobytes(), words=packed(left["word"][x]), counts=left["count"][x].astype("<i4").tobytes()))
+                    out.append(row_batch(kind="left", part=n, shard=int(to[x[0]]), contexts=rising(left["context"][x[starts]]), runs=squeezed(np.diff(np.append(starts, len(x))).astype("<i4")), words=packed(left["word"][x]), counts=squeezed(left["count"][x].astype("<i4"))))
         arrays = mapped(arrays)
         for r, kind in zip(held, kinds):
             if kind == "ask":
-                contexts, runs = ids_of(r["contexts"].as_buffer()), np.frombuffer(r["runs"].as_buffer(), "<i4")
+                contexts, runs = risen(r["contexts"].as_buffer()), loosened(r["runs"].as_buffer(), "<i4")
                 grams = combined(np.repeat(contexts, runs), ids_of(r["words"].as_buffer()))
-                raw = looked_up(arrays["grams"], grams, arrays["raw"]).astype("<i8").tobytes() if n == 1 else None
-                out.append(row_batch(kind="answer", part=n, shard=shard, block=r["block"].as_py(), counts=looked_up(arrays["grams"], grams, arrays["counts"]).astype("<i8").tobytes(), raw=raw, sums=looked_up(arrays["contexts"], contexts, arrays["sums"]).astype("<i8").tobytes()))
+                raw = squeezed(looked_up(arrays["grams"], grams, arrays["raw"])) if n == 1 else None
+                out.append(row_batch(kind="answer", part=n, shard=shard, block=r["block"].as_py(), counts=squeezed(looked_up(arrays["grams"], grams, arrays["counts"])), raw=raw, sums=squeezed(looked_up(arrays["contexts"], contexts, arrays["sums"]).reshape(-1))))
         return pa.Table.from_batches(out, schema=out[0].schema)
 
     return rows.groupBy("shard").applyInArrow(task, SHARDED)
@@ -305,10 +336,10 @@ def scored(blocks: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
             counts, raw, sums = np.zeros(len(g.word), np.int64), np.zeros(len(g.word), np.int64), np.zeros((len(g.contexts), 4), np.int64)
             for shard, chosen, starts in g.by_shard(n_shards, hot[n]):
                 r = told[n, shard]
-                counts[chosen] = np.frombuffer(r["counts"].as_buffer(), "<i8")
-                sums[g.context[chosen[starts]]] = np.frombuffer(r["sums"].as_buffer(), "<i8").reshape(-1, 4)
+                counts[chosen] = loosened(r["counts"].as_buffer(), "<i8")
+                sums[g.context[chosen[starts]]] = loosened(r["sums"].as_buffer(), "<i8").reshape(-1, 4)
                 if n == 1:
-                    raw[chosen] = np.frombuffer(r["raw"].as_buffer(), "<i8")
+                    raw[chosen] = loosened(r["raw"].as_buffer(), "<i8")
             names, whole = hot_sums[n]
             is_hot = np.isin(g.contexts, names)
             sums[is_hot] = whole[np.searchsorted(names, g.contexts[is_hot])]
@@ -323,7 +354,7 @@ def scored(blocks: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
             p = own[g.of_token] + share[g.context][g.of_token] * p
         starts = np.cumsum(g.sizes) - g.sizes
         add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every document has an end
-        arrays = [block.column("doc_ids").combine_chunks().flatten(), pa.array(np.frombuffer(row["held"].as_buffer(), bool)), pa.array(g.sizes.astype(np.int64)), pa.array(add(known.astype(np.int64))), pa.array(np.full(len(starts), tokens)), pa.array(add(base)), pa.array(add(np.log10(p)))]
+        arrays = [block.column("doc_ids").combine_chunks().flatten(), pa.array(loosened(row["held"].as_buffer(), np.uint8).astype(bool)), pa.array(g.sizes.astype(np.int64)), pa.array(add(known.astype(np.int64))), pa.array(np.full(len(starts), tokens)), pa.array(add(base)), pa.array(add(np.log10(p)))]
         return pa.table(arrays, names=[x.split()[0] for x in RESULT.split(", ")])
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(task, RESULT)
