@@ -17,22 +17,23 @@ __all__ = ["BROADCAST_ROWS", "connected", "discard", "let", "materialize", "part
 BROADCAST_ROWS = 2_000_000  #: a side of two longs a row is broadcast up to this many rows (some 32 MB)
 
 
-def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back.
+def materialize(df: DataFrame, compression: str = "zstd", by: str | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder, in folders by a column if one is named, and reads it back.
 
     This cuts the lineage: a lost executor costs a re-read of the table, not of what made it.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Removes what materialize() wrote, once nothing reads it any more."""
+def discard(df: DataFrame, part: str = "") -> None:
+    """Removes what materialize() wrote, or a part of it such as kind=left, once nothing reads it any more."""
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{df._shared_path}/{part}".rstrip("/"))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import materialize, release
+from inkmill.llm.common import discard, materialize, release
 from inkmill.llm.words import BLANK_SEPARATED, FACTOR, hashed, mix
 
 ORDER = 2
@@ -83,13 +83,21 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held, n = TaskContext.get().partitionId() << 32, [], 0
+        first, held, n = TaskContext.get().partitionId() << 32, [], 0
 
         def block() -> pa.RecordBatch:
             names, out, sizes, ids = pa.concat_arrays([x[0] for x in held]), *(np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
             vocabulary, words = np.unique(ids, return_inverse=True)
-            values = [squeezed(out.view(np.uint8)), squeezed(sizes.astype("<i4")), rising(vocabulary), squeezed(words.astype("<i4"))]
-            arrays = [pa.array([number]), pa.array([len(ids)]), pa.ListArray.from_arrays([0, len(names)], names), *(pa.array([v], pa.binary()) for v in values)]
+            # The most frequent words get numbers of one byte, the next of two; each class is in ascending order.
+            rank = np.empty(len(vocabulary), np.int64)
+            rank[np.argsort(-np.bincount(words), kind="stable")] = np.arange(len(vocabulary))
+            cuts = [*(c for c in (1 << 8, 1 << 16) if c < len(vocabulary)), len(vocabulary)]
+            order = np.argsort(np.searchsorted(cuts, rank, "right"), kind="stable")
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            vocabulary, words = vocabulary[order], number[words]
+            values = [squeezed(out.view(np.uint8)), squeezed(sizes.astype("<i4")), b"".join(len(x).to_bytes(8, "little") + x for x in map(rising, np.split(vocabulary, cuts[:-1]))), squeezed(words.astype("<i4"))]
+            arrays = [pa.array([first]), pa.array([len(ids)]), pa.ListArray.from_arrays([0, len(names)], names), *(pa.array([v], pa.binary()) for v in values)]
             return pa.record_batch(arrays, names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -105,7 +113,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
                 n += len(ids)
                 if n >= BLOCK:
                     yield block()
-                    number, held, n = number + 1, [], 0
+                    first, held, n = first + 1, [], 0
         if held:
             yield block()
 
@@ -118,8 +126,17 @@ class Grams:
     def __init__(self, row: dict, n: int):
         read = lambda name, kind: loosened(row[name].as_buffer(), kind)
         words, self.sizes = read("words", "<i4"), read("sizes", "<i4")
-        self.vocabulary = np.concatenate([[START], risen(row["vocabulary"].as_buffer())])  # the start sign has the least id
-        words = words.astype(np.int64) + 1
+        held, parts = row["vocabulary"].as_buffer(), []
+        while held.size:
+            size = 8 + int.from_bytes(held[:8].to_pybytes(), "little")
+            parts.append(risen(held[8:size]))
+            held = held[size:]
+        vocabulary = np.concatenate(parts)
+        order = np.argsort(vocabulary)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(1, len(order) + 1)
+        self.vocabulary = np.concatenate([[START], vocabulary[order]])  # the start sign has the least id
+        words = number[words]
         first = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         at = np.arange(len(words))
         earlier = lambda k: np.where(at - k >= first, words[np.maximum(at - k, 0)], 0)  # noqa: E731  the word k before
@@ -370,8 +387,10 @@ def fit_and_score(docs: DataFrame, order: int = ORDER, **columns: str) -> tuple[
         rows = asks(blocks, n, n_shards, hot[n])
         if tables:
             rows = rows.unionByName(tables[-1].filter("kind = 'left'"))
-        tables.append(materialize(at_shards(rows, n, n_shards, n < order, hot[n], hot.get(n - 1))))
+        tables.append(materialize(at_shards(rows, n, n_shards, n < order, hot[n], hot.get(n - 1)), by="kind"))
         release(docs.sparkSession)
+        if n < order:
+            discard(tables[-2], "kind=left")
     made = tables[0]
     for t in tables[1:]:
         made = made.unionByName(t)
