@@ -41,7 +41,8 @@ class Words:
     """path/places: shard, word, block, most, chunk_ids, places; path/documents: chunk_id and the kept columns."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.rows, self.documents = spark.read.parquet(f"{path}/places"), spark.read.parquet(f"{path}/documents")
+        schema = "word string, block long, most long, chunk_ids array<long>, places array<array<int>>, shard int"
+        self.rows, self.documents = spark.read.schema(schema).parquet(f"{path}/places"), spark.read.parquet(f"{path}/documents")
 
     def of(self, words: list[str]) -> DataFrame:
         """The rows of these words: read by shard, and by word within files."""
@@ -157,7 +158,9 @@ class Trigrams:
     """path/lists: class, trigram, block, chunk_ids; path/sets: class, size, chunk_id, trigrams; path/counts: trigram, n."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.lists, self.sets, self.counts = spark, spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/sets"), spark.read.parquet(f"{path}/counts")
+        self.spark, self.counts = spark, spark.read.parquet(f"{path}/counts")
+        self.lists = spark.read.schema("trigram string, block long, chunk_ids array<long>, class int").parquet(f"{path}/lists")
+        self.sets = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/sets")
 
 
 def size_class(size: Column) -> Column:
@@ -170,10 +173,11 @@ def build_trigrams(chunks: DataFrame, path: str, keep: list[str] = ()) -> Trigra
     sets = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), *keep, R.trigrams(ar_normalize(F.col("text"))).alias("trigrams"))
     sets = sets.withColumn("size", F.size("trigrams")).filter("size > 0").withColumn("class", size_class(F.col("size")))
     sets.hint("rebalance", "class").sortWithinPartitions("class", "chunk_id").write.partitionBy("class").option("compression", "zstd").parquet(f"{path}/sets")
-    rows = chunks.sparkSession.read.parquet(f"{path}/sets").select("class", "chunk_id", block_of(n), F.explode("trigrams").alias("trigram"))
+    sets.limit(0).write.parquet(f"{path}/columns")  # the schema, for tables without rows
+    rows = chunks.sparkSession.read.schema(sets.schema).parquet(f"{path}/sets").select("class", "chunk_id", block_of(n), F.explode("trigrams").alias("trigram"))
     lists = rows.groupBy("class", "trigram", "block").agg(F.collect_list("chunk_id").alias("chunk_ids"))
     lists.hint("rebalance", "class").sortWithinPartitions("class", "trigram").write.partitionBy("class").option("compression", "zstd").parquet(f"{path}/lists")
-    held = chunks.sparkSession.read.parquet(f"{path}/lists")
+    held = chunks.sparkSession.read.schema(lists.schema).parquet(f"{path}/lists")
     held.groupBy("trigram").agg(F.sum(F.size("chunk_ids")).alias("n")).sort("trigram").write.parquet(f"{path}/counts")
     return Trigrams(chunks.sparkSession, path)
 
