@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.operators.diffing import locked_spans
+from inkmill.operators.selection import running_upper_median, upper_median_of
 
 
 def batch_status(runs: DataFrame, batch: str = "batch_id") -> DataFrame:
@@ -41,26 +42,23 @@ def upper_median(values: Column) -> Column:
 
 
 def upper_median_by(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
-    """upper_median() of each key's values that are not null, without gathering them: sorted rows may spill."""
-    w = Window.partitionBy(*keys)
-    placed = rows.filter(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("__at"), F.count("*").over(w).alias("__n"))
-    return placed.filter(F.col("__at") == F.floor(F.col("__n") / 2) + 1).select(*keys, F.col(value).alias(name))
+    """upper_median() of each key's values that are not null, without gathering them; those of hot keys are not even sorted."""
+    return upper_median_of(rows, keys, value, name)
 
 
 def flag_summaries(runs: DataFrame, batch: str = "batch_id", order: str = "finished_at", key: str = "run_id") -> DataFrame:
-    """A batch holds one run an engine. Marks runs with under 0.4 of the upper median of the runs that had finished before in the batch; raises their gibberish by 0.4, 1 at most."""
-    before = Window.partitionBy(batch).orderBy(order, key).rowsBetween(Window.unboundedPreceding, -1)
-    counts = F.filter(F.collect_list("char_count").over(before), lambda c: c > 0)
-    median = upper_median(counts)
-    suspected = F.coalesce(F.col("char_count") < 0.4 * median, F.lit(False))
+    """Marks runs with under 0.4 of the upper median of the runs that had finished before in the batch; raises their gibberish by 0.4, 1 at most."""
+    known = running_upper_median(runs, batch, [order, key], "char_count", "__median")
+    suspected = F.coalesce(F.col("char_count") < 0.4 * F.col("__median"), F.lit(False))
     raised = F.when(suspected, F.least(F.lit(1.0), F.coalesce("gibberish", F.lit(0.0)) + 0.4)).otherwise(F.col("gibberish"))
-    return runs.withColumn("suspected", suspected).withColumn("gibberish", raised)
+    return known.withColumn("suspected", suspected).withColumn("gibberish", raised).drop("__median")
 
 
 def best_run(runs: DataFrame, batch: str = "batch_id", key: str = "run_id") -> DataFrame:
     """The run of least gibberish of each batch; runs without a score come last."""
-    first = F.row_number().over(Window.partitionBy(batch).orderBy(F.asc_nulls_last("gibberish"), key))
-    return runs.withColumn("n", first).filter("n = 1").drop("n")
+    order = F.struct(F.col("gibberish").isNull(), "gibberish", key)
+    rest = [c for c in runs.columns if c != batch]
+    return runs.groupBy(batch).agg(F.min_by(F.struct(*rest), order).alias("__r")).select(batch, "__r.*").select(runs.columns)
 
 
 def compare(runs: DataFrame, pages: DataFrame) -> DataFrame:

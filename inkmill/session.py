@@ -51,3 +51,10 @@ def spread(df):
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def written(df):
+    """df as a table in the shared folder: what follows reads it again, and a lost executor costs a re-read only."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
