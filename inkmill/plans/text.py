@@ -6,22 +6,11 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import sql
 from inkmill.functions import text as T
-from inkmill.plans.base import Literal, query
+from inkmill.plans.base import query
 
 A, P = T.ARABIC, T.PRESENTATION
 WORDS = r"list_filter(regexp_split_to_array(text, '[\s\p{Z}\x1c-\x1f\x85]+'), lambda w: w <> '')"
 
-#: Synthetic texts: the supplied tables hold no Arabic.
-ARABIC_TEXTS = Literal("samples", "id int, text string", [
-    (1, "أَحْمَدُ إلى المدرسة"), (2, "فاتورة رقم ٤١٧ بتاريخ ۲۰۲۶"), (3, "Invoice رقم 12,500 SAR"), (4, "plain English only."),
-    (5, "ﻢﻼﺴﻟﺍ ﻢﻜﻴﻠﻋ"), (6, "مؤسسة شئون آل ٱلرحمن"), (7, ""), (8, None), (9, "١٢٣ 456"), (10, "كتاب   ـــ مفتوح"),
-])
-
-
-@query("text_ar_normalize", f"WITH {ARABIC_TEXTS.sql()} SELECT id, lower(translate(regexp_replace(text, '{T.MARKS}', '', 'g'), '{T.FOLD_FROM}', '{T.FOLD_TO}')) AS norm FROM samples")
-def ar_normalize(spark, tables):
-    return ARABIC_TEXTS.df(spark).select("id", T.ar_normalize(F.col("text")).alias("norm"))
-
 
 RATIO = rf"""(CASE WHEN length(regexp_replace(coalesce(text, ''), '[^\p{{L}}]', '', 'g')) = 0 THEN 0.0 ELSE
  length(regexp_replace(regexp_replace(text, '[^\p{{L}}]', '', 'g'), '[^{A}]', '', 'g'))::DOUBLE / length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) END)"""
@@ -42,25 +31,6 @@ def language(spark, tables):
     return tables("documents").select("doc_id", *language_columns())
 
 
-@query("text_language_arabic", f"WITH {ARABIC_TEXTS.sql()} " + language_sql("samples", "id"))
-def language_arabic(spark, tables):
-    return ARABIC_TEXTS.df(spark).select("id", *language_columns())
-
-
-@query("text_bidi_report", f"""WITH {ARABIC_TEXTS.sql()}, r AS (SELECT id, regexp_extract_all(coalesce(text, ''), '[{A}]+') AS runs FROM samples)
-SELECT id, len(runs)::INTEGER AS runs, len(list_filter(runs, lambda x: regexp_matches(x, '[{P}]')))::INTEGER AS with_presentation,
- len(list_filter(runs, lambda x: regexp_matches(x, '^[{T.FINAL_FORMS}]')))::INTEGER AS starting_final,
- CASE WHEN len(runs) = 0 THEN 0.0 ELSE round(len(list_filter(runs, lambda x: regexp_matches(x, '^[{T.FINAL_FORMS}]')))::DOUBLE / len(runs), 4) END AS final_ratio,
- CASE WHEN len(runs) = 0 THEN false ELSE len(list_filter(runs, lambda x: regexp_matches(x, '^[{T.FINAL_FORMS}]')))::DOUBLE / len(runs) > 0.15 END AS suspect FROM r""")
-def bidi(spark, tables):
-    return ARABIC_TEXTS.df(spark).select("id", T.bidi_report(F.col("text")).alias("r")).select("id", "r.*")
-
-
-@query("text_nfkc")
-def nfkc(spark, tables):
-    return ARABIC_TEXTS.df(spark).select("id", T.nfkc(F.col("text")).alias("nfkc"))
-
-
 GIBBERISH = rf"""WITH d AS (SELECT doc_id, text, length(text)::DOUBLE AS n, {WORDS} AS w FROM documents),
 m AS (SELECT *, list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w) AS mean, len(list_filter(w, lambda x: length(x) = 1))::DOUBLE / len(w) AS single,
  len(regexp_extract_all(text, '[\x{{FFFD}}\x{{FFFE}}]')) / n AS broken, len(regexp_extract_all(text, '[\x00-\x08\x0b\x0e-\x1f]')) / n AS control FROM d)
@@ -86,38 +56,7 @@ def graphemes(spark, tables):
     return tables("documents").select("doc_id", F.size(T.graphemes(F.col("text"))).alias("n_graphemes"))
 
 
-FORMATS = Literal("samples", "id int, key string, size long, ms double, seconds long, status string, file string", [
-    (1, "annual_rent_amount", 512, 1500.0, -180, "ready", "../report 1.PDF"), (2, "dueDate", 2048, 61000.0, 7200, "ocr_running", "a<b>.csv"), (3, "-x-", 5_400_000, 200.0, -90000, "failed", "run.sh"),
-    (4, "total", 1023, 125000.0, 40_000_000, "text_finalized", "...md"), (5, "a__b", 1_572_864, 59400.0, 30, "uploaded", ".txt"), (6, "Z", 0, 0.0, -700_000, "nonsense", "résumé final.docx"),
-])
-
-
-@query("text_display_formats", f"""WITH {FORMATS.sql()}, k AS (SELECT *, trim(regexp_replace(regexp_replace(key, '[_-]+', ' ', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g')) AS s, CAST(round(ms / 1000) AS BIGINT) AS t FROM samples)
-SELECT id, upper(s[1]) || lower(s[2:]) AS label,
- CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN CAST(round(size / 1024.0) AS BIGINT) || ' KB' ELSE printf('%.1f', size / 1048576.0) || ' MB' END AS bytes,
- CASE WHEN t < 60 THEN t || 's' ELSE (t // 60) || 'm ' || (t % 60) || 's' END AS duration,
- CASE WHEN abs(seconds) >= 31536000 THEN CAST(floor(seconds / 31536000.0 + 0.5) AS BIGINT) WHEN abs(seconds) >= 2592000 THEN CAST(floor(seconds / 2592000.0 + 0.5) AS BIGINT) WHEN abs(seconds) >= 604800 THEN CAST(floor(seconds / 604800.0 + 0.5) AS BIGINT)
-  WHEN abs(seconds) >= 86400 THEN CAST(floor(seconds / 86400.0 + 0.5) AS BIGINT) WHEN abs(seconds) >= 3600 THEN CAST(floor(seconds / 3600.0 + 0.5) AS BIGINT) WHEN abs(seconds) >= 60 THEN CAST(floor(seconds / 60.0 + 0.5) AS BIGINT) ELSE seconds END AS ago,
- CASE WHEN abs(seconds) >= 31536000 THEN 'year' WHEN abs(seconds) >= 2592000 THEN 'month' WHEN abs(seconds) >= 604800 THEN 'week' WHEN abs(seconds) >= 86400 THEN 'day' WHEN abs(seconds) >= 3600 THEN 'hour' WHEN abs(seconds) >= 60 THEN 'minute' ELSE 'second' END AS unit,
- CASE WHEN status IN ('ocr_failed', 'failed', 'preprocessed', 'ocr_done', 'uploaded') THEN 'attention' WHEN status IN ('indexed', 'ready') THEN 'ready' ELSE 'processing' END AS bucket,
- replace(replace(replace(file, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM k""")
-def formats(spark, tables):
-    c = F.col
-    return FORMATS.df(spark).select("id", T.humanize_key(c("key")).alias("label"), T.human_bytes(c("size")).alias("bytes"), T.human_duration(c("ms")).alias("duration"), T.relative_time(c("seconds"))["value"].alias("ago"), T.relative_time(c("seconds"))["unit"].alias("unit"), T.status_bucket(c("status")).alias("bucket"), T.html_escape(c("file")).alias("escaped"))
-
-
-@query("text_safe_filename", "SELECT * FROM (VALUES (1, 'report 1.pdf'), (2, 'a_b.csv'), (3, NULL), (4, NULL), (5, NULL), (6, 'résumé final.docx')) AS t(id, safe)")
-def filenames(spark, tables):
-    return FORMATS.df(spark).select("id", T.safe_filename(F.col("file")).alias("safe"))
-
-
-@query("vector_normalize", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS length, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
+@query("vector_normalize", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) ** 2)), 6) AS length, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
 def vectors(spark, tables):
     rows = tables("embeddings").select("vec_id", T.l2_normalize(F.col("embedding")).alias("v"))
     return rows.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"), F.round(F.col("v")[0], 6).alias("first"))
-
-
-@query("text_sql_function", f"WITH {ARABIC_TEXTS.sql()} SELECT id, lower(translate(regexp_replace(text, '{T.MARKS}', '', 'g'), '{T.FOLD_FROM}', '{T.FOLD_TO}')) AS norm FROM samples")
-def sql_function(spark, tables):
-    sql.register(spark)
-    return ARABIC_TEXTS.df(spark).selectExpr("id", "ar_normalize(text) AS norm")

@@ -99,14 +99,14 @@ def terminal(spark, tables):
 
 
 @query("records_small", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS title, CASE WHEN doc_id % 5 <> 0 THEN 'expected 0 pages, got ' || doc_id % 5 END AS warning, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, source) AS patched,
- CASE WHEN doc_id % 4 = 0 THEN 'uploaded' WHEN doc_id % 4 IN (1, 2) THEN ['enrich', 'index'][doc_id % 4] END AS retry, doc_id % 7 < 3 AS restricted, CASE WHEN length(text) > 4000 THEN substring(text, 1, 4000) || chr(10) || '… output truncated' ELSE text END AS output FROM documents""")
+ CASE WHEN doc_id % 4 = 0 THEN 'uploaded' WHEN doc_id % 4 IN (1, 2) THEN ['enrich', 'index'][doc_id % 4] END AS retry, CASE WHEN doc_id % 7 < 3 THEN CASE WHEN doc_id % 2 = 0 THEN lang || ',' || source ELSE '' END ELSE 'all' END AS scope, CASE WHEN length(text) > 4000 THEN substring(text, 1, 4000) || chr(10) || '… output truncated' ELSE text END AS output FROM documents""")
 def small(spark, tables):
     i = F.col("doc_id")
     stage = F.when(i % 4 == 0, "preprocess").when(i % 4 == 1, "enrich").when(i % 4 == 2, "index").otherwise("other")
-    scope = P.scope_ids(F.when(i % 7 < 3, "selected").otherwise("all"), F.lit(None).cast("array<string>"))
+    scope = P.scope_ids(F.when(i % 7 < 3, "selected").otherwise("all"), F.when(i % 2 == 0, F.array("lang", "source")))
     return tables("documents").select(
         i, P.title_of(F.when(i % 3 == 0, "").otherwise(F.col("lang")), F.col("source")).alias("title"), P.page_count_warning(F.lit(0), (i % 5).cast("int")).alias("warning"),
-        P.patched(F.when(i % 2 == 0, F.col("lang")), F.col("source")).alias("patched"), M.retry_state(stage).alias("retry"), scope.isNotNull().alias("restricted"), K.clipped(F.col("text")).alias("output"),
+        P.patched(F.when(i % 2 == 0, F.col("lang")), F.col("source")).alias("patched"), M.retry_state(stage).alias("retry"), F.coalesce(F.array_join(scope, ","), F.lit("all")).alias("scope"), K.clipped(F.col("text")).alias("output"),
     )
 
 
@@ -140,11 +140,12 @@ def literals(spark, tables):
     return tables("embeddings").select("vec_id", T.vector_literal(F.col("embedding")).alias("literal"))
 
 
-@query("edits_chosen_pages", "SELECT doc_id, len(list_filter(range(1, len(p) + 1), lambda i: regexp_matches(p[i], '[^\\s\\p{Z}]') AND (doc_id % 2 = 0 OR i % 2 = 1)))::INTEGER AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)")
+@query("edits_chosen_pages", "SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(p) + 1), lambda i: regexp_matches(p[i], '[^\\s\\p{Z}]') AND (doc_id % 2 = 0 OR i % 2 = 1)), lambda i: i || ':' || p[i]), '|') AS chosen FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)")
 def chosen(spark, tables):
     pages = F.transform(F.split("text", "\n"), lambda t, i: F.struct((i + 1).alias("number"), t.alias("text")))
     odd = F.filter(F.sequence(F.lit(1), F.size(F.split("text", "\n"))), lambda n: n % 2 == 1)
-    return tables("documents").select("doc_id", F.size(G.chosen_pages(pages, F.when(F.col("doc_id") % 2 == 1, odd))).alias("n"))
+    kept = G.chosen_pages(pages, F.when(F.col("doc_id") % 2 == 1, odd))
+    return tables("documents").select("doc_id", F.array_join(F.transform(kept, lambda p: F.concat(p["number"].cast("string"), F.lit(":"), p["text"])), "|").alias("chosen"))
 
 
 @query("edits_overlap_rule", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'overlap' END AS first_rule, CASE WHEN doc_id % 3 = 1 THEN 'overlap' END AS second_rule FROM documents WHERE length(text) > 12 AND doc_id % 3 < 3")
@@ -264,7 +265,7 @@ def postings_search(spark, tables):
     return V.search_postings(index_, [TERM]).select("chunk_id", "rank_fts")
 
 
-@query("stream_appended", "SELECT event_id, event_type FROM events WHERE user_id % 2 = 0 AND event_id > 1000")
+@query("stream_appended", "SELECT event_id, event_type FROM events WHERE user_id = (SELECT user_id FROM events ORDER BY event_id DESC LIMIT 1) AND event_id > 1000")
 def appended(spark, tables):
     """Events go to a table by a stream; a reader that has seen 1000 of them gets the rest by another."""
     from inkmill.session import shared_folder
@@ -275,5 +276,6 @@ def appended(spark, tables):
     first = L_.read_events(spark, f"{folder}/source", rows.schema)
     L_.append_events(first, f"{folder}/log", f"{folder}/state").awaitTermination()
     logged = spark.read.parquet(f"{folder}/log")
-    later = L_.snapshot_then_tail(spark, f"{folder}/log", logged.schema, "event_id", F.col("event_id"), "event_id", 1000).filter("user_id % 2 = 0")
+    user = logged.agg(F.max_by("user_id", "event_id")).first()[0]
+    later = L_.snapshot_then_tail(spark, f"{folder}/log", logged.schema, "user_id", user, "event_id", 1000)
     return L_.drain(later.select("event_id", "event_type"), "append", f"{folder}/tail")
