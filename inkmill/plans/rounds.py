@@ -53,3 +53,51 @@ def hot_median(spark, tables):
 def quantiles(spark, tables):
     """The ninth decile of three keys with all rows, by counting passes."""
     return S.kth_by(tables("lineitem"), ["l_returnflag"], "l_extendedprice", F.floor(F.col("n") * 9 / 10), "price")
+
+
+def with_pages(tables):
+    """Documents as revisions: lines are pages, parted by form feeds."""
+    return tables("documents").select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("revision_id"), F.regexp_replace("text", "\n", "\f").alias("text"))
+
+
+def model(chunks):
+    """In place of an embedding model: four numbers of a text's digest."""
+    part = lambda k: F.conv(F.substring(F.md5("embed_text"), 1 + 4 * k, 4), 16, 10).cast("float")
+    return chunks.select("document_id", "chunk_index", F.array(*[part(k) for k in range(4)]).alias("embedding"))
+
+
+@query("chunk_pipeline")
+def pipeline(spark, tables):
+    """All documents are indexed; then every third one again with a new text. Tests hold it against chunks made one by one."""
+    from inkmill.operators.indexing import index_revisions
+
+    meta, first = tables("documents").select(F.col("doc_id").alias("document_id"), "source"), with_pages(tables)
+    index, _ = index_revisions(first, meta, model)
+    again = first.filter("document_id % 3 = 0").withColumn("text", F.upper("text"))
+    index, _ = index_revisions(again, meta, model, index)
+    return index.select("document_id", "chunk_index", "page_start", "page_end", "token_count", "source", F.md5("text").alias("digest"), F.col("embedding")[0].alias("first"))
+
+
+@query("chunk_runs", r"""SELECT doc_id AS document_id, 'failed' AS status, 'no finalized text' AS error FROM documents WHERE doc_id % 5 = 0 OR NOT regexp_matches(text, '[^\s\p{Z}]')""")
+def runs(spark, tables):
+    """What was not indexed for want of text: every fifth document has none."""
+    from inkmill.operators.indexing import index_revisions
+
+    revisions = with_pages(tables).withColumn("text", F.when(F.col("document_id") % 5 != 0, F.col("text")))
+    _, found = index_revisions(revisions, tables("documents").select(F.col("doc_id").alias("document_id")), model)
+    return found.filter("error = 'no finalized text'").select("document_id", "status", "error")
+
+
+@query("ocr_compare_agreement", r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS page_number FROM documents), g AS (SELECT *, doc_id % 3 <> 0 AND regexp_matches(t, '[^\s\p{Z}]') AS same FROM p)
+SELECT doc_id AS batch_id, page_number::INTEGER AS page_number, CASE WHEN same THEN 1.0 ELSE 0.0 END AS agreement, CASE WHEN same AND length_grapheme(t) >= 12 THEN '0-' || length(t) ELSE '' END AS spans FROM g""")
+def agreement(spark, tables):
+    """Two engines for each document: they agree on every page of two documents of three, and on nothing of the third."""
+    from inkmill.operators.ranking import compare_grid
+
+    lines = tables("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).withColumn("page_number", F.col("i") + 1)
+    other = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", "(?s).", "☃")).otherwise(F.col("text"))
+    pages = lines.select((F.col("doc_id") * 2).alias("run_id"), "page_number", "text").unionByName(lines.select((F.col("doc_id") * 2 + 1).alias("run_id"), "page_number", other.alias("text")))
+    docs = tables("documents").select("doc_id")
+    runs_ = docs.select(F.explode(F.array(F.col("doc_id") * 2, F.col("doc_id") * 2 + 1)).alias("run_id"), F.col("doc_id").alias("batch_id")).withColumns({"status": F.lit("succeeded"), "rank_key": F.lit(0.5)})
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["s"], s["e"])), ",")
+    return compare_grid(runs_, pages).select("batch_id", "page_number", "agreement", spans.alias("spans"))
