@@ -4,7 +4,10 @@ Lines that hold an anchor are classified by a sparse
 logistic regression over their word 1-, 2- and 3-grams into licence families and an unknown class; its
 probabilities are calibrated by a temperature on examples kept from fitting. A family with a
 probability of CONFIDENCE or more is confirmed where one of its templates' words are contained in
-the line to CONTAINED or more; otherwise the line is of unknown licence.
+the line to CONTAINED or more, with half of their pairs of neighbours, and no template of another family is contained better (of equally
+contained ones the longer is better, so a lesser or affero licence is not taken for the general one); otherwise, and where
+the notice is negated ("not licensed under ..."), the line is of unknown licence. Operands of "X OR Y" that are
+identifiers of known licences are lines of their own behind it.
 
 Anchors are words that no notice can do without: of each template, as many as may be missing where it is
 confirmed, and one more. So a line without any holds too little of every template, and that it is not
@@ -43,17 +46,17 @@ FREQUENT = set("2 3 a and any are as be by can charge code copy domain except fi
 
 #: Notices by which the licences are commonly applied (fixed values).
 TEMPLATES = {
-    "AGPL": ["licensed under the gnu affero general public license version 3", "spdx license identifier agpl 3.0"],
-    "Apache": ["licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license", "spdx license identifier apache 2.0"],
+    "AGPL": ["licensed under the gnu affero general public license version 3", "this program is free software you can redistribute it under the terms of the gnu affero general public license", "gnu affero general public license", "spdx license identifier agpl 3.0"],
+    "Apache": ["licensed under the apache license version 2.0", "released under the apache 2.0 license", "apache license version 2.0 january 2004", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license", "spdx license identifier apache 2.0"],
     "BSD": ["redistribution and use in source and binary forms with or without modification are permitted", "licensed under the bsd 3 clause license", "released under the bsd license", "spdx license identifier bsd 3 clause"],
     "CC-BY": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
     "CC-BY-NC": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
     "CC-BY-SA": ["licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
     "CC0": ["released under cc0 1.0 universal public domain dedication", "dedicated to the public domain under cc0"],
-    "GPL": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it under the terms of the gnu general public license", "licensed under the gnu general public license version 2", "spdx license identifier gpl 3.0"],
-    "LGPL": ["licensed under the gnu lesser general public license version 2.1", "spdx license identifier lgpl 2.1"],
-    "MIT": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "spdx license identifier mit"],
-    "MPL": ["this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0"],
+    "GPL": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it under the terms of the gnu general public license", "licensed under the gnu general public license version 2", "gnu general public license", "spdx license identifier gpl 3.0"],
+    "LGPL": ["licensed under the gnu lesser general public license version 2.1", "this library is free software you can redistribute it under the terms of the gnu lesser general public license", "gnu lesser general public license", "spdx license identifier lgpl 2.1"],
+    "MIT": ["released under the mit license", "licensed under the mit license", "the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "spdx license identifier mit"],
+    "MPL": ["this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0", "spdx license identifier mpl 2.0"],
     "Unlicense": ["this is free and unencumbered software released into the public domain unlicense license"],
 }
 #: Words of the longest notice, twice: a wrapped notice may have as many words of its own as its template's.
@@ -81,7 +84,18 @@ attribution of the poem is uncertain
 this work is under way and under budget
 the terms are subject to change
 free of charge for any person under ten
-the source of the river is in the hills""".splitlines()
+the source of the river is in the hills
+the students of mit got a license to fly
+a license from the mit press is needed to print
+the general public may not enter
+the lesser known works are in the public library
+gnu herds crossed the river in spring
+the public license office of the city is closed
+a general license to trade was given to the company""".splitlines()
+
+#: A notice behind one of these is none; and identifiers that may stand beside OR (fixed values).
+NEGATED = r"\b(?:not|never|neither|nor|isn t|aren t|wasn t)(?: [a-z0-9.]+){0,2} (?:licensed|released|distributed|available|covered|governed|under)\b"
+IDENTIFIER = r"(?i)^(?:mit|apache-2\.0|bsd-[23]-clause|(?:l?gpl|agpl)-[23](?:\.[01])?(?:-only|-or-later|\+)?|mpl-2\.0|cc0-1\.0|cc-by(?:-sa|-nc)?-4\.0|unlicense)$"
 
 
 def words_in(line: str) -> list[str]:
@@ -194,13 +208,19 @@ def scan_words(words: Column, model: Model) -> Column:
 
         def confirm(p: Column) -> Column:
             best = F.array_position(p, F.array_max(p)).cast("int")
-            shares = [F.greatest(F.lit(0.0), *[F.size(F.array_intersect(w, F.array(*map(F.lit, sorted(set(words_in(t))))))) / len(set(words_in(t))) for t in TEMPLATES[f]]) for f in model.families[1:]]
-            share = F.get(F.array(F.lit(0.0), *shares), best - 1)
-            sure = (F.array_max(p) >= CONFIDENCE) & (share >= CONTAINED)
+            texts = lambda values: F.array(*map(F.lit, sorted(values)))
+            share = lambda t: F.size(F.array_intersect(w, texts(set(words_in(t))))) / len(set(words_in(t)))
+            pairs_of = lambda t: {" ".join(x) for x in zip(words_in(t), words_in(t)[1:])}
+            fits_in = lambda t, pairs: (share(t) >= CONTAINED) & (F.size(F.array_intersect(pairs, texts(pairs_of(t)))) * 2 >= len(pairs_of(t)))
+            # The number of a template's words decides between equally contained ones.
+            held = lambda pairs: [F.greatest(F.lit(0.0), *[F.when(fits_in(t, pairs), share(t) + len(set(words_in(t))) / 1000) for t in TEMPLATES[f]]) for f in model.families[1:]]
+            fits = let(many(2), lambda pairs: let(F.array(F.lit(0.0), *held(pairs)), lambda h: (F.get(h, best - 1) > 0) & (F.get(h, best - 1) == F.array_max(h))))
+            sure = (F.array_max(p) >= CONFIDENCE) & fits & ~F.array_join(w, " ").rlike(NEGATED)
             name = F.element_at(F.array(*map(F.lit, model.families)), best)
             return F.struct(F.when(sure, name).otherwise(UNKNOWN).alias("family"), F.round(F.array_max(p), 6).alias("probability"))
 
-        return let(p, confirm)
+        # Only where the classifier names a family are templates looked at.
+        return let(p, lambda p: F.when((F.array_max(p) >= CONFIDENCE) & (F.array_position(p, F.array_max(p)) > 1), confirm(p)).otherwise(F.struct(F.lit(UNKNOWN).alias("family"), F.round(F.array_max(p), 6).alias("probability"))))
 
     return let(words, classify)
 
@@ -247,6 +267,8 @@ def scan(docs: DataFrame, model: Model | None = None, text_col: str = "text") ->
     model, anchor = model or trained(), rf"(?<![a-z0-9])(?=[{''.join(sorted({w[0] for w in words}))}])(?:{'|'.join(map(re.escape, words))})(?![a-z0-9])"
     text, none = F.col(text_col), F.array().cast("array<struct<family:string,probability:double,line:string>>")
     lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(anchor))
+    ids = lambda x: F.filter(F.regexp_extract_all(x, F.lit(r"[A-Za-z0-9.+-]*[A-Za-z0-9+]"), 0), lambda i: i.rlike(IDENTIFIER))
+    lines = F.flatten(F.transform(lines, lambda x: F.when(x.rlike(r"\sOR\s"), F.concat(F.array(x), F.transform(ids(x), lambda i: F.concat(F.lit("SPDX-License-Identifier: "), i)))).otherwise(F.array(x))))
     single = F.transform(lines, lambda x: let(scan_words(words_of(x), model), lambda s: F.struct(s["family"].alias("family"), s["probability"].alias("probability"), x.alias("line"))))
     paragraphs = F.filter(F.split(text, r"\n(?:[^\S\n]*\n)+"), lambda x: F.lower(x).rlike(anchor) & x.contains("\n"))
     many = F.flatten(F.transform(paragraphs, lambda x: wrapped(x, model, anchor)))
