@@ -92,13 +92,24 @@ def test_edited_pages(spark):
 
 
 def test_guards_sum_up(spark):
-    from inkmill.plans.edits import PAGE, PROPOSALS, change
-
-    none = F.array().cast("array<struct<s:int,e:int>>"), F.array().cast("array<string>")
-    rows = PROPOSALS.df(spark).groupBy().agg(F.collect_list(change()).alias("c"))
-    r = rows.select(G.guarded(F.lit(PAGE), F.col("c"), *none).alias("j")).select("j", G.without_overlaps(F.col("j")).alias("k")).first()
+    page = "Quote: EUR 48,200 sent on 2031-03-09 by Lena Ltd."
+    proposals = [
+        (11, 17, "48,200", "49,300", 0.9, "digit", "digit_invented"), (0, 5, "Quote", "Quote", 0.9, "spacing", "no_op"), (0, 5, "Qote", "Quote", 0.9, "spacing", "span_mismatch"),
+        (-1, 5, "x", "y", 0.9, "spacing", "invalid_span"), (9, 5, "x", "y", 0.9, "spacing", "invalid_span"), (40, 44, "Lena", "Lenz", 0.95, "letterform", None), (41, 45, "ena ", "enz ", 0.5, "letterform", None),
+        (45, 49, "Ltd.", "Limited by its many shares", 0.9, "other", "expansion"), (18, 22, "sent", "zzzz", 0.9, "other", "too_dissimilar"), (18, 22, "sent", "sen\u0648", 0.9, "other", "script_switch"),
+        (7, 10, "EUR", "E U R", 0.9, "spacing", None), (18, 22, "sent", "set", 0.7, "spacing", None), (None, 3, "x", "y", 0.9, "spacing", "invalid_span"), (0, 5, "Quote", "Quota", 0.9, "spacing", "consensus_locked"),
+    ]
+    schema = "span_start int, span_end int, original string, replacement string, confidence double, kind string, rule string, n int"
+    rows = spark.createDataFrame([(*p, n) for n, p in enumerate(proposals)], schema)
+    change = F.struct("span_start", "span_end", "original", "replacement", "confidence", "kind")
+    locked, seen = F.array(F.struct(F.lit(0).alias("s"), F.lit(5).alias("e"))), F.array(F.lit("7"))
+    judged = rows.select("n", G.rule(F.lit(page), change, locked, seen).alias("rule")).collect()
+    assert {r.n: r.rule for r in judged} == {n: p[-1] for n, p in enumerate(proposals)}
+    all_ = rows.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("n", change.alias("c")))), lambda x: x["c"]).alias("c"))
+    r = all_.select(G.guarded(F.lit(page), F.col("c"), locked, seen).alias("j")).select("j", G.without_overlaps(F.col("j")).alias("k")).withColumn("text", G.apply_changes(F.lit(page), F.col("k"))).first()
     accepted = [x for x in r.j if x.rule is None]
-    assert len(r.k) <= len(accepted) and all(PAGE[k.span_start : k.span_end] == k.original for k in r.k)
+    assert len(r.k) == 3 < len(accepted) and all(page[k.span_start : k.span_end] == k.original for k in r.k)
+    assert r.text == "Quote: E U R 48,200 set on 2031-03-09 by Lenz Ltd."
 
 
 def test_citations_are_retrieved(spark):
