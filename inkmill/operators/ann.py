@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by cosine: an inverted file of cells with product-quantised residuals.
 
 Centroids and codebooks are fitted on a bounded sample of the vectors (those of least hash of their id, at most
-`SAMPLE_VALUES` numbers in all); every vector is then indexed. The index is a table partitioned by cell: a search reads
+`SAMPLE_VALUES` numbers in all); every vector is then indexed. The exact neighbours of TRIALS of the sample, found by a scan of all
+vectors, tell how many cells a search must probe to read RECALL of them: that number is kept with the index. The index is a table partitioned by cell: a search reads
 the cells next to its query only, first ids and codes, then the vectors of the best candidates, which are ranked exactly.
 `search` serves one query with any filter on the kept columns, and widens its probes until it has k answers; with
 exact=True it goes on until the cells' radii prove that no other cell holds a nearer vector. `search_all` serves a table of
@@ -26,6 +27,7 @@ CELLS_MOST = 4096
 SUBSPACE = 4  #: numbers coded by one byte
 CHUNK = 20_000  #: rows of a cell, and queries that probe it, that meet in one task
 REFINE = 8  #: candidates for each answer that are ranked exactly
+TRIALS, RECALL, TRIAL_K = 128, 0.98, 10
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -91,6 +93,7 @@ class Index:
         self.model: Quantizer = pickle.loads(spark.read.parquet(f"{path}/model").first().model)
         cells = spark.read.parquet(f"{path}/cells").collect()  # one row a cell, CELLS_MOST at most
         self.sizes, self.radius = {r.cell: r.n for r in cells}, {r.cell: r.radius for r in cells}
+        self.probes = spark.read.parquet(f"{path}/probes").first().probes
 
     @property
     def n_cells(self) -> int:
@@ -129,9 +132,35 @@ def build(vectors: DataFrame, path: str, keep: list[str] = (), cells: int | None
     written = spark.read.parquet(f"{path}/rows")
     written.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).coalesce(1).write.parquet(f"{path}/cells")
     spark.createDataFrame([(pickle.dumps(model),)], "model binary").coalesce(1).write.parquet(f"{path}/model")
+    trials = units(sample.column(0).combine_chunks().slice(0, TRIALS), d)
+    spark.createDataFrame([(probes_needed(written.select("cell", "embedding"), model, trials),)], "probes int").coalesce(1).write.parquet(f"{path}/probes")
     return Index(spark, path)
 
 
+def probes_needed(rows: DataFrame, model: Quantizer, trials: np.ndarray) -> int:
+    """So many of the nearest cells hold RECALL of the TRIAL_K nearest other vectors of the trials; one scan, TRIAL_K rows a trial and task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        close, cells = np.full((len(trials), 0), -2.0), np.zeros((len(trials), 0), np.int32)
+        for b in batches:
+            if b.num_rows:
+                new = trials @ units(b.column("embedding"), trials.shape[1]).T
+                new[new > 1 - 1e-9] = -2.0  # the trial itself, and its copies
+                close = np.concatenate([close, new], axis=1)
+                cells = np.concatenate([cells, np.broadcast_to(b.column("cell").to_numpy(), new.shape)], axis=1)
+                top = np.argsort(-close, axis=1)[:, :TRIAL_K]
+                close, cells = np.take_along_axis(close, top, 1), np.take_along_axis(cells, top, 1)
+        trial = np.repeat(np.arange(len(trials)), close.shape[1])
+        yield pa.record_batch([pa.array(trial), pa.array(cells.reshape(-1)), pa.array(close.reshape(-1))], names=["trial", "cell", "close"])
+
+    found = rows.mapInArrow(task, "trial long, cell int, close double").filter("close > -1.5")
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("close"), "cell"))).filter(F.col("n") <= TRIAL_K)
+    order = model.probes(trials, len(model.centroids))
+    place = np.argsort(order, axis=1)  # of each cell in the order of probes
+    ranks = sorted(int(place[r.trial, r.cell]) for r in best.select("trial", "cell").collect())  # TRIALS * TRIAL_K rows at most
+    return ranks[min(len(ranks) - 1, int(np.ceil(RECALL * len(ranks))))] + 1 if ranks else 1
+
+
 def best_codes(index: Index, cells: list[int], query: np.ndarray, where: Column | None, most: int) -> DataFrame:
     """The `most` rows of these cells with the best approximate closeness: id, cell."""
     model = index.model
@@ -159,12 +188,12 @@ def exact_distance(vector: Column, query: list[float]) -> Column:
     return 1 - dot(vector, q) / (F.sqrt(dot(vector, vector)) * float(np.sqrt(np.dot(query, query))))
 
 
-def search(index: Index, query: list[float], k: int, probes: int = 8, where: Column | None = None, exact: bool = False, refine: int = REFINE) -> list[tuple[int, float]]:
+def search(index: Index, query: list[float], k: int, probes: int | None = None, where: Column | None = None, exact: bool = False, refine: int = REFINE) -> list[tuple[int, float]]:
     """The k nearest (id, distance) of one query; at most k rows come to the driver.
 
     Cells are probed from the nearest on; where filters leave fewer than k answers, four times as many are probed, until all are.
     """
-    raw = [float(x) for x in query]
+    raw, probes = [float(x) for x in query], probes or index.probes
     q = np.array(raw) / np.linalg.norm(raw)
     order = [c for c in index.model.probes(q[None], index.n_cells)[0].tolist() if c in index.sizes]
     if exact:  # by the least angle that a cell's vectors can have to the query
@@ -189,9 +218,9 @@ def search(index: Index, query: list[float], k: int, probes: int = 8, where: Col
     return [(i, d) for d, i in best]
 
 
-def search_all(index: Index, queries: DataFrame, k: int, probes: int = 16, refine: int = REFINE) -> DataFrame:
+def search_all(index: Index, queries: DataFrame, k: int, probes: int | None = None, refine: int = REFINE) -> DataFrame:
     """For every query (query_id, embedding) its k nearest: query_id, chunk_id, distance, rank."""
-    model, d = index.model, index.model.centroids.shape[1]
+    model, d, probes = index.model, index.model.centroids.shape[1], probes or index.probes
     asked = queries.filter(usable()).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("vector"))
     asked = asked.withColumns({"q1": F.xxhash64("vector"), "q2": F.xxhash64(F.lit(1), "vector")})
     distinct = asked.groupBy("q1", "q2").agg(F.first("vector").alias("vector"))

@@ -8,7 +8,7 @@ from inkmill.operators import ann
 from inkmill.operators import retrieval as R
 from inkmill.operators import textindex as X
 from inkmill.plans.base import ORACLE_SQL, QUERIES, query
-from inkmill.plans.retrieval import COSINE, PHRASE, TERM, chunks_of, first_vector
+from inkmill.plans.retrieval import COSINE, PHRASE, TERM, TRI, chunks_of, first_vector
 from inkmill.session import shared_folder
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -69,9 +69,13 @@ def best_of_word(spark, tables):
     return X.search_words(index, "the", first=8).select("chunk_id", "rank_fts", F.round("density", 6).alias("density"))
 
 
-@query("retrieval_trigram_index", ORACLE_SQL.get("retrieval_fuzzy"))
+@query("retrieval_trigram_index", f"""WITH l AS (SELECT doc_id * 100000 + i AS chunk_id, string_split(text, chr(10))[i + 1] AS text FROM (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+t AS (SELECT chunk_id, {TRI.format('text')} AS a, {TRI.format(f"'{PHRASE}'")} AS b FROM l WHERE text <> ''), r AS (SELECT chunk_id, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS s FROM t)
+SELECT chunk_id, round(s, 6) AS score FROM r WHERE s > 0.25 ORDER BY s DESC, chunk_id LIMIT 20""")
 def by_trigrams(spark, tables):
-    index = X.build_trigrams(chunks_of(tables).select("chunk_id", "text"), shared_folder(spark))
+    """The most similar lines of all documents; few of them are compared in full."""
+    lines = tables("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    index = X.build_trigrams(lines.select((F.col("doc_id") * 100000 + F.col("i")).alias("chunk_id"), "text"), shared_folder(spark))
     return X.search_trigrams(index, PHRASE, 20).select("chunk_id", F.round("score", 6).alias("score"))
 
 
