@@ -41,11 +41,12 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike("[^ \\x09-\\x0D]"))
 
 
-def repeated_words(words: Column) -> Column:
+def repeated_words(words: Column, named: Callable[..., Column] = F.xxhash64, most: int = (1 << POSITION_BITS) - 1) -> Column:
     """How many words lie in a window of three words that is found twice or more.
 
     Every window's hash (upper bits) and position (lower bits) make one long; sorted, equal windows are
-    neighbours. Texts with over 2 ** 20 windows sort pairs of the full hash and the position instead.
+    neighbours. Texts with over `most` words sort pairs of the full hash and the position instead. Neighbours are
+    held against each other by their words; where two of one hash differ, the text's windows are sorted by words.
     """
 
     def covered(positions: Column) -> Column:
@@ -56,15 +57,31 @@ def repeated_words(words: Column) -> Column:
     def neighbours(sorted_: Column, same: Callable[[Column, Column], Column]) -> Column:
         return F.filter(sorted_, lambda x, i: F.coalesce(same(F.get(sorted_, i - 1), x), F.lit(False)) | F.coalesce(same(F.get(sorted_, i + 1), x), F.lit(False)))
 
+    def at(p: Column) -> list[Column]:
+        return [F.get(words, p.cast("int") + d) for d in range(3)]
+
+    def by_words() -> Column:
+        windows = F.sort_array(F.transform(starts, lambda i: F.struct(F.struct(*[w.alias(f"w{d}") for d, w in enumerate(at(i))]).alias("w"), i.cast("long").alias("p"))))
+        return let(windows, lambda s: let(F.sort_array(F.transform(neighbours(s, lambda a, b: a["w"] == b["w"]), lambda x: x["p"])), covered))
+
+    def by_hash(sorted_: Column, hash_of: Callable[[Column], Column], place: Callable[[Column], Column]) -> Column:
+        same = lambda a, b: hash_of(a) == hash_of(b)
+
+        def checked(near: Column) -> Column:
+            differ = lambda a, b: same(a, b) & (F.array(*at(place(a))) != F.array(*at(place(b))))
+            collided = F.size(F.filter(near, lambda x, i: F.coalesce(differ(F.get(near, i - 1), x), F.lit(False)))) > 0
+            return F.when(collided, by_words()).otherwise(let(F.sort_array(F.transform(near, place)), covered))
+
+        return let(sorted_, lambda s: let(neighbours(s, same), checked))
+
     starts = F.sequence(F.lit(0), F.size(words) - 3)
-    hashed = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    upper = lambda x: F.shiftrightunsigned(x, POSITION_BITS)
-    mask = (1 << POSITION_BITS) - 1
-    packed = F.sort_array(F.transform(starts, lambda i: F.shiftleft(F.shiftrightunsigned(hashed(i), POSITION_BITS), POSITION_BITS).bitwiseOR(i.cast("long"))))
-    short = let(packed, lambda s: let(F.sort_array(F.transform(neighbours(s, lambda a, b: upper(a) == upper(b)), lambda x: x.bitwiseAND(F.lit(mask).cast("long")))), covered))
+    hashed = lambda i: named(*at(i))
+    mask = F.lit((1 << POSITION_BITS) - 1).cast("long")
+    packed = F.sort_array(F.transform(starts, lambda i: hashed(i).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
+    short = by_hash(packed, lambda x: F.shiftrightunsigned(x, POSITION_BITS), lambda x: x.bitwiseAND(mask))
     pairs = F.sort_array(F.transform(starts, lambda i: F.struct(hashed(i).alias("h"), i.cast("long").alias("p"))))
-    long_ = let(pairs, lambda s: let(F.sort_array(F.transform(neighbours(s, lambda a, b: a["h"] == b["h"]), lambda x: x["p"])), covered))
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).when(F.size(words) <= mask, short).otherwise(long_)
+    long_ = by_hash(pairs, lambda x: x["h"], lambda x: x["p"])
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).when(F.size(words) <= most, short).otherwise(long_)
 
 
 @dataclass(frozen=True)

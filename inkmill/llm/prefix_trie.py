@@ -371,3 +371,35 @@ def op12(conversations: DataFrame) -> DataFrame:
     placed = numbered(labelled(conversations))
     c = F.col("conv_id")
     return summary(rebuilt(placed, c - c % 100, F.crc32(c.cast("string").cast("binary")) % (MOST_SHARED + 1)))
+
+
+#: Prefixes are whole sequences of labels here; a node's subtree are the nodes whose smallest member passes it.
+OP12_SQL = """
+WITH own AS (
+  SELECT conv_id, list({'k': md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 'n': length(coalesce(text, ''))} ORDER BY turn NULLS FIRST) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+dealt AS (
+  SELECT conv_id, t, xor(4294967295, list_reduce(
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda crc, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)), 4294967295::BIGINT)) % 6 AS h
+  FROM own),
+rebuilt AS (
+  SELECT a.conv_id AS c, list_concat(list_slice(coalesce(b.t, []), 1, h), list_slice(a.t, h + 1, len(a.t))) AS t
+  FROM dealt a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100),
+prefixes AS (
+  SELECT c, d, len(t) = d AS is_end, CASE WHEN d > 0 THEN t[d].n ELSE 0 END AS size,
+         array_to_string(list_transform(list_slice(t, 1, d), lambda x: x.k), '') AS name,
+         CASE WHEN d > 0 THEN array_to_string(list_transform(list_slice(t, 1, d - 1), lambda x: x.k), '') END AS up
+  FROM (SELECT c, t, unnest(range(len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT name, any_value(d) AS d, any_value(up) AS up, any_value(size) AS size, min(c) AS c, count(*) AS n,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE is_end), '')) AS ends
+  FROM prefixes GROUP BY name),
+kids AS (SELECT up AS name, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+sums AS (
+  SELECT p.name, sum((y.n - 1) * y.size) AS saved, count(*) FILTER (WHERE k.n IS NULL) AS leaves
+  FROM nodes y JOIN prefixes p ON p.c = y.c AND p.d <= y.d LEFT JOIN kids k ON k.name = y.name GROUP BY p.name)
+SELECT x.c AS conv_id, x.d AS depth, u.c AS parent_conv_id, x.n AS n_convs, coalesce(k.n, 0) AS n_children,
+       s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM nodes x JOIN sums s USING (name) LEFT JOIN kids k USING (name) LEFT JOIN nodes u ON u.name = x.up
+"""

@@ -32,7 +32,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op7_benchmark_decontamination": decontam.OP7_SQL,
     "op10_quality_rules": cascade.OP10_SQL,
-    "op11_ngram_lm": over_documents(ngram_lm.op11),
-    "op12_prefix_trie": lambda spark, sf_dir: prefix_trie.op12(table(spark, sf_dir, "conversations")),
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
     "op13_ranked_search": ranked_search.OP13_SQL,
 }

@@ -516,6 +516,19 @@ def test_op10_repeated_words(spark):
         assert got[i] == len({k + d for k, g in enumerate(grams) if grams.count(g) > 1 for d in range(3)})
 
 
+def test_op10_windows_of_one_hash(spark):
+    """Hashes that collide, in short texts and in the form for long ones, change no count."""
+    rng = random.Random(6)
+    rows = [(i, [rng.choice("abcde") for _ in range(rng.randrange(0, 40))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, w array<string>")
+    few = lambda *w: F.shiftleft(F.pmod(F.xxhash64(*w), F.lit(5)), 40)
+    counts = [cascade.repeated_words(F.col("w"), named, most).alias(f"n{k}") for k, (named, most) in enumerate([(few, 1 << 20), (few, 3), (F.xxhash64, 3)])]
+    for r in df.select("w", *counts).collect():
+        grams = [tuple(r.w[k : k + 3]) for k in range(len(r.w) - 2)]
+        want = len({k + d for k, g in enumerate(grams) if grams.count(g) > 1 for d in range(3)})
+        assert (r.n0, r.n1, r.n2) == (want,) * 3, r
+
+
 def test_op10_order_changes_no_verdict(docs):
     chain = cascade.ordered(docs)
     assert {r.name for r in chain} == {r.name for r in cascade.RULES}

@@ -76,6 +76,19 @@ def test_op12_table(spark):
     assert got(T.op12(df)) == plain([tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()])
 
 
+def test_op12_sql(spark):
+    """The SQL against the plain trie, on an own corpus and the supplied table."""
+    import duckdb
+    import pandas as pd
+
+    for rows in (corpus(5, 150)[:-5], [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]):
+        rows = [r for r in rows if r[0] not in (500, 700, 800)]
+        conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841
+        found = duckdb.sql(T.OP12_SQL)
+        assert found.columns == COLUMNS
+        assert sorted(tuple(-1 if x is None else x for x in r) for r in found.fetchall()) == plain(rows)
+
+
 def test_edges(spark):
     """Ties, repeated rows, clashing names, a very long text and empty tables."""
     df = spark.createDataFrame([(1, 1, "a", "b")] * 3 + [(2, 1, "a", "b"), (2, 1, "a", "b"), (2, None, "z", "long " * 400_000), (3, 1, "x", "y"), (3, 1, "y", "x")], SCHEMA)
