@@ -9,7 +9,8 @@ later rules are not computed. The order changes the work, never the verdict: a d
 rule rejects it.
 
 The sample has a documented bound, SAMPLE rows, and serves the order alone; the rules themselves read
-every row and the whole of its text.
+every row and the whole of its text. What a measure costs a word or a character is timed once a session on
+the first TIMED rows of a sample, on one core; typed costs only break ties.
 
 Defined results: a null text has no words, no lines and no symbols (and so fails the rule on length);
 repeated rows get equal verdicts; other columns pass through; an empty table gives an empty result.
@@ -17,6 +18,7 @@ repeated rows get equal verdicts; other columns pass through; an empty table giv
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -24,11 +26,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.common import let
+from inkmill.llm.common import discard, let, materialize
 
 SAMPLE = 2000  #: rows at most in the sample that the order is estimated on
+TIMED = 256  #: rows at most that a measure's cost is timed on
 POSITION_BITS = 20
-#: What measures cost, in nanoseconds a word or a character of the text, as measured on one core.
+#: What measures cost, in nanoseconds a word or a character of the text, as once measured; they break ties.
 WORD_CHARS_NS, REPEATS_NS, SYMBOLS_NS, LINES_NS, DUP_LINES_NS, SHOUTS_NS = 60.0, 750.0, 8.0, 6.0, 5.0, 3.0
 
 
@@ -86,7 +89,7 @@ def repeated_words(words: Column, named: Callable[..., Column] = F.xxhash64, mos
 
 @dataclass(frozen=True)
 class Measure:
-    """of: from a text and its words, which are split once; per_word and per_char: nanoseconds on one core, measured once."""
+    """of: from a text and its words, which are split once; per_word and per_char: nanoseconds on one core, as once measured."""
 
     of: Callable[[Column, Column], Column]
     per_word: float = 0.0
@@ -144,6 +147,32 @@ def sample_of(docs: DataFrame, text_col: str = "text", bound: int = SAMPLE) -> D
     return docs.select(F.col(text_col).alias("text")).sample(min(1.0, bound / total), seed=7).limit(bound)
 
 
+_timed: dict[tuple[str, str], float] = {}  #: by application and measure, so that each is timed once a session
+
+
+def timed(sample: DataFrame, names: list[str]) -> dict[str, float]:
+    """Nanoseconds that each measure takes a word (if it goes over words) or a character, beyond splitting the text; sample has one text column."""
+    app = sample.sparkSession.sparkContext.applicationId
+    if missing := [n for n in names if (app, n) not in _timed]:
+        held = materialize(sample.limit(TIMED).coalesce(1))
+        sizes = held.select(F.sum(F.size(words_of(F.col("text")))), F.sum(F.length("text"))).first()
+
+        def seconds(name: str) -> float:
+            job, runs = held.agg(F.max(on_text(F.col("text"), lambda m: m(name)))), []
+            for _ in range(2):  # the first run compiles
+                at = time.perf_counter()
+                job.collect()
+                runs.append(time.perf_counter() - at)
+            return min(runs)
+
+        base = seconds("n_words")
+        for n in missing:
+            units = sizes[0] if MEASURES[n].per_word else sizes[1]
+            _timed[app, n] = max(0.0, seconds(n) - base) * 1e9 / units if units else 0.0
+        discard(held)
+    return {n: _timed[app, n] for n in names}
+
+
 def ordered(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text") -> list[Rule]:
     """rules by estimated rejections per cost, most first; one pass over the sample, of which flags and sizes come to the driver."""
 
@@ -154,10 +183,16 @@ def ordered(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text")
     rows = sample.select(on_text(F.col("text"), seen).alias("s"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")).collect()
     rejects = np.array([r.s.rejects for r in rows], dtype=bool).reshape(-1, len(rules))
     words, chars = (np.array(x, dtype=float) for x in ([r.s.n_words for r in rows], [r.n_chars for r in rows]))
-    cost = np.array([RULE_NS + sum(MEASURES[n].per_word * words + MEASURES[n].per_char * chars for n in r.measures) for r in rules]).reshape(len(rules), -1)
+    unit = timed(sample, sorted({n for r in rules for n in r.measures if n != "n_words"}))
+
+    def cost_of(measure: str) -> np.ndarray:
+        return unit.get(measure, 0.0) * (words if MEASURES[measure].per_word else chars)
+
+    cost = np.array([RULE_NS + sum(map(cost_of, r.measures)) for r in rules]).reshape(len(rules), -1)
+    typed = [sum(MEASURES[n].per_word * words.sum() + MEASURES[n].per_char * chars.sum() for n in r.measures) for r in rules]
     left, rest, chain = np.ones(len(rows), dtype=bool), list(range(len(rules))), []
     while rest:
-        worth = lambda k: (rejects[left, k].sum() / cost[k, left].sum() if left.any() else 0.0, -cost[k].sum())
+        worth = lambda k: (rejects[left, k].sum() / cost[k, left].sum() if left.any() else 0.0, -typed[k])
         chain.append(max(rest, key=worth))
         rest.remove(chain[-1])
         left &= ~rejects[:, chain[-1]]

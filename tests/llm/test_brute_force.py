@@ -536,6 +536,16 @@ def test_op10_order_changes_no_verdict(docs):
     assert verdict(chain) == verdict(cascade.RULES[::-1])
 
 
+def test_op10_costs_are_timed(spark, docs, monkeypatch):
+    """Windows of words cost more a word than their lengths do; a session times each measure once."""
+    monkeypatch.setattr(cascade, "_timed", {})
+    unit = cascade.timed(docs.select("text"), ["word_chars", "n_repeat_words"])
+    assert unit["n_repeat_words"] > unit["word_chars"] >= 0
+    assert cascade.timed(docs.select("text").limit(0), list(unit)) == unit
+    monkeypatch.setattr(cascade, "_timed", {})
+    assert cascade.timed(docs.select("text").limit(0), ["n_symbols"]) == {"n_symbols": 0.0}
+
+
 def test_op10_stops_at_the_first_rejection(spark):
     """A rule behind one that rejects is not evaluated: this one would fail the query."""
     trap = cascade.Rule("trap", (), lambda m: F.raise_error(F.lit("evaluated")).isNotNull())
