@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-
-#: Used only by sessions within one process (local[...]) that name no shared folder, as in tests.
-LOCAL_FALLBACK = "/tmp/checkpoints"
+_own: dict[str, str] = {}  #: folders of sessions within this process that name none, by application
 
 
 def build(master: str = "local[*]", name: str = "inkmill", **conf: str) -> SparkSession:
-    """A session for tests and benchmarks; on a cluster the caller brings its own."""
+    """A session within one process for tests and benchmarks; on a cluster the caller brings its own, with spark.checkpoint.dir set."""
+    if master.split("[")[0] != "local" and "spark.checkpoint.dir" not in conf:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     builder = (
         SparkSession.builder.master(master)
         .appName(name)
@@ -23,6 +23,8 @@ def build(master: str = "local[*]", name: str = "inkmill", **conf: str) -> Spark
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if "spark.checkpoint.dir" not in conf:
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -39,9 +41,11 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = LOCAL_FALLBACK
+        # One process, whose owner set nothing: a folder of its own.
+        base = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
+        _own[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/inkmill/{uuid.uuid4().hex}"
 
 

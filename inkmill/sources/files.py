@@ -1,13 +1,16 @@
-"""Files as tables: digests, kinds by content, and the text of text files and of word-processor documents."""
+"""Files as tables (digests, kinds by content, the text of text files and of word-processor documents), and tables as files."""
 
 from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -98,3 +101,44 @@ def page_folders(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(f"{path}/*/*.md", wholetext=True).withColumn("path", F.input_file_name())
     stem = F.regexp_extract("path", r"([^/]+)/([^/]+)\.md$", 1)
     return rows.select(stem.alias("stem"), F.col("value").alias("markdown"), "path").filter(F.regexp_extract("path", r"([^/]+)\.md$", 1) == F.col("stem")).drop("path")
+
+
+def page_metadata(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """page_folders() with the metadata beside each text, <stem>/<stem>_metadata.json: the JSON object ("{}" without one that can be read), or columns of a schema in its place."""
+    rows = spark.read.option("pathGlobFilter", "*_metadata.json").text(f"{path}/*", wholetext=True).withColumn("path", F.input_file_name())
+    stem = F.regexp_extract("path", r"([^/]+)/([^/]+)_metadata\.json$", 1)
+    rows = rows.filter(F.regexp_extract("path", r"([^/]+)_metadata\.json$", 1) == stem).select(stem.alias("stem"), F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("json"))
+    rows = rows.filter(F.col("json").startswith("{") & F.try_parse_json("json").isNotNull())
+    joined = page_folders(spark, path).join(rows, "stem", "left").withColumn("json", F.coalesce("json", F.lit("{}")))
+    return joined.withColumn("metadata", F.from_json("json", schema)).select("stem", "markdown", "metadata.*") if schema else joined.withColumnRenamed("json", "metadata")
+
+
+def write_files(files: DataFrame, root: str, folder: str = "folder", name: str = "name", content: str = "content") -> DataFrame:
+    """Writes each row's bytes to <root>/<folder>/<name>, in any file system that Arrow can open; a table of folder, name, path and size.
+
+    Work is done as rows are asked for, by the tasks that hold them. A file is written under a name of its own and then
+    moved, so that a task that runs twice leaves one whole file; of rows with one folder and name any stays. Rows with a
+    null in any of the three, or with a name or folder that would leave its place, are left out.
+    """
+
+    def plain(c: str) -> Column:
+        return (F.col(c).cast("string") != "") & ~F.col(c).cast("string").rlike(r"[/\\]") & ~F.col(c).cast("string").isin(".", "..")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            paths = []
+            for at, called, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                place, part = f"{base}/{at}/{called}", f"{base}/{at}/.{uuid.uuid4().hex}"
+                system.create_dir(f"{base}/{at}", recursive=True)
+                with system.open_output_stream(part) as out:
+                    out.write(data)
+                system.move(part, place)
+                paths.append(f"{root}/{at}/{called}")
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(paths, pa.string()), pa.array([len(x) for x in batch.column(2).to_pylist()], pa.int64())], names=["folder", "name", "path", "size"])
+
+    rows = files.filter(F.col(content).isNotNull() & plain(folder) & plain(name))
+    rows = rows.select(F.col(folder).cast("string").alias("folder"), F.col(name).alias("name"), F.col(content).alias("content"))
+    return rows.mapInArrow(write, "folder string, name string, path string, size long")
