@@ -13,9 +13,10 @@ document, different ones different pseudonyms, and who holds the key can undo it
 | ip | four numbers up to 255 | all 32 bits |
 | date | a day of the calendar, as y-m-d, d/m/y or d.m.y | days within its 400 years |
 | email | an address | letters and digits before the last dot, each within its kind |
-| secret | access keys; a value after password, token, secret or key, in any case and with any prefix (SECRET_KEY, accessToken), and "="; after ":" a value in quotes, with a digit or at its line's end, as words of prose follow it too | letters and digits, each within its kind |
+| secret | access keys and tokens by their first letters (AKIA, ghp_ and its kin); a value with a digit after "Bearer "; a value after password, pwd, passphrase, token, secret or key, in any case and with any prefix (SECRET_KEY, accessToken), and "="; after ":" a value in quotes, with a digit or at its line's end, as words of prose follow it too | letters and digits, each within its kind |
 
-What no check accepts stays as it is, and so does all other text. Text of letters and digits is
+What no check accepts stays as it is, and so does all other text: days written month first (which one, the
+format does not tell), ten digits in one run, and addresses of the longer kind (IPv6) among it. Text of letters and digits is
 permuted in two halves, each character moved within its own kind, so punctuation stays in place.
 
 Defined results: a null text stays null, with no values; repeated rows and equal values agree; an empty
@@ -35,7 +36,7 @@ LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTU
 #: Patterns of the kinds, in the order in which they are tried.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"\bAKIA[A-Z0-9]{16}\b|(?:(?<![A-Za-z0-9])(?i:password|passwd|token|secret|(?:api|access|secret|private)[_-]?key|key)|(?<=[a-z0-9])(?:Password|Token|Secret|Key))[\"']? ?(?:= ?[\"']?|: ?(?:[\"']|(?=[A-Za-z_/+-]*\d)|(?=[A-Za-z_/+-]+[ \t\r]*(?:\n|$))))[A-Za-z0-9_/+-]{8,}",
+    "secret": r"\bAKIA[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|(?<![A-Za-z0-9])(?i:bearer) (?=[A-Za-z._~+/-]*\d)[A-Za-z0-9._~+/-]{16,}|(?:(?<![A-Za-z0-9])(?i:password|passwd|passphrase|pwd|token|secret|(?:api|access|secret|private)[_-]?key|key)|(?<=[a-z0-9])(?:Password|Token|Secret|Key))[\"']? ?(?:= ?[\"']?|: ?(?:[\"']|(?=[A-Za-z_/+-]*\d)|(?=[A-Za-z_/+-]+[ \t\r]*(?:\n|$))))[A-Za-z0-9_/+-]{8,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)",
@@ -45,7 +46,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every pattern needs one of these, and none goes beyond a line: of a text only lines with one are searched.
-NEEDED = "[@=:0-9]|AKIA"
+NEEDED = "[@=:0-9]|AKIA|gh[pousr]_"
 CYCLE = 146_097  # days in 400 years, 27 * 5411
 NANP = r"(?:\+1[ .-]?)?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}"
 
@@ -208,9 +209,10 @@ def email(m: Column, key: str, inverse: bool) -> Column:
 def secret(m: Column, key: str, inverse: bool) -> Column:
     def run(x: Column) -> Column:
         mixed = permute_text(x["rest"], f"{key}secret", [LOWER, UPPER, DIGITS], inverse)
-        return F.concat(x["start"], F.when(x["rest"].rlike("^[0-9a-f]+$"), permute_text(x["rest"], f"{key}hex", [HEX], inverse)).otherwise(mixed))
+        # After "bearer" digits tell a token from prose, so they stay digits.
+        return F.concat(x["start"], F.when(x["rest"].rlike("^[0-9a-f]+$") & ~x["start"].rlike("^(?i:bearer) $"), permute_text(x["rest"], f"{key}hex", [HEX], inverse)).otherwise(mixed))
 
-    start = F.regexp_extract(m, r"^(?:AKIA|[\w-]+[\"']? ?[=:] ?[\"']?)", 0)
+    start = F.regexp_extract(m, r"^(?:AKIA|gh[pousr]_|(?i:bearer) |[\w-]+[\"']? ?[=:] ?[\"']?)", 0)
     return let(F.struct(start.alias("start"), F.substring(m, F.length(start) + 1, F.length(m)).alias("rest")), run)
 
 

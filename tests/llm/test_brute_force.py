@@ -506,6 +506,27 @@ def test_op9_held_out_accuracy():
     assert np.mean(np.array(guess) == np.array(y)) > 0.94
 
 
+def test_op5_tokens_and_bearers(spark):
+    """Kinds of secrets that are known by how they begin: changed in their letters and digits alone, linked, undone by the key."""
+    rng = random.Random(12)
+    value = lambda n, letters="abcdefXYZ0123456789": "".join(rng.choice(letters) for _ in range(n - 1)) + "7"
+    secrets = ["ghp_" + value(36), "gho_" + "q" * 40, "Authorization: Bearer " + value(30) + "." + value(20), "bearer " + value(16, "0123456789abcdef"), "pwd=hunter2xx", 'passphrase: "' + value(12) + '"', "AKIA" + "ABCDEFGH12345678"]
+    clean = ["the bearer of this long-winded-letter is free", "Bearer bonds yield more", "ghp_short", "keyword: nothing here", "the pwd command prints"]
+    rows = [(i, f"see {x} now\nand {x}\n") for i, x in enumerate(secrets + clean)]
+    docs = spark.createDataFrame([*rows, (99, None)], "doc_id long, text string")
+    kind = lambda t: "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in t)
+    out = pii.pseudonymize(docs, "k")
+    got = {r.doc_id: r.text for r in out.collect()}
+    for i, t in rows:
+        if i < len(secrets):
+            first, second = got[i].split("\n")[:2]
+            assert got[i] != t and first[4:-4] == second[4:], t
+            assert kind(got[i]) == kind(t) or "0123456789abcdef" in t
+        else:
+            assert got[i] == t
+    assert got[99] is None and {r.doc_id: r.text for r in pii.pseudonymize(out, "k", inverse=True).collect()} == dict([*rows, (99, None)])
+
+
 def test_op10_repeated_words(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 30)))) for i in range(200)]
