@@ -180,4 +180,7 @@ def l2_normalize(v: Column) -> Column:
 
 
 def vector_literal(v: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.7f", F.bround(x.cast("double"), 7))), ","), F.lit("]"))
+    # Rounding to even loses the sign of what becomes zero.
+    sign = lambda x: F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    digits = lambda x: F.format_string("%.7f", F.abs(F.bround(x.cast("double"), 7)))
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.concat(sign(x), digits(x))), ","), F.lit("]"))

@@ -234,3 +234,19 @@ def test_finalize_without_such_a_revision(spark):
     revisions = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 1, True)], "document_id int, revision_no int, is_final boolean")
     chosen = spark.createDataFrame([(1, 9, 1), (2, None, 1)], "document_id int, revision_no int, current_no int")
     assert {(r.document_id, r.revision_no): r.is_final for r in M.finalize(revisions, chosen).collect()} == {(1, 1): True, (1, 2): False, (2, 1): True}
+
+
+def test_vector_literals_keep_the_sign_of_zero(spark):
+    from inkmill.functions import text as T
+
+    v = [-1e-9, 0.0, -0.5, 0.00390625, -0.01171875, 1e-9, 12.25]
+    row = spark.createDataFrame([(v,)], "v array<float>").select(T.vector_literal(F.col("v"))).first()[0]
+    assert row == "[" + ",".join(f"{x:.7f}" for x in v) + "]"
+
+
+def test_hints_are_dropped_before_texts_that_only_resemble(spark):
+    rows = [(1, 1, "apple pie", [1.0, 1.0], "en", "letter"), (2, 2, "apples", [2.0, 1.0], "en", "letter"), (3, 3, "plum", [3.0, 1.0], "en", "letter")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, text string, embedding array<double>, lang string, doc_type string")
+    found = V.search_with_hints(chunks, "apple", [1.0, 1.0], lang="none such").collect()
+    assert [(r.chunk_id, r.rank_vec, r.rank_fts) for r in found] == [(r.chunk_id, r.rank_vec, r.rank_fts) for r in V.hybrid_search(chunks, "apple", [1.0, 1.0]).collect()]
+    assert found[0].rank_vec == 1 and len(found) == 3
