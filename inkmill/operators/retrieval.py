@@ -222,11 +222,11 @@ def fuzzy(chunks: DataFrame, query: str, top_k: int = TOP_K) -> DataFrame:
     return found.select("chunk_id", F.lit(None).cast("int").alias("rank_vec"), F.lit(None).cast("int").alias("rank_fts"), "score")
 
 
-def hybrid_search(chunks: DataFrame, query: str | None, vector: list[float] | None, top_k: int = TOP_K, doc_ids: list | DataFrame | None = None, doc_type: str | None = None, lang: str | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, query: str | None, vector: list[float] | None, top_k: int = TOP_K, doc_ids: list | DataFrame | None = None, doc_type: str | None = None, lang: str | None = None, resembling: bool = True) -> DataFrame:
     """The best chunks with score, rank_vec and rank_fts.
 
     A blank query and an empty scope find nothing. Without a vector, and where neither channel finds
-    anything, the trigram fallback answers; it keeps the scope and ignores doc_type and lang.
+    anything, the trigram fallback answers unless `resembling` is off; it keeps the scope and ignores doc_type and lang.
     """
     top_k = max(1, min(TOP_K_MOST, top_k))
     inside = scoped(chunks, doc_ids, doc_type, lang)
@@ -238,17 +238,21 @@ def hybrid_search(chunks: DataFrame, query: str | None, vector: list[float] | No
         found = fuse(dense(inside, vector), lexical(inside, query)).orderBy(F.desc("score"), "chunk_id").limit(top_k)
         # At most TOP_K_MOST rows of three numbers: fetched once, so that neither channel runs again below.
         rows = found.select("chunk_id", "rank_vec", "rank_fts", "score").collect()
-        found = chunks.sparkSession.createDataFrame(rows, found.schema) if rows else fuzzy(scoped(chunks, doc_ids), query, top_k)
+        found = chunks.sparkSession.createDataFrame(rows, found.schema) if rows else fuzzy(scoped(chunks, doc_ids) if resembling else chunks.limit(0), query, top_k)
     # Texts are fetched for the few ids found only.
     return chunks.join(F.broadcast(found), "chunk_id").orderBy(F.desc("score"), "chunk_id")
 
 
 def search_with_hints(chunks: DataFrame, query: str, vector: list[float] | None, top_k: int = TOP_K, doc_ids: list | None = None, doc_type: str | None = None, lang: str | None = None) -> DataFrame:
-    """doc_type and lang are hints: if they leave nothing, the search runs again without them, in the same scope."""
-    found = hybrid_search(chunks, query, vector, top_k, doc_ids, doc_type, lang)
-    if (doc_type or lang) and found.isEmpty():
-        return hybrid_search(chunks, query, vector, top_k, doc_ids)
-    return found
+    """doc_type and lang are hints: if they leave nothing, the search runs again without them, in the same scope.
+
+    The fallback by trigrams ignores hints, so it comes last: texts that only resemble the query do not stand for what the hints left.
+    """
+    if doc_type or lang:
+        found = hybrid_search(chunks, query, vector, top_k, doc_ids, doc_type, lang, resembling=False)
+        if not found.isEmpty():
+            return found
+    return hybrid_search(chunks, query, vector, top_k, doc_ids)
 
 
 def format_hits(hits: DataFrame, max_chars: int = 1200) -> DataFrame:
