@@ -42,3 +42,17 @@ def test_revisions_replace_their_own_rows_only(spark):
     # What fails leaves its rows as they are.
     kept, runs = index_revisions(spark.createDataFrame([(2, 20, "tiny")], schema), meta, embed, index)
     assert kept.count() == len(rows) and runs.first().status == "failed"
+
+
+def test_pages_that_fit_are_not_measured_by_place(monkeypatch):
+    """Only a page that is cut needs the places of what counts; before, all bodies and carries had them."""
+    from inkmill.operators import chunking as C
+
+    text = "\f".join(["A line of some words, 12 of them. " * 9, "سطر من كلمات ٣٤ " * 20, "short", "word " * 300] * 5)
+    want = C.chunk(text)
+    made = []
+    monkeypatch.setattr(C, "Sizes", lambda t, f=C.Sizes: made.append(t) or f(t))
+    assert C.chunk(text) == want and len(want) > 10 and not made
+    size = C.tokens  # the estimate itself, by its formula
+    assert size("abc 12 سط") == int(2 / 2.7 + 5 / 4.0 + 2 / 2.0) + 1 and size("") == 0
+    assert C.tail("one two 33 four", 3) == "33 four" and C.tail("one", 50) == "one"
