@@ -24,6 +24,7 @@ from inkmill.functions.text import ar_normalize
 RRF_K, VECTOR_WEIGHT, LEXICAL_WEIGHT, CANDIDATES, SIMILARITY = 60, 1.2, 1.0, 80, 0.25
 TOP_K, TOP_K_MOST = 8, 50
 QUERY_BLOCK = 2048  #: query vectors in one pass of knn()
+CHUNK_BLOCK = 1024  #: chunks that a task holds against them at a time
 
 
 def cosine_distance(embedding: Column, query: list[float]) -> Column:
@@ -51,6 +52,20 @@ def dense(chunks: DataFrame, query: list[float], candidates: int = CANDIDATES) -
     return near.withColumn("rank_vec", F.row_number().over(Window.orderBy("distance", "chunk_id")))  # at most `candidates` rows
 
 
+def nearest(distances: np.ndarray, known: np.ndarray, new: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least distances of each row and their ids, equal ones by id; ids of the first columns differ by row (known), the others' do not (new)."""
+    k = min(k, distances.shape[1])
+    # Only what is not beyond the k-th least is put in order, so nothing of the size of all distances is sorted or numbered.
+    row, column = np.nonzero(distances <= np.partition(distances, k - 1, axis=1)[:, k - 1 : k])
+    d, old, n = distances[row, column], column < known.shape[1], known.shape[1]
+    i = np.empty(len(row), dtype=np.int64)
+    i[old], i[~old] = known[row[old], column[old]], new[column[~old] - n]
+    order = np.lexsort((i, d, row))
+    first = np.searchsorted(row, np.arange(len(distances)))  # rows are in order before and after
+    taken = order[first[:, None] + np.arange(k)]
+    return d[taken], i[taken]
+
+
 def knn(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """For every query (query_id, embedding) its k nearest chunks by cosine: query_id, chunk_id, distance, rank.
 
@@ -66,16 +81,13 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), dtype=np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for whole, at in ((b, at) for b in batches for at in range(0, b.num_rows, CHUNK_BLOCK)):
+                b = whole.slice(at, CHUNK_BLOCK)
                 vectors = b.column(1)
                 x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)  # the usable ones are of one length
                 d = 1 - matrix @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                all_d = np.concatenate([best_d, d], axis=1)
-                all_i = np.concatenate([best_i, np.broadcast_to(b.column(0).to_numpy(), d.shape)], axis=1)
-                order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+                d[np.isnan(d)] = np.inf
+                best_d, best_i = nearest(np.concatenate([best_d, d], axis=1), best_i, b.column(0).to_numpy(), k)
             q, n = best_d.shape
             yield pa.record_batch([pa.array(np.repeat(np.array(ids), n), pa.int64()), pa.array(best_i.reshape(-1)), pa.array(best_d.reshape(-1))], names=["query_id", "chunk_id", "distance"])
 

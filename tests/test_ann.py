@@ -96,3 +96,18 @@ def test_copies_ties_and_odd_vectors(spark, tmp_path, monkeypatch):
     assert len(set(got[3]) & set(full)) >= 9
     with pytest.raises(ValueError):
         ann.build(df.filter("chunk_id > 299"), str(tmp_path / "none"))
+
+
+def test_nearest_orders_only_what_may_stay(monkeypatch):
+    rng = np.random.default_rng(3)
+    all_d = rng.integers(0, 9, (40, 300)).astype(float)  # many equal distances
+    ids = rng.permutation(300)
+    want = [[(d, i) for d, i in sorted(zip(row, ids))[:7]] for row in all_d]
+    sizes = []
+    monkeypatch.setattr(R.np, "lexsort", lambda keys, f=np.lexsort: sizes.append(len(keys[0])) or f(keys))
+    d, i = R.nearest(all_d[:, :128], np.zeros((40, 0), np.int64), ids[:128], 7)
+    d, i = R.nearest(np.concatenate([d, all_d[:, 128:]], axis=1), i, ids[128:], 7)
+    assert [list(zip(*x)) for x in zip(d.tolist(), i.tolist())] == want
+    assert max(sizes) < 40 * 128
+    few, _ = R.nearest(all_d[:, :3], np.zeros((40, 0), np.int64), ids[:3], 7)
+    assert few.shape == (40, 3)
