@@ -29,6 +29,7 @@ from inkmill.operators import retrieval as R
 BLOCK = 128  #: documents of a block, as a mean
 SHARDS = 64  #: partitions of the table of words
 FIRST = 32  #: blocks scored before any is passed over
+LETTERS = 40_000_000  #: of the texts that one task indexes by words; a quarter by trigrams
 PLACES_MOST = 1 << 20  #: places of a word in one document that a row holds; more are further rows
 
 
@@ -37,6 +38,16 @@ def block_of(n: int) -> Column:
     return F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n // BLOCK)))).alias("block")
 
 
+def by_block(rows: DataFrame, letters: int) -> DataFrame:
+    """rows (text and more) with their block, by whole blocks in one task, so that what is grouped by block and more needs no further shuffle.
+
+    So texts move, and not their words with a key each. A task has some `letters` of text, few enough to sort its words without a spill.
+    """
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // letters))
+    return rows.withColumn("block", block_of(n)).repartition(tasks, "block")
+
+
 class Words:
     """path/places: shard, word, block, most, chunk_ids, places; path/documents: chunk_id and the kept columns."""
 
@@ -57,14 +68,13 @@ def shard_of_word() -> Column:
 def build_words(chunks: DataFrame, path: str, keep: list[str] = ()) -> Words:
     spark = chunks.sparkSession
     rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text", *keep)
-    n = rows.count()
-    words = rows.select("chunk_id", block_of(n), F.posexplode(R.tokens(F.col("text"))).alias("place", "word"))
+    words = by_block(rows.select("chunk_id", "text"), LETTERS).select("chunk_id", "block", F.posexplode(R.tokens(F.col("text"))).alias("place", "word"))
     # Places of one word in one document come in rows of bounded size, whatever the document's length.
     places = words.groupBy("word", "block", "chunk_id", F.floor(F.col("place") / PLACES_MOST).alias("part")).agg(F.array_sort(F.collect_list("place")).alias("places"))
     lists = places.groupBy("word", "block").agg(F.collect_list(F.struct("chunk_id", "places")).alias("held"), F.max(F.size("places")).alias("longest"), F.count("*").alias("n"), F.max("part").alias("parts"))
     most = (F.col("longest") * (F.col("parts") + 1)).alias("most")
     out = lists.select(shard_of_word(), "word", "block", most, F.col("held.chunk_id").alias("chunk_ids"), F.col("held.places").alias("places"))
-    out.hint("rebalance", "shard").sortWithinPartitions("shard", "word", "block").write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/places")
+    out.sortWithinPartitions("shard", "word", "block").write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/places")
     rows.drop("text").write.parquet(f"{path}/documents")
     return Words(spark, path)
 
@@ -169,14 +179,15 @@ def size_class(size: Column) -> Column:
 
 
 def build_trigrams(chunks: DataFrame, path: str, keep: list[str] = ()) -> Trigrams:
-    n = chunks.count()
-    sets = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), *keep, R.trigrams(ar_normalize(F.col("text"))).alias("trigrams"))
+    rows = by_block(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), *keep, "text"), LETTERS // 4)
+    sets = rows.select("chunk_id", *keep, R.trigrams(ar_normalize(F.col("text"))).alias("trigrams"), "block")
     sets = sets.withColumn("size", F.size("trigrams")).filter("size > 0").withColumn("class", size_class(F.col("size")))
-    sets.hint("rebalance", "class").sortWithinPartitions("class", "chunk_id").write.partitionBy("class").option("compression", "zstd").parquet(f"{path}/sets")
-    sets.limit(0).write.parquet(f"{path}/columns")  # the schema, for tables without rows
-    rows = chunks.sparkSession.read.schema(sets.schema).parquet(f"{path}/sets").select("class", "chunk_id", block_of(n), F.explode("trigrams").alias("trigram"))
-    lists = rows.groupBy("class", "trigram", "block").agg(F.collect_list("chunk_id").alias("chunk_ids"))
-    lists.hint("rebalance", "class").sortWithinPartitions("class", "trigram").write.partitionBy("class").option("compression", "zstd").parquet(f"{path}/lists")
+    stored = sets.drop("block")
+    stored.sortWithinPartitions("class", "chunk_id").write.partitionBy("class").option("compression", "zstd").parquet(f"{path}/sets")
+    stored.limit(0).write.parquet(f"{path}/columns")  # the schema, for tables without rows
+    # The sets are made once more from the texts, as those that are stored lie by class and would have to be shuffled by trigram.
+    lists = sets.select("class", "chunk_id", "block", F.explode("trigrams").alias("trigram")).groupBy("class", "trigram", "block").agg(F.collect_list("chunk_id").alias("chunk_ids"))
+    lists.sortWithinPartitions("class", "trigram").write.partitionBy("class").option("compression", "zstd").parquet(f"{path}/lists")
     held = chunks.sparkSession.read.schema(lists.schema).parquet(f"{path}/lists")
     held.groupBy("trigram").agg(F.sum(F.size("chunk_ids")).alias("n")).sort("trigram").write.parquet(f"{path}/counts")
     return Trigrams(chunks.sparkSession, path)

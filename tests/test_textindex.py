@@ -100,3 +100,12 @@ def test_empty(spark, tmp_path):
     none = spark.createDataFrame([], "chunk_id long, text string, lang string")
     assert X.search_words(X.build_words(none, str(tmp_path / "w")), "a").count() == 0
     assert X.search_trigrams(X.build_trigrams(none, str(tmp_path / "t")), "abc").count() == 0
+
+
+def test_indexes_shuffle_texts_and_not_their_words(spark):
+    """By block every grouping is done where the texts went."""
+    docs = spark.range(2000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+    rows = X.by_block(docs, 1000)
+    assert rows.rdd.getNumPartitions() >= 12  # some 16,000 letters
+    words = rows.select("block", F.explode(F.split("text", " ")).alias("word")).groupBy("word", "block").count()
+    assert words._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
