@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import bisect
 import itertools
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -29,8 +30,8 @@ def stateful(events: DataFrame, key: str, processor: StatefulProcessor, schema:
     return events.groupBy(key).transformWithState(processor, schema, "append", time)
 
 
-def derived(statuses: list[str]) -> str:
-    """A batch's status from its runs' (see operators.ranking.batch_status)."""
+def derived(statuses: Collection[str]) -> str:
+    """A batch's status from its runs' distinct statuses (see operators.ranking.batch_status)."""
     if not statuses:
         return "queued"
     succeeded = "succeeded" in statuses
@@ -44,6 +45,7 @@ class Lifecycle(StatefulProcessor):
 
     In: key, seq, kind ("transition" or "run"), name (the state asked for, or the run), status (of the run), force. Out, for
     each row: from_state, to_state, verdict (no_op, allowed, forced, invalid; null where a run asks for nothing), batch_status and counts so far.
+    A document's runs are read from the state once a batch and those that changed written once, as each access is a message to the JVM.
     """
 
     def __init__(self, start: str, transitions: dict[str, list[str]] = TRANSITIONS, running: str = "ocr_running", partial: str = "ocr_partial", done: str = "ocr_done", failed: str = "ocr_failed"):
@@ -57,11 +59,21 @@ class Lifecycle(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.document.get() if self.document.exists() else (self.start, 0, 0, 0)
         now, counts = held[0], list(held[1:])
+        runs, statuses, changed = None, Counter(), set()
         for r in sorted(rows, key=lambda r: r.seq):
             wanted, batch = r.name, None
             if r.kind == "run":
-                self.runs.updateValue((r.name,), (r.status,))
-                batch = derived([s[0] for s in self.runs.values()])
+                if runs is None:
+                    runs = {k[0]: v[0] for k, v in self.runs.iterator()}
+                    statuses.update(runs.values())
+                if r.name in runs:
+                    statuses[runs[r.name]] -= 1
+                    if not statuses[runs[r.name]]:
+                        del statuses[runs[r.name]]
+                runs[r.name] = r.status
+                statuses[r.status] += 1
+                changed.add(r.name)
+                batch = derived(statuses)
                 wanted = self.targets.get(batch)
                 if batch == "partial" and now != self.running:
                     wanted = None  # only the first success moves a running batch
@@ -73,6 +85,8 @@ class Lifecycle(StatefulProcessor):
                 if verdict in ("allowed", "forced"):
                     now = wanted
             yield Row(key=key[0], seq=r.seq, from_state=before, to_state=wanted, state=now, verdict=verdict, batch_status=batch, applied=counts[0], ignored=counts[1], refused=counts[2])
+        for name in changed:
+            self.runs.updateValue((name,), (runs[name],))
         self.document.update((now, *counts))
 
 

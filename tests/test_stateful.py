@@ -3,6 +3,7 @@
 import random
 import time
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from inkmill.operators import lifecycle as M
@@ -46,6 +47,67 @@ def test_batch_progress_moves_the_document(spark, tmp_path):
     ]
 
 
+class Kept(dict):
+    """States in memory that count how often they are asked."""
+
+    asked = 0
+
+    def getValueState(self, name, *schemas):
+        return self.setdefault(name, Kept())
+
+    getMapState = getValueState
+
+    def _ask(self):
+        self.asked += 1
+
+    def exists(self):
+        self._ask()
+        return bool(self)
+
+    def get(self):
+        self._ask()
+        return self["value"]
+
+    def update(self, value):
+        self._ask()
+        self["value"] = value
+
+    def updateValue(self, key, value):
+        self._ask()
+        self[key] = value
+
+    def iterator(self):
+        self._ask()
+        return iter(list(self.items()))
+
+    def values(self):
+        self._ask()
+        return list(super().values())
+
+
+def test_state_is_asked_by_batch_and_not_by_row():
+    """With many rows of a document in one batch the runs are read once and each is written once; rows come out as one batch a row gives them."""
+    rng = random.Random(7)
+    kinds = [("run", f"r{rng.randrange(4)}", rng.choice(["queued", "running", "succeeded", "failed", "cancelled", None])) if rng.random() < 0.8 else ("transition", "ocr_running", None) for _ in range(500)]
+    rows = [Row(seq=i, kind=k, name=n, status=s, force=False) for i, (k, n, s) in enumerate(kinds)]
+
+    def given(parts):
+        states, p, out = Kept(), S.Lifecycle("ocr_running"), []
+        p.init(states)
+        for part in parts:
+            out += p.handleInputRows((1,), part, None)
+        return out, states
+
+    (whole, states), (single, others) = given([rows]), given([[r] for r in rows])
+    assert whole == single and states["runs"] == others["runs"]
+    latest, want = {}, []
+    for kind, name, status in kinds:
+        latest |= {name: status} if kind == "run" else {}
+        want.append(S.derived(list(latest.values())) if kind == "run" else None)
+    assert [r.batch_status for r in whole] == want
+    assert states["runs"].asked <= 5 and states["document"].asked <= 3
+
+
 def test_heartbeats_come_in_pauses_only(spark, tmp_path):
     """Gaps shorter than the interval give none; longer ones do, and each event puts the next one off."""
     schema = "user_id long, seq long, frame string, ts timestamp"
