@@ -22,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkmill.session import written as kept
+
 SAMPLE_VALUES = 4_000_000
 CELLS_MOST = 4096
 SUBSPACE = 4  #: numbers coded by one byte
 CHUNK = 20_000  #: rows of a cell, and queries that probe it, that meet in one task
+ROWS = 2_000_000  #: candidates that one task orders, as a mean
+VALUES = 4_000_000  #: numbers that a task holds of queries with their cells, or of products
 REFINE = 8  #: candidates for each answer that are ranked exactly
 TRIALS, RECALL, TRIAL_K = 128, 0.98, 10
 
@@ -218,29 +222,30 @@ def search(index: Index, query: list[float], k: int, probes: int | None = None,
     return [(i, d) for d, i in best]
 
 
-def search_all(index: Index, queries: DataFrame, k: int, probes: int | None = None, refine: int = REFINE) -> DataFrame:
-    """For every query (query_id, embedding) its k nearest: query_id, chunk_id, distance, rank."""
-    model, d, probes = index.model, index.model.centroids.shape[1], probes or index.probes
-    asked = queries.filter(usable()).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("vector"))
-    asked = asked.withColumns({"q1": F.xxhash64("vector"), "q2": F.xxhash64(F.lit(1), "vector")})
-    distinct = asked.groupBy("q1", "q2").agg(F.first("vector").alias("vector"))
+def met(index: Index, asked: DataFrame, start: int, stop: int, most: int, tasks: int) -> DataFrame:
+    """The best rows, `most` at most in each part of a cell, for queries (q1, q2, vector, bound) in their nearest cells from `start` to `stop`: q1, q2, id, close.
 
-    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                near = model.probes(units(b.column("vector"), d), probes)
-                many = np.repeat(np.arange(b.num_rows), near.shape[1])
-                yield pa.record_batch([*(b.column(c).take(pa.array(many)) for c in ("q1", "q2", "vector")), pa.array(near.reshape(-1).astype(np.int32))], names=["q1", "q2", "vector", "cell"])
+    Rows that are less close than the query's bound are left out. The result is dealt by query to so many tasks.
+    """
+    model, d = index.model, index.model.centroids.shape[1]
 
-    pairs = distinct.mapInArrow(cells_of, "q1 long, q2 long, vector array<float>, cell int")
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, VALUES // ((stop - start) * d))  # a query's vector goes with each cell, so few queries are taken at a time
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                b = whole.slice(i, step)
+                near = model.probes(units(b.column("vector"), d), stop)[:, start:]
+                many = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+                yield pa.record_batch([*(b.column(c).take(many) for c in ("q1", "q2", "vector", "bound")), pa.array(near.reshape(-1).astype(np.int32))], names=["q1", "q2", "vector", "bound", "cell"])
+
+    pairs = asked.select("q1", "q2", "vector", "bound").mapInArrow(cells_of, "q1 long, q2 long, vector array<float>, bound double, cell int")
     held = index.rows.filter("first").select("id", "cell", "code")
     # Both sides of a cell are cut into parts of CHUNK rows; each part of the one meets each of the other.
     sizes = held.groupBy("cell").agg(F.count("*").alias("n")).join(pairs.groupBy("cell").agg(F.count("*").alias("m")), "cell")
     parts = F.broadcast(sizes.select("cell", F.ceil(F.col("n") / CHUNK).alias("row_parts"), F.ceil(F.col("m") / CHUNK).alias("query_parts")))  # a row a cell
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = held.join(parts, "cell").withColumn("r", F.pmod(F.xxhash64("id"), F.col("row_parts"))).withColumn("q", upto("query_parts")).select("cell", "r", "q", "id", "code")
-    right = pairs.join(parts, "cell").withColumn("q", F.pmod(F.xxhash64("q1", "q2"), F.col("query_parts"))).withColumn("r", upto("row_parts")).select("cell", "r", "q", "q1", "q2", "vector")
-    most = refine * k
+    right = pairs.join(parts, "cell").withColumn("q", F.pmod(F.xxhash64("q1", "q2"), F.col("query_parts"))).withColumn("r", upto("row_parts")).select("cell", "r", "q", "q1", "q2", "vector", "bound")
 
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
         q1, q2, ids, close = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
@@ -248,19 +253,48 @@ def search_all(index: Index, queries: DataFrame, k: int, probes: int | None = No
             codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
             x, own = model.decode(rows.column("cell").to_numpy(), codes), rows.column("id").to_numpy()
             n, out = min(most, len(own)), []
-            for i in range(0, asked.num_rows, 512):
-                part = asked.slice(i, 512)
+            step = max(1, min(512, VALUES // len(own)))
+            for i in range(0, asked.num_rows, step):
+                part = asked.slice(i, step)
                 score = units(part.column("vector").combine_chunks(), d) @ x.T
                 top = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                name = lambda c, part=part: np.repeat(part.column(c).to_numpy(), n)
-                out.append((name("q1"), name("q2"), own[top].reshape(-1), np.take_along_axis(score, top, 1).reshape(-1)))
+                best = np.take_along_axis(score, top, 1)
+                # Products of one pair may differ in the last digits from one call to the next.
+                at, place = np.nonzero(best >= part.column("bound").to_numpy()[:, None] - 1e-9)
+                out.append((part.column("q1").to_numpy()[at], part.column("q2").to_numpy()[at], own[top[at, place]], best[at, place]))
             q1, q2, ids, close = (np.concatenate(x) for x in zip(*out))
         return pa.table([pa.array(q1), pa.array(q2), pa.array(ids), pa.array(close)], names=["q1", "q2", "id", "close"])
 
     keys = ["cell", "r", "q"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "q1 long, q2 long, id long, close double")
+    # The tasks are as many as the rows that come out ask for; those that go in are few.
+    both = [side.repartition(tasks, *keys).groupBy(*keys) for side in (left, right)]
+    return both[0].cogroup(both[1]).applyInArrow(meet, "q1 long, q2 long, id long, close double").repartition(tasks, "q1", "q2")
+
+
+def search_all(index: Index, queries: DataFrame, k: int, probes: int | None = None, refine: int = REFINE) -> DataFrame:
+    """For every query (query_id, embedding) its k nearest: query_id, chunk_id, distance, rank.
+
+    Cells are met in two rounds: the nearest, by the root of the number of probes, give each query its best candidates so far; the others
+    give only candidates that are as close as the last of these, so that most of what cannot be among the best is not sent.
+    """
+    model, d, probes = index.model, index.model.centroids.shape[1], min(probes or index.probes, index.n_cells)
+    asked = queries.filter(usable()).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("vector"))
+    asked = asked.withColumns({"q1": F.xxhash64("vector"), "q2": F.xxhash64(F.lit(1), "vector")})
+    distinct = asked.groupBy("q1", "q2").agg(F.first("vector").alias("vector"))
+    most, early = refine * k, max(1, round(probes**0.5))
+    # A query has some `early` times `most` candidates in a round, and a task ROWS of them.
+    tasks = max(index.spark.sparkContext.defaultParallelism, -(-distinct.count() * early * most // ROWS))
     rank = lambda keys, *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    near = met.withColumn("n", rank(["q1", "q2"], F.desc("close"), "id")).filter(F.col("n") <= most).drop("n", "close")
+    top = lambda rows: rows.withColumn("n", rank(["q1", "q2"], F.desc("close"), "id")).filter(F.col("n") <= most).drop("n")
+
+    near = top(met(index, distinct.withColumn("bound", F.lit(float("-inf"))), 0, early, most, tasks))
+    if early < probes:
+        near = kept(near)
+        last = near.groupBy("q1", "q2").agg(F.min("close").alias("least"), F.count("*").alias("n"))
+        bound = F.when(F.col("n") == most, F.col("least")).otherwise(float("-inf"))
+        bounded = distinct.join(last, ["q1", "q2"], "left").select("q1", "q2", "vector", bound.alias("bound"))
+        near = top(near.union(met(index, bounded, early, probes, most, tasks)))
+    near = near.drop("close")
     full = near.join(index.rows.filter("first").select("id", "h1", "h2", "embedding"), "id").join(distinct, ["q1", "q2"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

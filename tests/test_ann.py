@@ -111,3 +111,25 @@ def test_nearest_orders_only_what_may_stay(monkeypatch):
     assert max(sizes) < 40 * 128
     few, _ = R.nearest(all_d[:, :3], np.zeros((40, 0), np.int64), ids[:3], 7)
     assert few.shape == (40, 3)
+
+
+def test_two_rounds_find_what_all_cells_at_once_do(spark, table_index, monkeypatch):
+    """The answers are those of ranking every probed cell's codes, and the later cells send few of their rows."""
+    vectors, index = table_index
+    sent, met = [], ann.met
+    monkeypatch.setattr(ann, "VALUES", 2_000)  # a few queries at a time
+    monkeypatch.setattr(ann, "met", lambda *a: sent.append(met(*a)) or sent[-1])
+    k, refine, probes = 3, 2, index.n_cells
+    queries = vectors.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    got = {}
+    for r in ann.search_all(index, queries, k, probes, refine).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.chunk_id
+    rows = index.rows.filter("first").orderBy("id").toPandas()
+    x = index.model.decode(rows.cell.to_numpy(), np.stack([np.frombuffer(c, np.uint8) for c in rows.code]))
+    real = np.stack(rows.embedding).astype(float)
+    for r in queries.collect():
+        q = np.array(r.embedding, float)
+        best = np.lexsort((rows.id, -(x @ q)))[: k * refine]
+        assert [rows.id[best[i]] for i in exact(real[best], q, k)] == [got[r.query_id][n] for n in range(1, k + 1)]
+    first, later = (s.count() for s in sent)
+    assert later < (probes - round(probes**0.5)) * k * refine * queries.count() / 4 and first <= round(probes**0.5) * k * refine * queries.count()
