@@ -289,6 +289,17 @@ def search_postings(index: DataFrame, query: list[str], candidates: int = CANDID
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """word, chunk_id and places: an inverted index as a table, to be written bucketed by word where many queries follow."""
-    rows = chunks.select("chunk_id", F.posexplode(tokens(F.col("text"))).alias("place", "word"))
-    return rows.groupBy("word", "chunk_id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    """word, chunk_id and places: an inverted index as a table, to be written bucketed by word where many queries follow.
+
+    Texts are dealt by chunk_id and not their words, which with a key and a place each are many times as much. The words of a chunk are
+    sorted within its row, so that nothing is spilled but texts.
+    """
+    placed = lambda t: F.transform(tokens(t), lambda w, i: F.struct(w.alias("word"), i.alias("place")))
+    texts = chunks.groupBy("chunk_id").agg(F.collect_list("text").alias("texts"))  # one text, but where ids repeat
+    rows = texts.select("chunk_id", F.sort_array(F.flatten(F.transform("texts", placed))).alias("s")).filter(F.size("s") > 0)
+    # Single elements are taken from s, as Spark would make an array of all words anew for each of them.
+    word = lambda i: F.get("s", i)["word"]
+    rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (word(i) != word(i - 1))))
+    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("s"))
+    held = F.transform("starts", lambda i, k: F.struct(word(i).alias("word"), F.slice("s", i + 1, end(k) - i)["place"].alias("places")))
+    return rows.select("chunk_id", F.explode(held).alias("x")).select("x.word", "chunk_id", "x.places")

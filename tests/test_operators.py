@@ -259,3 +259,16 @@ def test_siblings_of_a_large_group_are_made_in_slices(spark):
     assert sorted(map(tuple, got.collect())) == sorted((a.g, a.k, b.k) for a in held for b in held if a.g is not None and a.g == b.g and a.k != b.k)
     largest = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert largest < 60 * 59 / 2
+
+
+def test_postings_deal_texts_and_merge_repeated_ids(spark):
+    """One row a word and chunk, whatever rows its texts come in, and no exchange by words."""
+    texts = [(1, "b a b"), (1, "a c"), (2, None), (2, "   "), (3, " ".join(f"w{i % 700}" for i in range(3000))), (None, "a a")]
+    got = V.postings(spark.createDataFrame(texts, "chunk_id long, text string"))
+    want = {}
+    for i, text in texts:
+        for place, word in enumerate((text or "").split()):
+            want.setdefault((word, i), []).append(place)
+    assert sorted((r.word, str(r.chunk_id), r.places) for r in got.collect()) == sorted((w, str(i), sorted(p)) for (w, i), p in want.items())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(chunk_id") == plan.count("Exchange ") > 0
