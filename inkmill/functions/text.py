@@ -43,23 +43,40 @@ def count_of(t: Column, pattern: str) -> Column:
     return F.regexp_count(text_or_empty(t), F.lit(pattern))
 
 
+def length_without(t: Column, pattern: str) -> Column:
+    """Characters left when runs of the pattern are taken out: cheaper than to count each of the others."""
+    return F.length(F.regexp_replace(text_or_empty(t), pattern, ""))
+
+
 def arabic_char_ratio(t: Column) -> Column:
     """Arabic letters by letters; 0 without letters."""
-    letters = count_of(t, r"\p{L}")
-    return F.when(letters == 0, 0.0).otherwise(count_of(t, rf"[\p{{L}}&&[{ARABIC}]]") / letters)
+    arabic = F.when(text_or_empty(t).rlike(rf"[\p{{L}}&&[{ARABIC}]]"), length_without(t, rf"[^\p{{L}}]+|[^{ARABIC}]+")).otherwise(0)
+    return let(F.struct(length_without(t, r"\P{L}+").alias("letters"), arabic.alias("arabic")), lambda n: F.when(n["letters"] == 0, 0.0).otherwise(n["arabic"] / n["letters"]))
 
 
 def has_presentation_forms(t: Column) -> Column:
     return text_or_empty(t).rlike(f"[{PRESENTATION}]")
 
 
-def detect_lang(t: Column) -> Column:
-    ratio = arabic_char_ratio(t)
+def lang_of(ratio: Column) -> Column:
     return F.when(ratio > 0.6, "ar").when(ratio < 0.15, "en").otherwise("mixed")
 
 
+def direction_of(ratio: Column) -> Column:
+    return F.when(ratio > 0.4, "rtl").otherwise("ltr")
+
+
+def detect_lang(t: Column) -> Column:
+    return let(arabic_char_ratio(t), lang_of)
+
+
 def text_direction(t: Column) -> Column:
-    return F.when(arabic_char_ratio(t) > 0.4, "rtl").otherwise("ltr")
+    return direction_of(arabic_char_ratio(t))
+
+
+def language_report(t: Column) -> Column:
+    """ratio (of arabic_char_ratio), lang_tag and direction; letters are counted once."""
+    return let(arabic_char_ratio(t), lambda r: F.struct(r.alias("ratio"), lang_of(r).alias("lang_tag"), direction_of(r).alias("direction")))
 
 
 def bidi_report(t: Column) -> Column:

@@ -12,7 +12,7 @@ from inkmill.functions import records as P
 from inkmill.functions import sql
 from inkmill.functions import text as T
 from inkmill.plans.base import query
-from inkmill.plans.text import language_columns, language_sql
+from inkmill.plans.text import language_of, language_sql
 
 A, FORMS = T.ARABIC, T.PRESENTATION
 #: Every second document in Arabic letters: variants to be folded, vowel marks, presentation forms, and both kinds of digits.
@@ -38,7 +38,7 @@ def sql_function(spark, tables):
 
 @query("text_language_arabic", language_sql(TEXTS, "doc_id"))
 def language(spark, tables):
-    return texts(tables).select("doc_id", *language_columns())
+    return language_of(texts(tables))
 
 
 @query("text_bidi_report", f"""WITH r AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[{A}]+') AS runs FROM {TEXTS})

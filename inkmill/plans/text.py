@@ -21,14 +21,15 @@ def language_sql(source: str, key: str) -> str:
  CASE WHEN {RATIO} > 0.4 THEN 'rtl' ELSE 'ltr' END AS direction, regexp_matches(coalesce(text, ''), '[{P}]') AS presentation FROM {source}"""
 
 
-def language_columns():
+def language_of(texts):
     t = F.col("text")
-    return [F.round(T.arabic_char_ratio(t), 6).alias("arabic_ratio"), T.detect_lang(t).alias("lang_tag"), T.text_direction(t).alias("direction"), T.has_presentation_forms(t).alias("presentation")]
+    rows = texts.select("doc_id", T.language_report(t).alias("r"), T.has_presentation_forms(t).alias("presentation"))
+    return rows.select("doc_id", F.round("r.ratio", 6).alias("arabic_ratio"), "r.lang_tag", "r.direction", "presentation")
 
 
 @query("text_language", language_sql("documents", "doc_id"))
 def language(spark, tables):
-    return tables("documents").select("doc_id", *language_columns())
+    return language_of(tables("documents"))
 
 
 GIBBERISH = rf"""WITH d AS (SELECT doc_id, text, length(text)::DOUBLE AS n, {WORDS} AS w FROM documents),

@@ -1,5 +1,8 @@
 """Operators that SQL cannot express, and cases with hand-derived results."""
 
+import random
+import re
+import unicodedata
 import zipfile
 
 import pytest
@@ -15,6 +18,7 @@ from inkmill.operators import diffing as D
 from inkmill.operators import lifecycle as M
 from inkmill.operators import relational as R
 from inkmill.operators import retrieval as V
+from inkmill.plans.text import language_of
 from inkmill.sources import files as X
 from inkmill.sources import tables as S
 from inkmill.streaming import lifecycle as ST
@@ -272,3 +276,18 @@ def test_postings_deal_texts_and_merge_repeated_ids(spark):
     assert sorted((r.word, str(r.chunk_id), r.places) for r in got.collect()) == sorted((w, str(i), sorted(p)) for (w, i), p in want.items())
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(chunk_id") == plan.count("Exchange ") > 0
+
+
+def test_letters_are_counted_once(spark):
+    """Ratio, language and direction from one count, on texts with letters of many planes, marks, forms, digits and nothing."""
+    rng = random.Random(5)
+    alphabet = "abé中\U00010400\U0001f600 \n1٣۴ابًـٱ۔ﻻﷲﹰ﻿؀אݐé"
+    texts = [None, "", "12 ٣", "ا", "a"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(200)]
+    found = language_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\P{L}+") == 1 and "regexp_count" not in plan
+    for r in found.collect():
+        letters = [c for c in texts[r.doc_id] or "" if unicodedata.category(c).startswith("L")]
+        ratio = sum(re.fullmatch(f"[{T.ARABIC}]", c) is not None for c in letters) / len(letters) if letters else 0.0
+        assert r.arabic_ratio == pytest.approx(ratio, abs=1e-6)
+        assert (r.lang_tag, r.direction) == ("ar" if ratio > 0.6 else "en" if ratio < 0.15 else "mixed", "rtl" if ratio > 0.4 else "ltr")
