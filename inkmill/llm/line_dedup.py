@@ -42,8 +42,8 @@ RADIUS, BLOCKS, SIMILARITY = 30, 6, 0.8
 ALONE = 3  #: words of a block that make lines candidates by itself
 KEPT = 56  #: a hash's even bits below this one enter a SimHash; above it a block has its number of words, 127 at most
 BITS = sum(1 << i for i in range(0, KEPT, 2))
-BANDS = (8, 24, 72)  #: edits that the bands look for before one as wide as allowed does
-LETTERS = "".join(map(chr, [*range(33, 127), *range(161, 1200)]))  #: words are written in these to be compared
+LONG = 500  #: letters beyond which an alignment of words costs less than the distance
+AHEAD = 3  #: words that an alignment looks ahead where lines differ
 HASH = [f"b{i}" for i in range(BLOCKS)]
 
 
@@ -51,6 +51,11 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
+def words_of(line: Column) -> Column:
+    """The words of normalised(line), which cost less than it."""
+    return F.regexp_extract_all(F.lower(line), F.lit(r"[a-z[\p{L}\p{M}\p{N}]]+"), F.lit(0))  # most letters are found before their class is looked up
+
+
 def majority(hashes: Column, n: Column, width: int) -> Column:
     """The kept bits set in over half of n hashes, counted in lanes of `width` bits.
 
@@ -84,10 +89,11 @@ def block(hashes: Column) -> Column:
 def lines_of(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Every line: doc_id, text_hash, place, line (the hash of the normalised line; null where nothing is left), its blocks and size (its characters)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(text_col, "\n")).alias("place", "text"))
-    rows = rows.select("doc_id", "text_hash", "place", F.nullif(normalised(F.col("text")), F.lit("")).alias("norm"))
+    rows = rows.select("doc_id", "text_hash", "place", words_of(F.col("text")).alias("words"))
+    rows = rows.select("doc_id", "text_hash", "place", F.when(F.size("words") > 0, F.col("words")).alias("words"), F.when(F.size("words") > 0, F.array_join("words", " ")).alias("norm"))
     # Sorted hashes with a fence before each block but the first: a block's words lie between two fences.
     fences = [-(1 << 63) + (i << 64) // BLOCKS for i in range(1, BLOCKS)]
-    words = F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
+    words = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))
     named = ["doc_id", "text_hash", "place", F.when(F.col("norm").isNotNull(), F.xxhash64("norm")).alias("line"), F.length("norm").alias("size")]
     rows = rows.select(*named, F.sort_array(F.concat(words, F.array(*map(F.lit, fences)))).alias("h"))
     at = [F.lit(0)] + [F.array_position("h", F.lit(x)).cast("int") for x in fences] + [F.size("h") + 1]
@@ -121,43 +127,69 @@ def texts_of(lines: DataFrame, ends: DataFrame, docs: DataFrame, text_col: str)
     return out
 
 
+def walked(x: Column, y: Column, most: Column) -> Column:
+    """Edits of one alignment of two lists of words, each with its blank: no fewer than the edit distance. Given up, with more than `most`, beyond that.
+
+    Both lists are walked at once. Where words differ, the next place within AHEAD words where they are equal again
+    is looked for, and what lies before it is compared letter by letter; words after the end of the other list count whole.
+    """
+    ahead = sorted(((p, q) for p in range(AHEAD + 1) for q in range(AHEAD + 1) if p + q), key=lambda t: (max(t), -min(t)))
+
+    def step(s: Column) -> Column:
+        i, j = s["i"], s["j"]
+
+        def meets(p: int, q: int) -> Column:
+            same = F.get(x, i + p) == F.get(y, j + q)
+            return same if max(p, q) < 2 else same & F.get(x, i + p + 1).eqNullSafe(F.get(y, j + q + 1))
+
+        def state(i: Column, j: Column, cost: Column) -> Column:
+            return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), cost.cast("int").alias("cost"))
+
+        def some(z: Column, at: Column, n: Column) -> Column:
+            # A slice would copy the list each time.
+            return F.concat_ws("", *[F.when(n > k, F.get(z, at + k)) for k in range(AHEAD)])
+
+        def over(p: Column, q: Column) -> Column:
+            return state(i + p, j + q, s["cost"] + F.call_function("levenshtein", some(x, i, p), some(y, j, q)))
+
+        jump = F.coalesce(*[F.when(meets(p, q), p * (AHEAD + 1) + q) for p, q in ahead], F.lit(AHEAD + 2))  # one word each if none meet
+        rest = F.length(F.array_join(F.slice(x, i + 1, F.size(x)), "")) + F.length(F.array_join(F.slice(y, j + 1, F.size(y)), ""))
+        ended = state(F.size(x), F.size(y), s["cost"] + rest)
+        moved = F.when(F.get(x, i) == F.get(y, j), state(i + 1, j + 1, s["cost"])).otherwise(let(jump, lambda k: over(F.floor(k / (AHEAD + 1)).cast("int"), k % (AHEAD + 1))))
+        over_now = (s["cost"] > most) | ((i >= F.size(x)) & (j >= F.size(y)))
+        return F.when(over_now, s).when((i >= F.size(x)) | (j >= F.size(y)), ended).otherwise(moved)
+
+    begin = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("cost"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(x) + F.size(y)), begin, lambda s, _: step(s), lambda s: s["cost"])
+
+
 def within(a: Column, b: Column, allowed: Column) -> Column:
     """Whether the edit distance of two lines, given as words, is allowed.
 
-    Words that both begin or end with leave the distance as it is. What is left is first bounded from above
-    by words: each word is written as one letter, and each edit of letters then costs at most the longest
-    word and a blank. Only if that is too much is the distance itself computed, in bands of growing width.
+    Words that both begin or end with leave the distance as it is. What is left is first bounded from above:
+    by the length of the longer, by word after word and, where lines are long, by an alignment of words. Only if that is too much is the distance itself computed.
     """
     shared = lambda x, y: F.coalesce(F.nullif(F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False), F.lit(0)) - 1, F.size(x)).cast("int")
     cut = lambda x, first, n: F.slice(x, first + 1, n)
 
     def middles(s: Column) -> Column:
         head = shared(s["a"], s["b"])
-        return F.struct(*[F.reverse(cut(s[c], head, F.size(s[c]) - head)).alias(c) for c in "ab"])
+        return F.struct(*[F.reverse(cut(s[c], head, F.size(s[c]) - head)).alias(c) for c in "ab"], s["most"])
 
     def tails(s: Column) -> Column:
         tail = shared(s["a"], s["b"])
-        return F.struct(*[F.reverse(cut(s[c], tail, F.size(s[c]) - tail)).alias(c) for c in "ab"])
+        # With a blank after each word edits are those of the lines: both end with it.
+        return F.struct(*[F.transform(F.reverse(cut(s[c], tail, F.size(s[c]) - tail)), lambda w: F.concat(w, F.lit(" "))).alias(c) for c in "ab"], s["most"])
 
     def decide(s: Column) -> Column:
-        x, y = s["a"], s["b"]
-        # Where one side has nothing left, a blank goes with the other side's words.
-        left = allowed - ((F.size(x) == 0) != (F.size(y) == 0)).cast("int")
-
-        def by_words(known: Column) -> Column:
-            write = lambda z: F.array_join(F.transform(z, lambda w: F.get(F.split(F.lit(LETTERS), ""), F.array_position(known, w).cast("int") - 1)), "")
-            longest = F.coalesce(F.array_max(F.transform(known, lambda w: F.length(w))), F.lit(0))
-            return (F.size(known) <= len(LETTERS)) & (F.call_function("levenshtein", write(x), write(y), F.floor(left / (longest + 1)).cast("int")) >= 0)
-
-        most = F.greatest(left, F.lit(0))
-        banded = lambda k: F.call_function("levenshtein", F.array_join(x, " "), F.array_join(y, " "), k) >= 0
-        exact = F.lit(False)
-        for k in BANDS:
-            exact = exact | banded(F.least(most, F.lit(k)))
-        exact = exact | ((most > BANDS[-1]) & banded(most))
-        return (left >= 0) & (let(F.array_union(x, y), by_words) | exact)
+        x, y, most = s["a"], s["b"], s["most"]
+        whole = lambda z: F.array_join(z, "")
+        length = F.greatest(F.length(whole(x)), F.length(whole(y)))
+        in_place = F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.length(p), F.length(q)))), F.lit(0), lambda n, k: n + k)
+        exact = F.call_function("levenshtein", whole(x), whole(y), most) >= 0
+        return (length <= most) | (in_place <= most) | ((length > LONG) & (walked(x, y, most) <= most)) | exact
 
-    return let(let(let(F.struct(a.alias("a"), b.alias("b")), middles), tails), decide)
+    return let(let(let(F.struct(a.alias("a"), b.alias("b"), allowed.alias("most")), middles), tails), decide)
 
 
 def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float, text_col: str) -> DataFrame:
@@ -181,7 +213,8 @@ def groups(lines: DataFrame, docs: DataFrame, radius: int, similarity: float, te
     distinct = materialize(lines.groupBy("line").agg(F.min("size").alias("size"), *[F.min(b).alias(b) for b in HASH]))
     by = Window.partitionBy("bucket").orderBy("line")
     # Of all entries only names travel; blocks follow for those in buckets of two lines or more.
-    entries = distinct.select("line", F.explode(buckets()).alias("bucket")).filter("bucket IS NOT NULL")
+    # Without array_compact the step becomes one method that is too long for the JVM to compile.
+    entries = distinct.select("line", F.explode(F.array_compact(buckets())).alias("bucket"))
     entries = entries.withColumn("is_first", F.lag("line").over(by).isNull()).withColumn("more", F.lead("line").over(by).isNotNull())
     shared = materialize(entries.filter("more OR NOT is_first").drop("more"))
     dealt = materialize(distinct.join(shared, "line"))

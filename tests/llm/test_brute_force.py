@@ -165,6 +165,39 @@ def test_op1_edit_bound(spark):
         assert r.near == (edits(" ".join(r.a), " ".join(r.b)) <= r.k), r
 
 
+def test_op1_edit_bound_long(spark):
+    """Lines beyond LONG letters are aligned by words; the alignment has no fewer edits than there are, and few more where words were put in or left out."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    pairs = []
+    for share in (0.05, 0.1, 0.15, 0.3, 0.9):
+        for _ in range(3):
+            a = [rng.choice(vocabulary) for _ in range(160)]
+            b = [w for x in a for w in ([x] if rng.random() > share else rng.choice([[], [rng.choice(vocabulary)], [x, rng.choice(vocabulary)]]))]
+            pairs.append((len(pairs), a, b, int(max(len(" ".join(a)), len(" ".join(b))) * 0.2)))
+    pairs += [(len(pairs), ["q"] * 400, ["r"] * 399, 100), (len(pairs) + 1, ["ab"] * 300, ["ab"] * 300 + ["c"], 2), (len(pairs) + 2, ["ab"] * 300, ["ab"] * 300 + ["c"], 1)]
+    df = spark.createDataFrame(pairs, "i int, a array<string>, b array<string>, k int")
+    blank = [F.transform(c, lambda w: F.concat(w, F.lit(" "))) for c in "ab"]
+    found = df.withColumn("near", line_dedup.within(F.col("a"), F.col("b"), F.col("k"))).withColumn("walk", line_dedup.walked(*blank, F.lit(1 << 20))).collect()
+    assert {r.near for r in found} == {True, False}
+    for r in found:
+        n = edits(" ".join(r.a), " ".join(r.b))
+        assert r.near == (n <= r.k) and r.walk >= n, (r.i, n)
+        assert r.i >= 6 or r.walk <= r.k, (r.i, n, r.walk)
+
+
+def test_op1_allowed_once(spark):
+    """The edits allowed, which are computed from the lines, are bound once a pair and not for each word."""
+    assert str(line_dedup.within(F.col("a"), F.col("b"), F.col("the_most"))).count("the_most") == 1
+
+
+def test_op1_words(spark):
+    lines = ["", " ", "...", "One two", "-a  b- c9 ", "ÉCOLE d’été, n°5", "مرحبا، بالعالم", "ΣΑΣ x\ty\rz", "e\u0301 \U0001d400\U0001f600b ½"]
+    df = spark.createDataFrame([(x,) for x in lines], "x string").select(F.array_join(line_dedup.words_of(F.col("x")), " ").alias("words"), line_dedup.normalised(F.col("x")).alias("norm"))
+    for r in df.collect():
+        assert r.words == r.norm
+
+
 def test_op2_round_trip(spark, docs, texts, ids):
     start = 0
     for r in tokens.op2(docs).orderBy("doc_id").collect():
