@@ -218,6 +218,11 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 
+def spaced(lowered: Column) -> Column:
+    """The words of trigrams(), each after two blanks and before one: windows of three letters that do not end in two blanks are its trigrams, with repeats."""
+    return F.concat(F.lit("  "), F.regexp_replace(F.coalesce(lowered, F.lit("")), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Shared by all trigrams, from two sets of them."""
 

@@ -1,35 +1,39 @@
 """Indexes for words and for trigrams as tables, searched block by block.
 
-Both deal documents to blocks by a hash of their id and hold a row for each word (or trigram) and block: so a frequent
-word's postings lie in many rows of bounded size, and a search reads the rows of its own words only. Tables are
-partitioned by a hash of the word (or by the number of trigrams) and sorted by word within files, so that both partitions and row
-groups are passed over.
+Both hold a row for each word (or trigram) and block of documents: so a frequent word's postings lie in many rows of bounded size, and a
+search reads the rows of its own words only. Words deal documents to blocks by a hash of their id; for trigrams a block is texts
+that follow each other in a task. Tables are partitioned by a hash of the word (or by the number of trigrams) and sorted by word within
+files, so that both partitions and row groups are passed over.
 
 `Words` answers web-style queries (words, phrases, OR, exclusions) in the order of cover density, as `retrieval.lexical`
 does over texts. The greatest number of places of each word in a block bounds what its documents can reach; the blocks of the
 highest bounds are scored first, and of the others only those that can still reach the last of the best so far.
 
 `Trigrams` finds texts by similarity of their trigram sets above a threshold, as `retrieval.fuzzy` does. With T as threshold, sets of a and b
-trigrams need min(a, b) / max(a, b) > T, and o = floor(T / (1 + T) * (a + b)) + 1 of them in common at least, so one of the b - o + 1
-rarest of the query's at any rate: only these are looked up, for each class of sizes, and the candidates' sets are compared in full.
+trigrams need min(a, b) / max(a, b) > T, so only some classes of sizes are read, and o = floor(T / (1 + T) * (a + b)) + 1 of them in common
+at least. A text stands in the list of each of its trigrams, so in how many of the query's lists it stands is what they share, and with its size gives the
+similarity itself: no sets are kept or compared.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, types
 from pyspark.sql import functions as F
 
-from inkmill.functions.core import let
+from inkmill.functions import trigrams as T
 from inkmill.functions.text import ar_normalize
 from inkmill.operators import retrieval as R
 
 BLOCK = 128  #: documents of a block, as a mean
 SHARDS = 64  #: partitions of the table of words
 FIRST = 32  #: blocks scored before any is passed over
-LETTERS = 40_000_000  #: of the texts that one task indexes by words; a quarter by trigrams
+LETTERS = 40_000_000  #: of the texts that one task indexes by words
 PLACES_MOST = 1 << 20  #: places of a word in one document that a row holds; more are further rows
 
 
@@ -165,67 +169,60 @@ def passed_over(index: Words, query: str, k: int = R.CANDIDATES, first: int = FI
 
 
 class Trigrams:
-    """path/lists: class, trigram, block, chunk_ids; path/sets: class, size, chunk_id, trigrams; path/counts: trigram, n."""
+    """path/lists: class, trigram, block, places; and texts (structs of chunk_id, the kept columns and size), which stand under an empty trigram.
+
+    A place counts the texts of a class and block from 0 on; size is a text's number of trigrams.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.counts = spark, spark.read.parquet(f"{path}/counts")
-        self.lists = spark.read.schema("trigram string, block long, chunk_ids array<long>, class int").parquet(f"{path}/lists")
-        self.sets = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/sets")
+        self.spark = spark
+        self.lists = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/lists")
 
 
-def size_class(size: Column) -> Column:
-    """Sizes from 2^(c / 2) on are of class c: the largest of a class is about 1.4 times its least."""
-    return F.floor(2 * F.log2(size) + 1e-9).cast("int").alias("class")
+def build_trigrams(chunks: DataFrame, path: str, keep: list[str] = ()) -> Trigrams:
+    """Tasks index the texts that they read, block by block, so neither texts nor trigrams are shuffled."""
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), *keep, R.spaced(ar_normalize(F.col("text"))).alias("spaced"))
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for n, block in enumerate(T.blocks(batches, "spaced")):
+            yield from T.rows_of(block, first + n, "spaced")
 
-def build_trigrams(chunks: DataFrame, path: str, keep: list[str] = ()) -> Trigrams:
-    rows = by_block(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), *keep, "text"), LETTERS // 4)
-    sets = rows.select("chunk_id", *keep, R.trigrams(ar_normalize(F.col("text"))).alias("trigrams"), "block")
-    sets = sets.withColumn("size", F.size("trigrams")).filter("size > 0").withColumn("class", size_class(F.col("size")))
-    stored = sets.drop("block")
-    stored.sortWithinPartitions("class", "chunk_id").write.partitionBy("class").option("compression", "zstd").parquet(f"{path}/sets")
-    stored.limit(0).write.parquet(f"{path}/columns")  # the schema, for tables without rows
-    # The sets are made once more from the texts, as those that are stored lie by class and would have to be shuffled by trigram.
-    lists = sets.select("class", "chunk_id", "block", F.explode("trigrams").alias("trigram")).groupBy("class", "trigram", "block").agg(F.collect_list("chunk_id").alias("chunk_ids"))
+    text = types.StructType([*rows.drop("spaced").schema.fields, types.StructField("size", types.IntegerType())])
+    schema = types.StructType.fromDDL("class int, trigram string, block long, places array<smallint>").add("texts", types.ArrayType(text))
+    lists = rows.mapInArrow(task, schema)
     lists.sortWithinPartitions("class", "trigram").write.partitionBy("class").option("compression", "zstd").parquet(f"{path}/lists")
-    held = chunks.sparkSession.read.schema(lists.schema).parquet(f"{path}/lists")
-    held.groupBy("trigram").agg(F.sum(F.size("chunk_ids")).alias("n")).sort("trigram").write.parquet(f"{path}/counts")
+    lists.limit(0).write.parquet(f"{path}/columns")  # the schema, for tables without rows
     return Trigrams(chunks.sparkSession, path)
 
 
-def candidates(index: Trigrams, query: str, above: float = R.SIMILARITY, where: Column | None = None) -> DataFrame:
-    """chunk_id and class of the texts whose trigrams must be compared in full with the query's."""
+def candidates(index: Trigrams, query: str, above: float = R.SIMILARITY) -> DataFrame:
+    """The texts that share enough trigrams with the query for the least size of their class: chunk_id, kept columns, size, shared (trigrams) and asked (the query's)."""
     spark = index.spark
     b = [r[0] for r in spark.range(1).select(F.explode(R.trigrams(ar_normalize(F.lit(query))))).collect()]
-    if not b:
-        return spark.createDataFrame([], "chunk_id long, class int")
-    n = {r.trigram: r.n for r in index.counts.filter(F.col("trigram").isin(b)).collect()}
-    b.sort(key=lambda t: (n.get(t, 0), t))  # the rarest first
-    lookups = None
-    for c in range(math.floor(2 * math.log2(max(1.0, above * len(b)))) - 1, math.ceil(2 * math.log2(len(b) / above)) + 2):
+    enough = {}
+    for c in range(math.floor(2 * math.log2(max(1.0, above * len(b)))) - 1, math.ceil(2 * math.log2(len(b) / above)) + 2) if b else ():
         least, most = math.ceil(2 ** (c / 2) - 1e-6), math.floor(2 ** ((c + 1) / 2) + 1e-6)
         a = max(least, math.floor(above * len(b)) + 1)  # sets must be larger than this share of the query's
-        if c < 0 or a > most or a * above >= len(b):
-            continue
         common = math.floor(above / (1 + above) * (a + len(b)) + 1e-9) + 1
-        prefix = b[: len(b) - common + 1]
-        if prefix:
-            here = (F.col("class") == c) & F.col("trigram").isin(prefix)
-            lookups = here if lookups is None else lookups | here
-    if lookups is None:
-        return spark.createDataFrame([], "chunk_id long, class int")
-    return index.lists.filter(lookups).select("class", F.explode("chunk_ids").alias("chunk_id")).distinct().select("chunk_id", "class")
+        if c >= 0 and a <= most and a * above < len(b) and common <= len(b):
+            enough[c] = common
+    rows = index.lists.filter(F.col("class").isin(list(enough)) if enough else "false")
+    needed = F.create_map(*[F.lit(x) for pair in enough.items() for x in pair])[F.col("class")] if enough else F.lit(0)
+    # A text's lists lie in one block, so what a task reads is counted there for the most part.
+    counts = rows.filter(F.col("trigram").isin(b)).select("class", "block", F.explode("places").alias("place")).groupBy("class", "block", "place").agg(F.count("*").cast("int").alias("n"))
+    held = counts.filter(F.col("n") >= needed).groupBy("class", "block").agg(F.collect_list(F.struct("place", "n")).alias("held"))  # T.TEXTS at most
+    texts = rows.filter("trigram = ''").select("class", "block", "texts")
+    found = texts.join(held, ["class", "block"]).select(F.explode(F.transform("held", lambda x: F.struct(F.get("texts", x["place"]).alias("text"), x["n"].alias("n")))).alias("x"))
+    return found.select("x.text.*", F.col("x.n").alias("shared"), F.lit(len(b)).alias("asked"))
 
 
 def search_trigrams(index: Trigrams, query: str, k: int = R.TOP_K, above: float = R.SIMILARITY, where: Column | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """chunk_id and score of the k most similar texts above the threshold, exactly."""
     found = candidates(index, query, above)
-    classes = [r[0] for r in found.select("class").distinct().collect()]  # of sizes: some ten
-    sets = index.sets.filter(F.col("class").isin(classes)) if classes else index.sets.filter("false")
-    sets = sets.filter(where) if where is not None else sets
-    sets = sets.join(allowed.select("chunk_id"), "chunk_id", "left_semi") if allowed is not None else sets
-    score = let(R.trigrams(ar_normalize(F.lit(query))), lambda b: R.similarity(F.col("trigrams"), b))
-    rows = sets.join(found, ["class", "chunk_id"]).select("chunk_id", score.alias("score"))
+    found = found.filter(where) if where is not None else found
+    found = found.join(allowed.select("chunk_id"), "chunk_id", "left_semi") if allowed is not None else found
+    rows = found.select("chunk_id", (F.col("shared") / (F.col("size") + F.col("asked") - F.col("shared"))).alias("score"))
     return rows.filter(F.col("score") > above).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 

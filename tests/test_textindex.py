@@ -96,6 +96,47 @@ def test_candidates_are_few(spark, tmp_path):
     assert near <= {r.chunk_id for r in found.collect()} and found.count() < n / 4
 
 
+def test_trigram_lists_are_long(spark, tmp_path):
+    """A list holds the texts of thousands that follow each other, so there are few rows by postings."""
+    lines = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    lines = lines.select((F.col("doc_id") * 100000 + F.col("i")).alias("chunk_id"), "text")
+    index = X.build_trigrams(lines, str(tmp_path / "t"))
+    postings = lines.select(F.sum(F.size(R.trigrams(ar_normalize(F.col("text")))))).first()[0]
+    assert index.lists.count() < postings / 8
+
+
+ODD = ["", None, "  ", "a", "A a", "-a--b- ", "naïve Ünï", "İSTANBUL ΣΑΣ ß", "\U0001f600 x\U00020000y \U0001d538z", "日本語 テキスト 東京", "مُحَمَّد كتاب ٣٤ ۵", "e\u0301 ab\u0301c", "½ ² x²", "word " * 40, "tab\tnew\nline\x00nul", "한글 ‘q’ a_b"]
+
+
+@pytest.mark.parametrize("limits", [{}, {"TEXTS": 3}, {"LETTERS": 20}, {"LETTER_BITS": 2}])
+def test_trigram_lists_hold_the_sets(spark, tmp_path, monkeypatch, limits):
+    """Of texts with all kinds of letters, however they fall into blocks."""
+    from inkmill.functions import trigrams as T
+
+    for name, value in limits.items():
+        monkeypatch.setattr(T, name, value)
+    rows = [(i, t, "x" if i % 2 else "y") for i, t in enumerate(ODD * 3)] + [(0, "again a", "x")]
+    sets = spark.createDataFrame(rows, "id long, text string, lang string").select("id", R.spaced(ar_normalize(F.col("text"))).alias("spaced"), "lang", R.trigrams(ar_normalize(F.col("text"))).alias("t"))
+    source = sets.toArrow()
+    want = sorted((r["id"], r["lang"], x) for r in source.to_pylist() for x in r["t"])
+    got, most = [], 0
+    for n, block in enumerate(T.blocks(iter(source.drop_columns("t").to_batches(max_chunksize=7)), "spaced")):
+        held = [r for b in T.rows_of(block, n, "spaced") for r in b.to_pylist()]
+        texts = {r["class"]: r["texts"] for r in held if not r["trigram"]}
+        got += [(texts[r["class"]][p]["id"], texts[r["class"]][p]["lang"], r["trigram"]) for r in held if r["trigram"] for p in r["places"]]
+        assert all(t["size"] == sum(r["places"].count(p) for r in held if r["trigram"] and r["class"] == c) for c, ts in texts.items() for p, t in enumerate(ts))
+        most = max(most, block.num_rows)
+    assert sorted(got) == want and most <= limits.get("TEXTS", 1000)
+
+
+def test_trigrams_in_scopes(spark, chunks, trigrams):
+    score = R.similarity(R.trigrams(ar_normalize(F.col("text"))), R.trigrams(ar_normalize(F.lit("the of and a"))))
+    inside = chunks.filter("chunk_id % 3 = 0").select("chunk_id")
+    want = chunks.filter("lang = 'x' AND chunk_id % 3 = 0").select("chunk_id", score.alias("score")).filter("score > 0.25").orderBy(F.desc("score"), "chunk_id").limit(15)
+    got = X.search_trigrams(trigrams, "the of and a", 15, where=F.col("lang") == "x", allowed=inside)
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()] != []
+
+
 def test_empty(spark, tmp_path):
     none = spark.createDataFrame([], "chunk_id long, text string, lang string")
     assert X.search_words(X.build_words(none, str(tmp_path / "w")), "a").count() == 0
